@@ -1,0 +1,35 @@
+"""Queries of the operators on text, and SQL where SQL can say them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gistmill.llm.encode_corpus import encode_corpus
+from gistmill.llm.mixing import mix
+from gistmill.llm.splitting import split_texts
+from gistmill.sources.tables import table
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents of each plan with their number of uses."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the plans reach."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the texts above each profile's limit."""
+    profiles = [tuple(r) for r in table(spark, sf_dir, "split_limits").select("profile", "tokenizer", "max_tokens", "overlap_tokens").collect()]
+    return split_texts(table(spark, sf_dir, "documents"), profiles)
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+ORACLES: dict[str, str] = {}
