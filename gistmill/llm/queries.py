@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gistmill.llm.encode_corpus import encode_corpus
 from gistmill.llm.mixing import mix
+from gistmill.llm.name_variants import same_entity_pairs
 from gistmill.llm.near_duplicates import near_duplicate_pairs
 from gistmill.llm.splitting import split_texts
 from gistmill.llm.wrong_charset import wrong_fields
@@ -26,6 +27,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "doctexts"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_entity_pairs(table(spark, sf_dir, "person_obs"), table(spark, sf_dir, "emails"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -46,5 +51,5 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), profiles)
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 ORACLES: dict[str, str] = {}
