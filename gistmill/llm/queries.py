@@ -9,6 +9,7 @@ from gistmill.llm.encode_corpus import encode_corpus
 from gistmill.llm.mixing import mix
 from gistmill.llm.name_variants import same_entity_pairs
 from gistmill.llm.near_duplicates import near_duplicate_pairs
+from gistmill.llm.own_words import own_lines
 from gistmill.llm.splitting import split_texts
 from gistmill.llm.wrong_charset import wrong_fields
 from gistmill.sources.tables import table
@@ -23,6 +24,10 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong_fields(table(spark, sf_dir, "emails"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return own_lines(table(spark, sf_dir, "emails"), table(spark, sf_dir, "mailboxes"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "doctexts"))
 
@@ -51,5 +56,5 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), profiles)
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 ORACLES: dict[str, str] = {}
