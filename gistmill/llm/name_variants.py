@@ -113,13 +113,14 @@ def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
     # candidate canonical forms with a domain, from assigned addresses
     owned = obs.where("l_given != ''").groupBy(F.col("l_given").alias("c_given"), F.col("l_surname").alias("c_surname"), F.col("domain").alias("c_domain")).agg(F.sum("n").alias("c_n"))
     homes = Window.partitionBy("c_given", "c_surname")
-    owned = owned.withColumn("homes", F.count(F.lit(1)).over(homes))
+    owned = staged(owned.withColumn("homes", F.count(F.lit(1)).over(homes)), "names-owned")
     # private: most of its owners also have an address at some firm, at many different ones, and it has no role address
     elsewhere = owned.select("c_given", "c_surname", F.col("c_domain").alias("other"))
     partners = owned.join(elsewhere, ["c_given", "c_surname"]).where("other != c_domain").groupBy("c_domain").agg(F.countDistinct("other").alias("partners"))
     with_roles = obs.where("role").select(F.col("domain").alias("c_domain")).distinct()
     private = owned.groupBy("c_domain").agg(F.avg((F.col("homes") > 1).cast("double")).alias("shared"), F.count(F.lit(1)).alias("m")).join(partners, "c_domain")
     private = private.where("shared > 0.5 and m > 3 and partners > 0.3 * m").join(with_roles, "c_domain", "left_anti").select(F.col("c_domain").alias("p_domain"))
+    private = staged(private, "names-private")
     owned = owned.join(private, F.col("c_domain") == F.col("p_domain"), "left").withColumn("is_private", F.col("p_domain").isNotNull())
     # someone with private addresses only is known by the name alone
     firm_homes = F.sum((~F.col("is_private")).cast("int")).over(homes)
@@ -134,7 +135,7 @@ def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
     # nicknames, learned from the owners of assigned addresses
     shown = obs.where("kind = 'person' and l_given != '' and surname = l_surname and given != l_given and length(given) > 1")
     nick = shown.groupBy(F.col("given").alias("nick"), F.col("l_given").alias("nick_of")).agg(F.countDistinct("address").alias("k")).where((F.col("k") > 1) & (F.levenshtein("nick", "nick_of") > 1))
-    nick = nick.withColumn("p_nick", F.col("k") / F.sum("k").over(Window.partitionBy("nick")))
+    nick = staged(nick.withColumn("p_nick", F.col("k") / F.sum("k").over(Window.partitionBy("nick"))), "names-nick")
 
     # what is to be attached: every name that is not settled by an assigned address at a firm
     asks = obs.select("obs_id", "address", "n", "role", "l_initial",
@@ -142,8 +143,9 @@ def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
         F.when(F.col("l_given") != "", F.col("l_surname")).when(F.col("kind") == "person", F.col("surname")).when(F.col("l_initial") != "", F.col("l_surname")).alias("q_surname"),
         F.col("domain"), F.col("l_surname"),
     ).where("q_surname is not null").join(private, F.col("domain") == F.col("p_domain"), "left")
-    asks = asks.withColumn("q_domain", F.when(F.col("p_domain").isNull(), F.col("domain")).otherwise("")).drop("p_domain", "domain")
+    asks = staged(asks.withColumn("q_domain", F.when(F.col("p_domain").isNull(), F.col("domain")).otherwise("")).drop("p_domain", "domain"), "names-asks")
     forms_asked = asks.groupBy("q_given", "q_surname", "q_domain", "l_initial", "l_surname").agg(F.sum("n").alias("q_n"))
+    forms_asked = staged(forms_asked, "names-forms-asked")
     own_domain = (F.col("q_domain") == "") | (F.col("c_domain") == F.col("q_domain")) | (F.col("c_domain") == "")
     asked = ["q_given", "q_surname", "q_domain", "l_initial", "l_surname"]
 
@@ -176,11 +178,11 @@ def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
     posterior = F.log("p") + F.log(F.when(F.col("assigned"), F.col("c_n") + 20).otherwise(F.col("c_n") * 0.1)) + F.when(F.col("c_domain") == F.col("q_domain"), 0.7).otherwise(0.0)
     best = options.groupBy(*asked).agg(F.max(F.struct(posterior.alias("score"), "c_given", "c_surname", "c_domain")).alias("b"))
     name_of = lambda g, s, d: F.concat(F.lit("person "), g, F.lit(" "), s, F.lit("@"), d)
-    linked = best.select(*asked, "b.score", name_of(F.col("b.c_given"), F.col("b.c_surname"), F.col("b.c_domain")).alias("to"))
+    linked = staged(best.select(*asked, "b.score", name_of(F.col("b.c_given"), F.col("b.c_surname"), F.col("b.c_domain")).alias("to")), "names-linked")
     # a typed form that itself was taken for a slip leads on to what that was attached to
     again = linked.where("l_initial = ''").select(name_of(F.col("q_given"), F.col("q_surname"), F.col("q_domain")).alias("from"), F.col("to").alias("next")).where(F.col("from") != F.col("next")).groupBy("from").agg(F.min("next").alias("next"))
     linked = linked.join(again, F.col("to") == F.col("from"), "left").select(*asked, "score", F.coalesce("next", "to").alias("to"))
-    person_of = asks.join(linked, asked).select("obs_id", "address", "role", "n", "to", "score")
+    person_of = staged(asks.join(linked, asked).select("obs_id", "address", "role", "n", "to", "score"), "names-persons")
     # one address, one person: the target with the greatest total posterior
     votes = person_of.where("address != '' and not role").groupBy("address", "to").agg(F.sum("n").alias("votes"), F.max("score").alias("score"))
     owner = votes.groupBy("address").agg(F.max_by("to", F.struct("votes", "score", "to")).alias("owner"))
@@ -192,7 +194,7 @@ def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
     meets = bare.select("obs_id", "first", F.explode(_deletions(F.col("first"))).alias("key")).join(labels.select("label", F.explode(_deletions(F.col("label"))).alias("key")), "key")
     meets = meets.withColumn("d", F.levenshtein("first", "label")).where("d <= 2").groupBy("obs_id").agg(F.min(F.struct("d", "label")).alias("m"))
     firm_of = bare.join(meets, "obs_id", "left").select("obs_id", F.concat(F.lit("firm "), F.coalesce("m.label", "first")).alias("entity"))
-    firm_of = firm_of.unionByName(firms.where("domain != ''").select("obs_id", F.concat(F.lit("firm "), label).alias("entity")))
+    firm_of = staged(firm_of.unionByName(firms.where("domain != ''").select("obs_id", F.concat(F.lit("firm "), label).alias("entity"))), "names-firms")
 
     people = obs.join(firm_of.select("obs_id"), "obs_id", "left_anti").join(owner, "address", "left").join(person_of.select("obs_id", "to"), "obs_id", "left")
     # someone's own address settles it; without one, the name
