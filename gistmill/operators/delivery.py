@@ -41,8 +41,8 @@ def delivery_key(order: list[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
-def messages(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """``message_key, kept, n_rows`` of each identified message of ``rows`` that was delivered twice or more.
+def messages(rows: DataFrame, order: list[str] | None = None, least: int = 2) -> DataFrame:
+    """``message_key, kept, n_rows`` of each identified message that ``rows`` holds at least ``least`` times.
 
     ``kept`` is the ``idx`` that comes first by ``order``, found by ``min_by`` with partial aggregation before the
     shuffle, so that a key with a third of all rows sends one record a task.
@@ -66,21 +66,22 @@ def messages(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
         F.max("topic_hash").alias("topic_b"),
     )
     unrelated = (F.col("sender_a") != F.col("sender_b")) & (F.col("topic_a") != F.col("topic_b"))
-    return grouped.where((F.col("n_rows") > 1) & ~unrelated).select("message_key", "kept", "n_rows")
+    return grouped.where((F.col("n_rows") >= least) & ~unrelated).select("message_key", "kept", "n_rows")
 
 
-def further_copies(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """``idx_a, idx_b``: the kept row of a message and each further copy of it."""
+def further_copies(rows: DataFrame, order: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """``idx_a, idx_b``: the kept row of a message and each further copy of it; ``known``: its :func:`messages`, if there already."""
     keyed = rows.select(F.col("idx").alias("idx_b"), identifier(F.col("message_id")).alias("message_key")).where(
         F.col("message_key").isNotNull()
     )
+    known = messages(rows, order) if known is None else known.where("n_rows > 1")
     return (
-        keyed.join(messages(rows, order), "message_key")
+        keyed.join(known, "message_key")
         .where(F.col("idx_b") != F.col("kept"))
         .select(F.col("kept").alias("idx_a"), "idx_b")
     )
 
 
-def keep_one(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+def keep_one(rows: DataFrame, order: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
     """``rows`` without further copies; all columns stay, rows without a usable identifier stay too."""
-    return rows.join(further_copies(rows, order).select(F.col("idx_b").alias("idx")), "idx", "left_anti")
+    return rows.join(further_copies(rows, order, known).select(F.col("idx_b").alias("idx")), "idx", "left_anti")

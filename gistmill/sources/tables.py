@@ -4,12 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parents[1]
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package's code to the executors' Python workers, once per context, wherever they start."""
+    context = spark.sparkContext
+    if getattr(context, "_gistmill_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="gistmill-code-")) / "gistmill.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(PACKAGE.rglob("*.py")):
+            out.write(source, source.relative_to(PACKAGE.parent))
+    context.addPyFile(str(archive))
+    context._gistmill_shipped = True
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``; a file or a folder of files."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
