@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gistmill.llm.conversations import conversations
 from gistmill.llm.encode_corpus import encode_corpus
 from gistmill.llm.mixing import mix
 from gistmill.llm.name_variants import same_entity_pairs
@@ -24,6 +25,10 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong_fields(table(spark, sf_dir, "emails"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(table(spark, sf_dir, "emails"), table(spark, sf_dir, "mailboxes"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own_lines(table(spark, sf_dir, "emails"), table(spark, sf_dir, "mailboxes"))
 
@@ -56,5 +61,5 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), profiles)
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 ORACLES: dict[str, str] = {}
