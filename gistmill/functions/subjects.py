@@ -19,7 +19,7 @@ def _prefix(words: str) -> str:
 
 def clean(subject: Column) -> Column:
     """NULL as empty, white space (also non-breaking) as single blanks, trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(subject, F.lit("")), r"[\s ​]+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(subject, F.lit("")), r"[\s\x{00A0}\x{200B}]+", " "))
 
 
 def without_tags(subject: Column) -> Column:
@@ -48,3 +48,10 @@ def conversation_key(conversation_topic: Column, subject: Column) -> Column:
     """The conversation topic or, if empty, the topic of the subject; in lower case without outer blanks."""
     own = F.lower(clean(conversation_topic))
     return F.when(own != "", own).otherwise(topic(subject))
+
+
+def bare(subject: Column) -> Column:
+    """A subject without any number of prefixes and tags; ``(no subject)`` where nothing is left."""
+    strip = rf"(?iu)^(?:\s*(?:{TAG}|{_prefix('|'.join((REPLY, FORWARD, AUTOMATIC, SYSTEM)))}))+\s*"
+    text = F.trim(F.regexp_replace(clean(subject), strip, ""))
+    return F.when(text == "", "(no subject)").otherwise(text)
