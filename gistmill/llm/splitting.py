@@ -16,41 +16,76 @@ piece. Defined results: texts within the limit, empty and NULL ones give no piec
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm.tokens import FOLDER, WordCoder, coder, cut, distinct, filled, is_pieces, words
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE = 5, 4, 3, 2, 1, 0
+#: Texts that are cut at once.
+ROWS = 4_000
 SCHEMA = "profile string, piece_no int, start_char int, end_char int, n_tokens int, piece string"
 
 
-def _levels(different: list[str], index: np.ndarray) -> np.ndarray:
-    """The level of the boundary in front of each word; where a text starts it doesn't matter."""
-    feeds = np.array([w.count("\n") if w.isspace() else 0 for w in different], np.int8)[index]
-    stops = np.array([SENTENCE if w.rstrip("\"')]»”’").endswith((".", "!", "?", "…", "。", "！", "？")) else CLAUSE if w.endswith((",", ";", ":", "|", "，", "；")) else WORD for w in different], np.int8)[index]
-    blank = np.array([w.isspace() for w in different], bool)[index]
-    opens = np.array([w[:1].isspace() for w in different], bool)[index]
-    levels = np.full(len(index), WORD, np.int8)
-    before, two = feeds[:-1], np.concatenate([[0], feeds[:-2]]) if len(feeds) > 1 else feeds[:0]
-    levels[1:] = np.where(before > 0, np.where((before + two > 1), PARAGRAPH, LINE), np.where(opens[1:], stops[:-1], WORD))
-    levels[1:][blank[1:]] = -1  # blanks stay with what stands in front of them
+class Words:
+    """The words of a batch of texts, and of each different word what the rules for boundaries look at."""
+
+    #: Different words whose features a worker keeps.
+    ROOM = 300_000
+    known: dict[str, int] = {}
+
+    def __init__(self, batch_words: pa.ListArray):
+        self.borders, self.index, self.different = distinct(batch_words)
+        self.features = np.fromiter(map(self.known.get, self.different, repeat(-1)), np.int64, len(self.different))
+        for k in np.flatnonzero(self.features < 0).tolist():
+            self.features[k] = self._feature(self.different[k])
+
+    @classmethod
+    def _feature(cls, word: str) -> int:
+        """Length, level that the word ends, line feeds (of a blank word, up to 2), whether blank, whether it opens with a blank; packed."""
+        code = cls.known.get(word)
+        if code is None:
+            blank = word.isspace()
+            end = word.rstrip("\"')]»”’")
+            stop = SENTENCE if end.endswith((".", "!", "?", "…", "。", "！", "？")) else CLAUSE if word.endswith((",", ";", ":", "|", "，", "；")) else WORD
+            code = len(word) << 8 | stop << 4 | min(2, word.count("\n") if blank else 0) << 2 | blank << 1 | word[:1].isspace()
+            if len(cls.known) < cls.ROOM:
+                cls.known[word] = code
+        return code
+
+    def replaced(self, different: list[str], index: np.ndarray, borders: np.ndarray) -> Words:
+        """The same texts cut further; ``different`` begins with what there was."""
+        new = object.__new__(Words)
+        new.borders, new.index, new.different = borders, index, different
+        new.features = np.concatenate([self.features, np.fromiter(map(self._feature, different[len(self.different) :]), np.int64, len(different) - len(self.different))])
+        return new
+
+
+def _levels(features: np.ndarray, pieces: bool) -> np.ndarray:
+    """The level of the boundary in front of each word; where a text starts it doesn't matter. ``pieces``: blanks before a digit are words."""
+    feeds, blank, opens, stops = (features >> 2 & 3).astype(np.int8), (features & 2) > 0, (features & 1) > 0, (features >> 4 & 15).astype(np.int8)
+    levels = np.full(len(features), WORD, np.int8)
+    before, two = feeds[:-1], np.concatenate([[0], feeds[:-2]]).astype(np.int8) if len(feeds) > 1 else feeds[:0]
+    levels[1:] = np.where(before > 0, np.where(before + two > 1, PARAGRAPH, LINE), np.where(opens[1:], stops[:-1], INSIDE))
+    levels[1:][(blank & (feeds > 0) if pieces else blank)[1:]] = -1  # blanks stay with what stands in front of them
     return levels
 
 
-def _tails(different: list[str], index: np.ndarray, encode: WordCoder) -> np.ndarray:
+def _tails(words_at: Words, at: np.ndarray, encode: WordCoder) -> np.ndarray:
     """For each border how the size of a piece that ends there differs from the sum: blanks at an end are one word."""
+    index = words_at.index[at]
     tail = np.zeros(len(index) + 1, np.int64)
-    blank = np.array([w.isspace() for w in different], bool)[index]
-    at = np.flatnonzero(blank[:-1] & blank[1:])
-    if len(at):
-        pairs, which = np.unique(np.stack([index[at], index[at + 1]]), axis=1, return_inverse=True)
-        off = [encode.size(different[a] + different[b]) - encode.size(different[a]) - encode.size(different[b]) for a, b in pairs.T]
-        tail[at + 2] = np.array(off, np.int64)[which.ravel()]
+    blank = (words_at.features[index] & 2) > 0
+    both = np.flatnonzero(blank[:-1] & blank[1:])
+    if len(both) and not is_pieces(encode.name):
+        different = words_at.different
+        pairs, which = np.unique(index[both] * len(different) + index[both + 1], return_inverse=True)
+        off = [encode.size(different[p // len(different)] + different[p % len(different)]) - encode.size(different[p // len(different)]) - encode.size(different[p % len(different)]) for p in pairs.tolist()]
+        tail[both + 2] = np.array(off, np.int64)[which]
     return tail
 
 
@@ -68,15 +103,16 @@ def _pieces_of(sizes: np.ndarray, extra: np.ndarray, levels: np.ndarray, ends: n
     fill = np.maximum(limit // 2, overlap + 1)
     chosen = farthest.copy()
     whole = farthest >= ends
-    undecided = ~whole
-    latest = np.zeros(n + 1, np.int64)
+    open_at = np.flatnonzero(~whole)
+    marks = np.concatenate([levels, [PARAGRAPH]])
     for level in (PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE):
-        mark = np.concatenate([levels >= level, [True]])
-        np.maximum.accumulate(np.where(mark, np.arange(n + 1), 0), out=latest)
-        at = latest[farthest]
-        good = undecided & (at > here) & (run[at] - run[:-1] >= fill)
-        chosen[good] = at[good]
-        undecided &= ~good
+        if not len(open_at):
+            break
+        latest = np.maximum.accumulate(np.where(marks >= level, np.arange(n + 1), 0))
+        at = latest[farthest[open_at]]
+        good = (at > open_at) & (run[at] - run[open_at] >= fill)
+        chosen[open_at[good]] = at[good]
+        open_at = open_at[~good]
     # the next piece starts so far back that at least ``overlap`` tokens are shared
     back = np.searchsorted(run, run[chosen] + tail[chosen] - overlap, side="right") - 1 if overlap else chosen.copy()
     # ... and goes on beyond the last one
@@ -108,17 +144,14 @@ def _pieces_of(sizes: np.ndarray, extra: np.ndarray, levels: np.ndarray, ends: n
     return first, chosen[first]
 
 
-def _short_words(different: list[str], index: np.ndarray, borders: np.ndarray, limit: int, encode: WordCoder) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Long words as their parts: (different words, index, borders, whether a place continues a word, whether it must stand alone)."""
-    long = limit // 8
+def _short_words(given: Words, sizes: np.ndarray, limit: int, encode: WordCoder) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Long words as their parts: (words, whether a place continues a word, whether a different word must stand alone)."""
     parts: dict[int, list[int]] = {}
-    different, alone = list(different), []
-    for k in range(len(different)):
-        if encode.size(different[k]) <= long:
-            continue
+    different, alone = list(given.different), []
+    for k in np.flatnonzero(sizes > limit // 4).tolist():
         made = []
         for atom in encode.atoms(different[k]):
-            if max(encode.size(atom), encode.size(atom, True)) <= limit:
+            if encode.size(atom) + 2 <= limit or max(encode.size(atom), encode.size(atom, True)) <= limit:
                 made.append(len(different))
                 different.append(atom)
                 continue
@@ -134,8 +167,9 @@ def _short_words(different: list[str], index: np.ndarray, borders: np.ndarray, l
             parts[k] = made
     single = np.zeros(len(different), bool)
     single[alone] = True
+    index, borders = given.index, given.borders
     if not parts:
-        return different, index, borders, np.zeros(len(index), bool), single
+        return given.replaced(different, index, borders), np.zeros(len(index), bool), single
     count = np.ones(len(different), np.int64)
     for k, made in parts.items():
         count[k] = len(made)
@@ -145,52 +179,61 @@ def _short_words(different: list[str], index: np.ndarray, borders: np.ndarray, l
     inside[moved[:-1]] = False
     for at in np.flatnonzero(count[index] > 1):
         out[moved[at] : moved[at + 1]] = parts[int(index[at])]
-    return different, out, moved[borders], inside, single
+    return given.replaced(different, out, moved[borders]), inside, single
 
 
-def split_batch(batch_words: pa.ListArray, keep: pa.Array, encode: WordCoder, limit: int, overlap: int) -> tuple[np.ndarray, ...]:
+def split_batch(given: Words, keep: pa.Array, encode: WordCoder, limit: int, overlap: int) -> tuple[np.ndarray, ...]:
     """(row, piece_no, start_char, end_char, n_tokens, text) of the pieces of all texts of a batch that are above ``limit``."""
-    borders, index, different = distinct(batch_words)
-    if not len(index):
-        return tuple(np.empty(0, np.int64) for _ in range(5)) + ([],)
-    sizes_of = np.fromiter((encode.size(w) for w in different), np.int64, len(different))
-    different, index, borders, inside, single = _short_words(different, index, borders, limit, encode)
-    sizes_of = np.fromiter((encode.size(w) for w in different), np.int64, len(different))
-    extra_of = np.zeros(len(different), np.int64)
-    if is_pieces(encode.name):
-        extra_of = np.fromiter((encode.size(w, True) for w in different), np.int64, len(different)) - sizes_of
-    sizes = sizes_of[index]
-    run = np.concatenate([[0], np.cumsum(sizes)])
-    lengths = np.fromiter(map(len, different), np.int64, len(different))[index]
-    chars = np.concatenate([[0], np.cumsum(lengths)])
-    extra = extra_of[index]
-    total = run[borders[1:]] - run[borders[:-1]]
-    filled_rows = np.flatnonzero(borders[1:] > borders[:-1])
-    total[filled_rows] += extra[borders[:-1][filled_rows]]
-    rows = np.flatnonzero(total > limit)
+    nothing = (*(np.empty(0, np.int64) for _ in range(5)), [])
+    if not len(given.index):
+        return nothing
+    sizes_of = encode.sizes_of(given.different)
+    run = np.concatenate([[0], np.cumsum(sizes_of[given.index])])
+    filled_rows = np.flatnonzero(given.borders[1:] > given.borders[:-1])
+    total = run[given.borders[1:]] - run[given.borders[:-1]]
+    near = filled_rows[total[filled_rows] + 4 > limit]  # what a text costs more for its first word is looked at where it matters
+    starts = given.index[given.borders[:-1][near]].tolist()
+    total[near] += np.fromiter((encode.size(given.different[k], True) for k in starts), np.int64, len(starts)) - sizes_of[starts]
+    rows = near[total[near] > limit]
     if not len(rows):
-        return tuple(np.empty(0, np.int64) for _ in range(5)) + ([],)
+        return nothing
+    w, inside, single = _short_words(given, sizes_of, limit, encode)
+    if len(w.different) > len(sizes_of):
+        sizes_of = np.concatenate([sizes_of, encode.sizes_of(w.different[len(sizes_of) :])])
+
     # only the words of oversized texts go on
-    take = np.zeros(len(index), bool)
-    for a, b in zip(borders[rows], borders[rows + 1]):
-        take[a:b] = True
-    at = np.flatnonzero(take)
-    n_words = borders[rows + 1] - borders[rows]
+    n_words = w.borders[rows + 1] - w.borders[rows]
     row_ends = np.cumsum(n_words)
     row_starts = row_ends - n_words
-    levels = _levels(different, index[at])
+    at = np.arange(row_ends[-1]) + np.repeat(w.borders[rows] - row_starts, n_words)
+    index, features = w.index[at], w.features[w.index[at]]
+    sizes, alone = sizes_of[index], single[index]
+    levels = _levels(features, is_pieces(encode.name))
     levels[inside[at] & (levels >= 0)] = INSIDE
-    tail = _tails(different, index[at], encode)
+    tail = _tails(w, at, encode)
     tail[row_ends] = 0
     levels[tail[:-1] > 0] = -1
-    first, end = _pieces_of(np.where(single[index[at]], limit, sizes[at]), np.where(single[index[at]], 0, extra[at]), levels, np.repeat(row_ends, n_words), limit, overlap, row_starts, tail)
+
+    def first_costs(of: np.ndarray) -> np.ndarray:
+        different, which = np.unique(of, return_inverse=True)
+        return (np.fromiter((encode.size(w.different[k], True) for k in different), np.int64, len(different)) - sizes_of[different])[which]
+
+    # as a rule the first word of a piece costs one token more at most; where it costs more, all first words are looked at
+    extra = np.ones(len(index), np.int64) if is_pieces(encode.name) else np.zeros(len(index), np.int64)
+    for _ in range(2):
+        first, end = _pieces_of(np.where(alone, limit, sizes), np.where(alone, 0, extra), levels, np.repeat(row_ends, n_words), limit, overlap, row_starts, tail)
+        cost = first_costs(index[first]) if is_pieces(encode.name) else extra[first]
+        if (cost <= extra[first]).all():
+            break
+        extra = first_costs(index)
     row = np.searchsorted(row_ends, first, side="right")
     piece_no = np.arange(len(first)) - np.searchsorted(first, row_starts)[row] + 1
-    origin = chars[borders[rows]][row]
-    a, b = at[first], at[end - 1]
-    start_char, end_char = chars[a] - origin, chars[b + 1] - origin
-    n_tokens = run[b + 1] - run[a] + extra[a] + tail[end]
-    texts = [t for t in keep.take(pa.array(rows)).to_pylist()]
+    run = np.concatenate([[0], np.cumsum(sizes)])
+    chars = np.concatenate([[0], np.cumsum(features >> 8)])
+    origin = chars[row_starts][row]
+    start_char, end_char = chars[first] - origin, chars[end] - origin
+    n_tokens = run[end] - run[first] + cost + tail[end]
+    texts = keep.take(pa.array(rows)).to_pylist()
     pieces = [texts[r][s:e] for r, s, e in zip(row.tolist(), start_char.tolist(), end_char.tolist())]
     return rows[row], piece_no, start_char, end_char, n_tokens, pieces
 
@@ -205,12 +248,12 @@ def split_texts(documents: DataFrame, profiles: list[tuple[str, str, int, int]],
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 texts = batch.column("text")
+                cut_words = {k: Words(filled(batch.column(f"w_{k}"), texts, n)) for k, n in kinds.items()}
                 for profile, tokenizer, limit, overlap in profiles:
-                    w = filled(batch.column(f"w_{is_pieces(tokenizer)}"), texts, tokenizer)
-                    row, no, start, end, n, pieces = split_batch(w, texts, coder(tokenizer, folder), limit, overlap)
+                    row, no, start, end, n, pieces = split_batch(cut_words[is_pieces(tokenizer)], texts, coder(tokenizer, folder), limit, overlap)
                     if len(pieces):
                         yield pa.RecordBatch.from_arrays(
                             [batch.column(key).take(pa.array(row)), pa.array([profile] * len(pieces)), *[pa.array(x, pa.int32()) for x in (no, start, end, n)], pa.array(pieces, pa.string())],

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from itertools import repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,8 @@ from gistmill.llm.bpe_automaton import BpeAutomaton
 FOLDER = "/opt/tokenizers"
 # Fixed value: the pre-tokenizer pattern of the byte-level vocabularies.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: No piece of a piece vocabulary continues over the start of a run of blanks or over a line feed.
-PIECES = r" *[^ \n]+| +|\n"
+#: No piece of a piece vocabulary continues over the start of a run of blanks, over a line feed, or over a digit.
+PIECES = r"[0-9]| *[^ \n0-9]+| +|\n"
 
 
 def is_pieces(name: str) -> bool:
@@ -53,8 +55,9 @@ def cut(text: str, name: str) -> list[str]:
 class WordCoder:
     """Encodes words of one tokenizer and keeps what it has encoded, up to ``room`` different words of each kind."""
 
-    def __init__(self, name: str, folder: str, room: int = 300_000):
+    def __init__(self, name: str, folder: str, with_automaton: bool = False, room: int = 300_000):
         self.name, self.room = name, room
+        self.automaton: BpeAutomaton | None = None
         self.ids: dict[str, np.ndarray] = {}
         self.sizes: dict[str, int] = {}
         self.first_sizes: dict[str, int] = {}
@@ -69,15 +72,14 @@ class WordCoder:
             shown = (model.id_to_piece(k) for k in range(model.get_piece_size()))
             #: neighbours inside entries; merges never cross a place between two others
             self.joined = {a + b for p in shown for a, b in zip(p, p[1:])}
-        elif name == "byte_bpe_50k":
-            machine = BpeAutomaton.from_json(f"{folder}/{name}.json")
-            self.encode = self.encode_first = lambda word: machine.encode(word.encode())
         else:
             import tiktoken
 
             with open(f"{folder}/{name}.tiktoken", "rb") as file:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
             self.encode = self.encode_first = tiktoken.Encoding(name, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            if with_automaton and Path(f"{folder}/{name}.json").exists():
+                self.automaton = BpeAutomaton.from_json(f"{folder}/{name}.json")
 
     def atoms(self, word: str) -> list[str]:
         """A word cut wherever that changes no token: between characters that no entry of the vocabulary joins."""
@@ -90,7 +92,7 @@ class WordCoder:
     def __call__(self, word: str) -> np.ndarray:
         ids = self.ids.get(word)
         if ids is None:
-            ids = np.array(self.encode(word), np.int32)
+            ids = np.array(self.automaton.encode(word.encode()) if self.automaton else self.encode(word), np.int32)
             if len(self.ids) < self.room and len(word) <= 64:
                 self.ids[word] = ids
         return ids
@@ -105,11 +107,18 @@ class WordCoder:
                 known[word] = n
         return n
 
+    def sizes_of(self, words: list[str]) -> np.ndarray:
+        """Tokens of many words; known ones are looked up without a call each."""
+        found = np.fromiter(map(self.sizes.get, words, repeat(-1)), np.int64, len(words))
+        for k in np.flatnonzero(found < 0).tolist():
+            found[k] = self.size(words[k])
+        return found
+
 
 @lru_cache(maxsize=4)
-def coder(name: str, folder: str = FOLDER) -> WordCoder:
-    """One per Python worker; workers live as long as their executor."""
-    return WordCoder(name, folder)
+def coder(name: str, folder: str = FOLDER, with_automaton: bool = False) -> WordCoder:
+    """One per Python worker; workers live as long as their executor. The ids come from the automaton, sizes need none."""
+    return WordCoder(name, folder, with_automaton)
 
 
 def filled(batch_words: pa.ListArray, texts: pa.Array, name: str) -> pa.ListArray:
@@ -146,7 +155,7 @@ def text_sizes(batch_words: pa.ListArray, encode: WordCoder) -> pa.Array:
     borders, index, different = distinct(batch_words)
     if not len(index):
         return pa.array(np.zeros(len(batch_words), np.int64))
-    sizes = np.fromiter((encode.size(w) for w in different), np.int64, len(different))[index]
+    sizes = encode.sizes_of(different)[index]
     sums = np.concatenate([[0], np.cumsum(sizes)])
     totals = sums[borders[1:]] - sums[borders[:-1]]
     if is_pieces(encode.name):
