@@ -74,12 +74,13 @@ def thresholds(counts: DataFrame, targets: DataFrame) -> DataFrame:
         .agg(*[F.sum(f"n_{n}").alias(f"n_{n}") for n in tokenizers])
         .withColumnRenamed("source", "s_source")
     )
-    corpus = sums.agg(*[F.sum(f"n_{n}").alias(f"all_{n}") for n in tokenizers])
+    sums = staged(sums, "mix-sums")
+    corpus = sums.agg(*[F.sum(f"n_{n}") for n in tokenizers]).first()  # one row
+    all_tokens = F.coalesce(*[F.when(F.col("tokenizer") == n, F.lit(corpus[k] or 0).cast("long")) for k, n in enumerate(tokenizers)], F.lit(0))
     per_source = sums.groupBy("s_source").agg(*[F.sum(f"n_{n}").alias(f"sum_{n}") for n in tokenizers])
     wanted = (
-        targets.crossJoin(corpus)  # one row of totals
-        .join(per_source, F.col("source") == F.col("s_source"), "left")
-        .withColumn("target", F.floor(F.col("target_share") * F.col("corpus_fraction") * F.coalesce(pick("all_"), F.lit(0))))
+        targets.join(per_source, F.col("source") == F.col("s_source"), "left")
+        .withColumn("target", F.floor(F.col("target_share") * F.col("corpus_fraction") * all_tokens))
         .withColumn("tokens_there", F.coalesce(pick("sum_"), F.lit(0)))
         .withColumn("repeats", F.when(F.col("tokens_there") > 0, F.least(F.floor(F.col("target") / F.col("tokens_there")), F.col("max_repeats"))).otherwise(0))
         .withColumn("left", F.when((F.col("repeats") < F.col("max_repeats")) & (F.col("tokens_there") > 0), F.col("target") - F.col("repeats") * F.col("tokens_there")).otherwise(0))

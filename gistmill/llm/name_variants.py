@@ -153,11 +153,11 @@ def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
         return pairs.where(own_domain).select(*asked, "c_given", "c_surname", "c_domain", "c_n", "assigned", likelihood.alias("p"))
 
     exact = scored(forms_asked.join(forms, (F.col("q_given") == F.col("c_given")) & (F.col("q_surname") == F.col("c_surname"))), F.lit(1.0))
-    # one edit: the neighbourhoods of single deletions meet
+    # one edit: the neighbourhoods of single deletions meet; never by broadcast, as the size before the explosion misleads
     q_keys = forms_asked.where("length(q_given) > 1").select(*asked, F.explode(_deletions(F.concat_ws(" ", "q_given", "q_surname"))).alias("key"))
     c_keys = forms.where("c_n > 1 or assigned").select("c_given", "c_surname", "c_domain", "c_n", "assigned", F.explode(_deletions(F.concat_ws(" ", "c_given", "c_surname"))).alias("key"))
     edits = F.levenshtein(F.concat_ws(" ", "q_given", "q_surname"), F.concat_ws(" ", "c_given", "c_surname"))
-    typos = scored(q_keys.join(c_keys, "key").where(edits.between(1, 2)), F.lit(0.05) * F.pow(F.lit(0.4), edits - 1)).distinct()
+    typos = scored(q_keys.join(c_keys.hint("merge"), "key").where(edits.between(1, 2)), F.lit(0.05) * F.pow(F.lit(0.4), edits - 1)).distinct()
     nicks = scored(
         forms_asked.join(nick, F.col("q_given") == F.col("nick")).join(forms, (F.col("nick_of") == F.col("c_given")) & (F.col("q_surname") == F.col("c_surname"))), F.lit(0.05) * F.col("p_nick")
     )
@@ -191,7 +191,7 @@ def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
     firms = obs.where("kind = 'firm' or (role and kind in ('none', 'part'))")
     labels = obs.where("role and domain != ''").select(label.alias("label")).distinct()
     bare = firms.where("domain = ''").select("obs_id", F.col("given").alias("first"))
-    meets = bare.select("obs_id", "first", F.explode(_deletions(F.col("first"))).alias("key")).join(labels.select("label", F.explode(_deletions(F.col("label"))).alias("key")), "key")
+    meets = bare.select("obs_id", "first", F.explode(_deletions(F.col("first"))).alias("key")).join(labels.select("label", F.explode(_deletions(F.col("label"))).alias("key")).hint("merge"), "key")
     meets = meets.withColumn("d", F.levenshtein("first", "label")).where("d <= 2").groupBy("obs_id").agg(F.min(F.struct("d", "label")).alias("m"))
     firm_of = bare.join(meets, "obs_id", "left").select("obs_id", F.concat(F.lit("firm "), F.coalesce("m.label", "first")).alias("entity"))
     firm_of = staged(firm_of.unionByName(firms.where("domain != ''").select("obs_id", F.concat(F.lit("firm "), label).alias("entity"))), "names-firms")

@@ -91,7 +91,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     # n-grams of one set only need no count: they come first and meet nothing
     counts = exploded.groupBy("gram").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
     order = F.struct(F.coalesce("freq", F.lit(1)).alias("freq"), "gram")
-    ordered = exploded.join(counts, "gram", "left").groupBy("key").agg(F.array_sort(F.collect_list(order)).alias("path"))
+    ordered = exploded.join(counts.hint("merge"), "gram", "left").groupBy("key").agg(F.array_sort(F.collect_list(order)).alias("path"))
     ordered = staged(ordered.select("key", F.col("path.gram").alias("path"), F.col("path.freq").alias("freqs")), "grams-ordered")
 
     n = F.size("path")
@@ -104,7 +104,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") > F.col("y")))
     rest = 1 + F.least(F.col("p_x"), F.col("p_y")) + F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) - 1
     met = (
-        probes.join(stored, "gram")
+        probes.join(stored.hint("merge"), "gram")
         .where(larger & (F.col("n_y") >= F.col("n_x") * threshold - 1e-9) & (rest >= _need(threshold, F.col("n_x"), F.col("n_y"))))
         .select("x", "y")
         .distinct()
