@@ -1,7 +1,8 @@
 """Office documents, text, tables and archives as rows of blocks, by the standard library only.
 
 Each document is one binary value; limits on size, blocks and members bound what a task reads of hostile files. What cannot be read
-gives a status, not an exception: ok, error, too_big, protected, no_text, unsupported.
+gives a status, not an exception: ok, error, too_big, protected, no_text, unsupported. Files without a byte give no row: the file
+source leaves them out.
 """
 
 from __future__ import annotations
