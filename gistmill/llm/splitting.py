@@ -92,56 +92,77 @@ def _tails(words_at: Words, at: np.ndarray, encode: WordCoder) -> np.ndarray:
 def _pieces_of(sizes: np.ndarray, extra: np.ndarray, levels: np.ndarray, ends: np.ndarray, limit: int, overlap: int, starts: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word, end word) of every piece of the texts that start at ``starts``; ``ends``: each word's end of text.
 
-    ``extra``: what a word costs more as the first one of a piece.
+    ``extra``: what a word costs more as the first one of a piece. Pieces start where a text does or, going back by the overlap, from a
+    boundary; so successors are found for these places only, at first from natural boundaries, then from others that they lead to, and
+    for texts where that goes on (they have few natural boundaries) from everywhere.
     """
     n = len(sizes)
     run = np.concatenate([[0], np.cumsum(sizes)])
-    here = np.arange(n)
-    room = run[:-1] - extra + limit
-    farthest = np.minimum(np.searchsorted(run, room, side="right") - 1, ends)  # the last border within the limit
-    farthest = np.maximum(farthest, here + 1)
-    fill = np.maximum(limit // 2, overlap + 1)
-    chosen = farthest.copy()
-    whole = farthest >= ends
-    open_at = np.flatnonzero(~whole)
+    fill = max(limit // 2, overlap + 1)
     marks = np.concatenate([levels, [PARAGRAPH]])
-    for level in (PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE):
-        if not len(open_at):
+    borders: dict[int, np.ndarray] = {}
+
+    def farthest(at: np.ndarray) -> np.ndarray:
+        """The last border within the limit."""
+        return np.maximum(np.minimum(np.searchsorted(run, run[at] - extra[at] + limit, side="right") - 1, ends[at]), at + 1)
+
+    def before(border: np.ndarray) -> np.ndarray:
+        """So far back from a border that at least ``overlap`` tokens are shared."""
+        return np.searchsorted(run, run[border] + tail[border] - overlap, side="right") - 1 if overlap else border
+
+    def successors(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(end of the piece, start of the next one or ``n``) for each start."""
+        chosen = farthest(at)
+        last, whole = chosen.copy(), chosen >= ends[at]
+        rest = np.flatnonzero(~whole)
+        for level in (PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE):
+            if not len(rest):
+                break
+            if level not in borders:
+                borders[level] = np.flatnonzero(marks >= level)
+            places = borders[level]
+            border = places[np.maximum(np.searchsorted(places, last[rest], side="right") - 1, 0)]
+            good = (border > at[rest]) & (border <= last[rest]) & (run[border] - run[at[rest]] >= fill)
+            chosen[rest[good]] = border[good]
+            rest = rest[~good]
+        back = before(chosen)
+        # ... and goes on beyond the last piece
+        inner = np.minimum(back, n - 1)
+        back = np.where((back > at) & (farthest(inner) > chosen) & (run[chosen] - run[back] < fill), back, chosen)
+        return chosen, np.where(whole, n, back)
+
+    natural = before(np.flatnonzero(levels >= CLAUSE))
+    nodes, fresh = np.zeros(0, np.int64), np.union1d(starts, natural[natural >= 0])
+    chosen = following = nodes
+    for turn in range(4):
+        c, f = successors(fresh)
+        nodes, chosen, following = np.concatenate([nodes, fresh]), np.concatenate([chosen, c]), np.concatenate([following, f])
+        seen = np.zeros(n, bool)
+        seen[nodes] = True
+        fresh = f[f < n]
+        fresh = np.unique(fresh[~seen[fresh]])
+        if not len(fresh):
             break
-        latest = np.maximum.accumulate(np.where(marks >= level, np.arange(n + 1), 0))
-        at = latest[farthest[open_at]]
-        good = (at > open_at) & (run[at] - run[open_at] >= fill)
-        chosen[open_at[good]] = at[good]
-        open_at = open_at[~good]
-    # the next piece starts so far back that at least ``overlap`` tokens are shared
-    back = np.searchsorted(run, run[chosen] + tail[chosen] - overlap, side="right") - 1 if overlap else chosen.copy()
-    # ... and goes on beyond the last one
-    back = np.where((back > here) & (farthest[np.minimum(back, n - 1)] > chosen) & (run[chosen] - run[back] < fill), back, chosen)
-    after = np.where(whole, n, back)
-    after = np.concatenate([after, [n]])
-    reached = np.zeros(n + 1, bool)
-    reached[starts] = True
-    table, frontier = after, np.flatnonzero(reached[:n])
+        if turn == 2:
+            going_on = np.zeros(n + 1, bool)
+            going_on[ends[fresh]] = True
+            fresh = np.flatnonzero(going_on[ends] & ~seen)
+    order = np.argsort(nodes)
+    nodes, chosen, following = nodes[order], chosen[order], following[order]
+    m = len(nodes)
+    table = np.append(np.searchsorted(nodes, following), m)
+    table[:-1][following >= n] = m
+    reached = np.zeros(m + 1, bool)
+    reached[np.searchsorted(nodes, starts)] = True
     while True:  # after k rounds all starts within 2^k pieces are known
-        step = table[frontier]
-        new = np.unique(step[~reached[step]])
-        new = new[new < n]
-        if not len(new):
-            # with a table of 2^k steps, nothing new from any known start: one step at a time must add nothing either
-            if table is after:
-                break
-            table = after
-            frontier = np.flatnonzero(reached[:n])
-            step = table[frontier]
-            new = np.unique(step[~reached[step]])
-            new = new[new < n]
-            if not len(new):
-                break
-        reached[new] = True
-        frontier = np.flatnonzero(reached[:n])
+        known = np.flatnonzero(reached[:m])
+        step = table[known]
+        if reached[step[step < m]].all() and (table == m).all():
+            break
+        reached[step] = True
         table = table[table]
-    first = np.flatnonzero(reached[:n])
-    return first, chosen[first]
+    first = np.flatnonzero(reached[:m])
+    return nodes[first], chosen[first]
 
 
 def _short_words(given: Words, sizes: np.ndarray, limit: int, encode: WordCoder) -> tuple[Words, np.ndarray, np.ndarray]:
