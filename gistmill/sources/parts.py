@@ -12,7 +12,7 @@ MANIFEST = ".parts.json"
 
 def part_names(project: str, parts: int, first: str = "", last: str = "", room: int = 120) -> list[str]:
     """``project first to last part k of n.txt``; characters that file systems refuse are dropped and the project is shortened to fit."""
-    safe = re.sub(r'[\\/:*?"<>|\x00-\x1f]+', " ", project).strip(" .") or "digest"
+    safe = re.sub(r'[\\/:*?"<>|\x00-\x1f\s]+', " ", project).strip(" .") or "digest"
     span = f" {first} to {last}" if first and last else ""
     tails = [f"{span} part {k} of {parts}.txt" if parts > 1 else f"{span}.txt" for k in range(1, parts + 1)]
     return [safe[: max(8, room - len(t))].rstrip() + t for t in tails]
