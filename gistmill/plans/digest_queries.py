@@ -11,6 +11,7 @@ from gistmill.functions import subjects
 from gistmill.functions.facts import fact_score, fact_score_sql
 from gistmill.operators import documents as D
 from gistmill.operators import mail as M
+from gistmill.operators import quotes as Q
 from gistmill.operators.delivery import keep_one
 from gistmill.operators.instants import with_instant
 from gistmill.plans.packing import packed
@@ -217,6 +218,18 @@ def attached_recovered(spark, sf_dir):
     return inner.join(filed, same, "left_anti").select("idx", F.col("position").cast("long").alias("position"), "sender", "thread_key")
 
 
+@query()
+def quoted_messages(spark, sf_dir):
+    """Quoted messages inside bodies, newest first."""
+    return Q.quoted(table(spark, sf_dir, "emails")).select("idx", "depth", "sender_name", "sender_email", "date_iso", "subject")
+
+
+@query()
+def quoted_never_filed(spark, sf_dir):
+    """Quoted messages that no row of the table is."""
+    return Q.never_filed(table(spark, sf_dir, "emails"), table(spark, sf_dir, "mailboxes"))
+
+
 KEYWORDS = r"\b(?:RFI|NCR)[ -]?0*1\d{2,}\b|crane booking"
 
 

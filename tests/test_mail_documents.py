@@ -6,6 +6,7 @@ import pytest
 
 from gistmill.operators import documents as D
 from gistmill.operators import mail as M
+from gistmill.operators.quotes import never_filed, parse_quoted
 from gistmill.plans.packing import pack
 from gistmill.sources.docfiles import extract, read_documents
 from gistmill.sources.mailfiles import html_to_text, merged, read_mail, scan, to_read
@@ -131,6 +132,30 @@ def test_a_folder_of_mail(spark, tmp_path):
     assert {tuple(r) for r in merged(old, new, there, False).collect()} == {("a", 2), ("gone", 1)}
 
 
+QUOTING = """Fine.
+
+On Mon, 4 Mar 2024 at 10:12, Ann
+<ann@x.example> wrote:
+> First line
+> Von: Bob <BOB@y.example>
+> Gesendet: 3. März 2024 09:00
+> Betreff: Wand
+>
+> Alt
+
+From: Depot A
+To: Gate 4"""
+
+
+def test_quoted_messages(spark):
+    got = parse_quoted(QUOTING)
+    assert [(q["sender_email"], q["subject"]) for q in got] == [("ann@x.example", ""), ("bob@y.example", "Wand")]
+    assert got[0]["body"] == "First line" and got[1]["body"].startswith("Alt") and parse_quoted(None) == [] and parse_quoted("") == []
+    emails = rows(spark, "idx long, mailbox string, date_iso string, sender_email string, body string", (1, "m", "2024-03-05T10:00:00Z", "c@x", QUOTING), (2, "m", "2024-03-04T10:12:30Z", "Ann@x.example", None))
+    boxes = rows(spark, "mailbox string, tz_name string, locale string", ("m", "UTC", "en-GB"))
+    assert [(r.idx, r.depth, r.sender_email) for r in never_filed(emails, boxes).collect()] == [(1, 1, "bob@y.example")]
+
+
 def test_html():
     assert html_to_text("<style>x</style><ol><li>one<li>two</ol><a href='https://x.example'>link</a>&amp;") == "1. one\n2. two\nlink <https://x.example>&"
     assert html_to_text("<p>open") == "open" and html_to_text("") == ""
