@@ -87,8 +87,9 @@ def thresholds(counts: DataFrame, targets: DataFrame) -> DataFrame:
         .select("plan", "source", "tokenizer", "target_share", "target", "tokens_there", "repeats", "left")
     )
     by = ["plan", "source"]
+    # what is broadcast here and below has a row for each row of the plans
     coarse = _boundary(
-        wanted.where("left > 0").join(sums, F.col("source") == F.col("s_source")).select(*by, "left", "coarse", pick().alias("tokens")), by, "coarse", "left"
+        sums.join(F.broadcast(wanted.where("left > 0")), F.col("source") == F.col("s_source")).select(*by, "left", "coarse", pick().alias("tokens")), by, "coarse", "left"
     ).join(wanted.select(*by, "tokenizer"), by)
     inner = counts.withColumnRenamed("source", "s_source").withColumns({"s_coarse": _bucket(COARSE), "fine": _bucket(FINE, COARSE)})
     inner = inner.join(F.broadcast(coarse.select(*by, "tokenizer", "coarse", "rest")), (F.col("source") == F.col("s_source")) & (F.col("coarse") == F.col("s_coarse")))
