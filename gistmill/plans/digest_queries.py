@@ -11,6 +11,7 @@ from gistmill.functions import subjects
 from gistmill.functions.facts import fact_score, fact_score_sql
 from gistmill.operators import documents as D
 from gistmill.operators import mail as M
+from gistmill.operators import people as P
 from gistmill.operators import quotes as Q
 from gistmill.operators.delivery import keep_one
 from gistmill.operators.instants import with_instant
@@ -403,3 +404,55 @@ def event_sessions(spark, sf_dir):
 def events_once(spark, sf_dir):
     """Events counted once per user, type and time, from a stream that drops repeats within its watermark."""
     return deduplicated_stream(spark, f"{sf_dir}/events.parquet").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+TIDY = """trim(regexp_replace(regexp_replace(coalesce(display, ''), '\\s*\\([^()]*\\)\\s*$', ''), '^[''\"]+|[''\"]+$', '', 'g'))"""
+TIDY = f"regexp_replace(regexp_replace({TIDY}, '([a-z])([A-Z][a-z])', '\\1 \\2', 'g'), '^([^,@]+), *([^,@]+)$', '\\2 \\1')"
+
+
+@query(f"SELECT obs_id, {TIDY} AS tidy FROM person_obs WHERE {TIDY} <> '' AND NOT contains({TIDY}, '@')")
+def names_tidied(spark, sf_dir):
+    rows = table(spark, sf_dir, "person_obs").select("obs_id", F.coalesce("display", F.lit("")).alias("display"), P.tidy_name(F.col("display"), F.lit("")).alias("tidy"))
+    return rows.where("tidy != ''").select("obs_id", "tidy")
+
+
+@query("""WITH d AS (SELECT DISTINCT lower(domain) AS domain FROM person_obs WHERE domain <> '')
+ SELECT domain FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE ends_with(a.domain, '.' || b.domain))""")
+def domains_listed(spark, sf_dir):
+    return P.listed_domains(table(spark, sf_dir, "person_obs").select("domain"))
+
+
+@query("""WITH o AS (SELECT DISTINCT regexp_extract(lower(domain), '^([^.]+)', 1) AS label FROM person_obs WHERE domain <> ''), l AS (SELECT label, regexp_replace(upper(label), '[^A-Z0-9]+', '', 'g') AS letters FROM o),
+ t AS (SELECT label, letters, substring(letters, 1, k) AS code FROM l, unnest(range(least(6, length(letters)), length(letters) + 1)) AS u(k)),
+ f AS (SELECT code FROM t GROUP BY 1 HAVING count(*) = 1), b AS (SELECT label, arg_min(code, length(code)) AS code FROM t WHERE code IN (SELECT code FROM f) GROUP BY 1),
+ s AS (SELECT label, letters, row_number() OVER (PARTITION BY letters ORDER BY label) AS k FROM l WHERE label NOT IN (SELECT label FROM b))
+ SELECT label, code FROM b UNION ALL SELECT label, letters || CASE WHEN k > 1 THEN CAST(k AS VARCHAR) ELSE '' END FROM s""")
+def organisation_codes(spark, sf_dir):
+    return P.organisation_codes(table(spark, sf_dir, "person_obs").where("domain != ''").select(F.regexp_extract(F.lower("domain"), r"^([^.]+)", 1).alias("label")))
+
+
+def _people(spark, sf_dir) -> DataFrame:
+    named = M.best_names(M.people_seen(table(spark, sf_dir, "emails")))
+    return named.select(F.regexp_extract("email", r"@([^.@]+)", 1).alias("organisation"), "email", "display", "uses")
+
+
+@query()
+def people_aliases(spark, sf_dir):
+    """Aliases, unique inside an organisation."""
+    return P.aliases(_people(spark, sf_dir))
+
+
+@query(f"""WITH {PEOPLE}, r AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY CASE WHEN contains(display, ' ') THEN 0 ELSE 1 END, n DESC, display) AS k,
+ sum(n) OVER (PARTITION BY email) AS uses FROM seen WHERE display <> '' AND NOT contains(display, '@')),
+ p AS (SELECT regexp_extract(email, '@([^.@]+)', 1) AS organisation, email, display, uses FROM r WHERE k = 1),
+ q AS (SELECT *, row_number() OVER (PARTITION BY organisation ORDER BY uses DESC, email) AS j FROM p)
+ SELECT organisation, count(*) AS people, string_agg(display, '; ' ORDER BY display) FILTER (WHERE j <= 50) AS names FROM q GROUP BY 1""")
+def legend_lines(spark, sf_dir):
+    return P.legend(_people(spark, sf_dir))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(text, '<(?:mailto|tel|file|cid):[^<>\\s]*>', '', 'g'), 'https?://(?:www\\.)?([^/\\s<>|)]+)[^\\s<>|)]*', '\\1', 'g') AS text
+ FROM documents WHERE contains(text, '://') OR contains(text, '<mailto:')""")
+def links_shortened(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("contains(text, '://') or contains(text, '<mailto:')")
+    return rows.select("doc_id", P.short_links(F.col("text")).alias("text"))

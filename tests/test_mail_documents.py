@@ -206,3 +206,23 @@ def test_parts_are_written_all_or_none(tmp_path):
     assert sorted(p.name for p in tmp_path.glob("*.txt")) == sorted(names)
     assert write_parts(str(tmp_path), [names[0]], ["new"]) == [names[1]]
     assert (tmp_path / names[0]).read_text() == "new" and not (tmp_path / names[1]).exists()
+
+
+def test_people_of_a_digest(spark):
+    from pyspark.sql import functions as F
+
+    from gistmill.operators import people as P
+
+    names = rows(spark, "d string, e string", ("Jones, Ann", ""), ("'AnnJones' (X)", ""), (None, "ann.jones@x"), ("a@x", "bob_b@x"))
+    assert [r[0] for r in names.select(P.tidy_name(F.col("d"), F.col("e"))).collect()] == ["Ann Jones", "Ann Jones", "Ann Jones", "Bob B"]
+    domains = rows(spark, "domain string", ("x.com",), ("mail.x.com",), ("ax.com",), ("y.z.org",), (None,), ("",))
+    assert {r.domain for r in P.listed_domains(domains).collect()} == {"x.com", "ax.com", "y.z.org"}
+    labels = rows(spark, "label string", ("stonequay",), ("stonequarry",), ("acme",), ("ac-me",))
+    assert {r.label: r.code for r in P.organisation_codes(labels).collect()} == {"stonequay": "STONEQUAY"[:9], "stonequarry": "STONEQUAR", "ac-me": "ACME", "acme": "ACME2"}
+    people = rows(spark, "organisation string, email string, display string, uses long", ("o", "1", "Ann Jones", 5), ("o", "2", "Al Jonas", 9), ("o", "3", "Al Jonas", 1), ("o", "4", "Zed", 1))
+    got = {r.email: r.alias for r in P.aliases(people).collect()}
+    assert got["2"] == "AJ" and got["1"] == "AJo" and len({a.lower() for a in got.values()}) == 4
+    assert P.legend(people).collect()[0].names == "Al Jonas; Al Jonas; Ann Jones; Zed"
+    lines = [(1, p, k, t) for p in range(1, 5) for k, t in enumerate([f"Report 7 page {p}", "body", f"text {p}", f"more {p} m", "own words", f"{p} of 4"])]
+    found = {(r.page, r.line_no) for r in P.page_furniture(rows(spark, "doc_no long, page long, line_no long, text string", *lines), 1).collect()}
+    assert found == {(p, k) for p in range(1, 5) for k in (0, 5)}
