@@ -62,4 +62,11 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p4_found": r"""WITH seg AS (SELECT doc_no, title AS t FROM doctexts UNION ALL SELECT doc_no, b.text FROM (SELECT doc_no, unnest(blocks) AS b FROM doctexts)),
+ w AS (SELECT doc_no, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM seg WHERE t IS NOT NULL),
+ g AS (SELECT DISTINCT doc_no, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM w, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 3),
+ n AS (SELECT doc_no, count(*) AS n FROM g GROUP BY 1),
+ p AS (SELECT a.doc_no AS a, b.doc_no AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_no < b.doc_no GROUP BY 1, 2)
+ SELECT p.a AS doc_no_a, p.b AS doc_no_b FROM p JOIN n x ON p.a = x.doc_no JOIN n y ON p.b = y.doc_no WHERE 10 * c >= 7 * (x.n + y.n - c)""",
+}
