@@ -10,7 +10,7 @@ from gistmill.llm.mixing import mix
 from gistmill.llm.splitting import split_texts
 from gistmill.llm.tokens import BYTE_LEVEL, FOLDER
 
-ODD = ["", None, " ", "\n\n", "Hello  world\r\n\tx", "<|endoftext|> it's", "naïve Ünïcode – № ١٢ 日本語 😀👍🏽", "\x85\xa0　x", "\U00010450͸a", "a" * 3000, "12345 " * 50, " \n \n ", "Was it? Yes. " * 80]
+ODD = ["don't we'll I'm \u0645\u0631 \u0e01\u0e34", "'S 'tis ''s", "", None, " ", "\n\n", "Hello  world\r\n\tx", "<|endoftext|> it's", "naïve Ünïcode – № ١٢ 日本語 😀👍🏽", "\x85\xa0　x", "\U00010450͸a", "a" * 3000, "12345 " * 50, " \n \n ", "Was it? Yes. " * 80]
 
 
 @pytest.fixture(scope="module")
