@@ -118,10 +118,6 @@ NOTICE_WORDS = tuple("extern|outside|copied|passed on|mistake|attachment|confide
 WROTE_WORDS = ("wrote", "writes", "schr", "crit", "crivait", "escribi", "escreveu", "napisa", "pisze", "пишет", "исал")
 
 
-# Characters that wrongly decoded text is full of.
-WRONG = ("Ã", "Ă", "Ĺ", "├", "┬", "Γ", "√", "‚Ä", "Ð", "Â", "â€", "ÔÇ", "С‚", "Рѕ", "Θ", "ⁿ")
-
-
 def _any(words: tuple[str, ...], text: str) -> bool:
     return any(w in text for w in words)
 
@@ -151,8 +147,11 @@ def _header_at(lines: list[str], k: int) -> int:
 
 def read_body(body: str, name: str | None, email: str | None) -> tuple[list[int], list[int]]:
     """(numbers of new lines, numbers of lines in the sender's own closing block); lines end at a line feed, from 1."""
-    if _any(WRONG, body):  # rules need the text as it was written; lines stay lines
-        body = restore(body)[0]
+    return _read_restored(restore(body)[0], name, email)
+
+
+def _read_restored(body: str, name: str | None, email: str | None) -> tuple[list[int], list[int]]:
+    """As :func:`read_body`, of a text as it was written; restoring leaves lines lines."""
     raw = body.split("\n")
     lines = [x.replace("\r", "").replace("\xa0", " ").rstrip() for x in raw]
     n = len(lines)
@@ -318,7 +317,8 @@ def read_bodies(emails: DataFrame) -> DataFrame:
         for batch in batches:
             own, blocks = [], []
             for body, name, email in zip(batch.column("body").to_pylist(), batch.column("sender_name").to_pylist(), batch.column("sender_email").to_pylist()):
-                new, closing = read_body(body, name, email)
+                body = restore(body)[0]  # rules and automata need the text as it was written
+                new, closing = _read_restored(body, name, email)
                 raw = body.split("\n")
                 own.append([{"line_no": k, "text": " ".join(raw[k - 1].split())} for k in new])
                 blocks.append([" ".join(raw[k - 1].split()) for k in closing])

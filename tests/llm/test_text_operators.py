@@ -78,6 +78,27 @@ def test_lines_of_the_sender():
     assert read_body("", "", "") == ([], []) and read_body(" \n\r\n", None, None) == ([], [])
 
 
+MAIL = "idx long, mailbox string, date_iso string, sender_name string, sender_email string, subject string, conversation_topic string, body string"
+
+
+def test_wrongly_decoded_bodies_are_read_as_they_were_written(spark):
+    """Single-byte damage: each body holds nothing but its first line once it is put right."""
+    assert read_body("Dzień dobry.\n\nZ powa¿aniem\nJan Kos", "Jan Kos", "jan.kos@acme.example") == ([1], [3, 4])
+    damaged = "Это первая строка.\n\nС уважением,\nJan Kos".encode("koi8-r").decode("cp1251")
+    assert read_body(damaged, "Jan Kos", "jan.kos@acme.example") == ([1], [3, 4])
+    introduced = "Это первая строка.\n\nAnn <ann@x.example>\nписал(а) 15/11/2021 20:07:\n> Old.".encode("cp1251").decode("koi8-r")
+    assert read_body(introduced, "Jan Kos", "jan.kos@acme.example")[0] == [1]
+    # the thread compares what was written, too: the second message repeats a damaged passage in whole letters
+    first = "Ściana oporowa przy bramie została dzisiaj ponownie zmierzona. Nikt jeszcze nie podpisał protokołu dla pompy."
+    rows = [
+        (1, "m", "2024-01-01T10:00:00Z", "A", "a@x", "Wall", "Wall", first.encode("cp1250").decode("cp1252")),
+        (2, "m", "2024-01-02T10:00:00Z", "B", "b@x", "RE: Wall", "Wall", f"Agreed, go on.\n{first}"),
+    ]
+    emails = spark.createDataFrame(rows, MAIL)
+    boxes = spark.createDataFrame([("m", "UTC", "en-GB")], "mailbox string, tz_name string, locale string")
+    assert sorted(map(tuple, own_lines(emails, boxes).collect())) == [(1, 1), (2, 1)]
+
+
 def test_passages_of_earlier_messages_are_not_new(spark):
     first = "The retaining wall at gate forty was measured again today. Nobody has signed the record for the pump skid yet."
     rows = [
