@@ -8,7 +8,8 @@ is run over what is left; matched intervals are merged, and passages of two or m
 earlier messages are subtracted too, and lines of the sender's own block.
 
 A thread is a topic in two neighbouring periods of 30 days. Its sentences are spread over automata of about
-:data:`PART` messages each, its messages over blocks of as many, and every block meets every automaton, so that no task holds a whole large thread.
+:data:`PART` messages each, its messages over blocks of as many, and every block meets every automaton, so that no task holds a whole large thread;
+the intervals that a message has from all automata are united before they are merged.
 
 Defined results: NULL, empty and blank bodies have no lines; repeated rows are read each; messages without topic or
 instant are only read by themselves; bodies are read whole; other columns are ignored.
@@ -34,6 +35,9 @@ from gistmill.sources.tables import staged
 PART = 2_000
 PERIOD = 30 * 86_400
 
+OWN = pa.list_(pa.struct([("line_no", pa.int32()), ("text", pa.string())]))
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("closing", pa.bool_())]))
+
 MARK = re.compile(r"^\s*((?:[>|]\s?)+)")
 CLOCK = r"\d{1,2}[:.h]\d{2}"
 WROTE = r"(?:wrote|writes|schrieb|schreibt|geschrieben|a .crit|.crivait|escribi.|escreveu|napisa.(?:\(a\)|a)?|pisze|пишет|писал(?:\(а\)|а)?|написал(?:\(а\)|а)?)"
@@ -323,7 +327,7 @@ def read_bodies(emails: DataFrame) -> DataFrame:
                 own.append([{"line_no": k, "text": " ".join(raw[k - 1].split())} for k in new])
                 blocks.append([" ".join(raw[k - 1].split()) for k in closing])
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], pa.array(own, pa.list_(pa.struct([("line_no", pa.int32()), ("text", pa.string())]))), pa.array(blocks, pa.list_(pa.string()))], [*keep, "own", "block"]
+                [*[batch.column(c) for c in keep], pa.array(own, OWN), pa.array(blocks, pa.list_(pa.string()))], [*keep, "own", "block"]
             )
 
     schema = ", ".join(f"{c} {emails.schema[c].dataType.simpleString()}" for c in keep)
@@ -337,18 +341,29 @@ def _sentences(texts: list[str]) -> list[str]:
     return [s for s in SENTENCE.split(" ".join(texts)) if len(s) >= 30]
 
 
-def _scan(automaton, lines: list[dict], order: tuple, sender: int) -> list[int]:
-    """Numbers of the lines that earlier messages cover: passages of two sentences or more, and lines of the sender's block."""
+def _joined(lines: list[dict]) -> tuple[str, list[int]]:
+    """The lines as one text, and where each starts."""
     text, starts = "", []
     for line in lines:
         starts.append(len(text))
         text += line["text"] + " "
-    spans = []
-    for end, found in automaton.iter(text):
+    return text, starts
+
+
+def _scan(automaton, lines: list[dict], order: tuple, sender: int) -> set[tuple[int, int, bool]]:
+    """(start, end, whether of a closing block) of what one automaton finds of earlier messages."""
+    spans = set()
+    for end, found in automaton.iter(_joined(lines)[0]):
         for length, closing, other, when in found:
             # sentences of others; the sender's own ones are as a rule the same message, filed or sent again
             if when < order and closing == (other == sender):
-                spans.append((end - length + 1, end + 1, closing))
+                spans.add((end - length + 1, end + 1, closing))
+    return spans
+
+
+def _covered(lines: list[dict], spans: set[tuple[int, int, bool]]) -> list[int]:
+    """Numbers of the lines that the spans of all automata cover: passages of two sentences or more, and lines of the sender's block."""
+    text, starts = _joined(lines)
     covered: set[int] = {line["line_no"] for line, a in zip(lines, starts) for s, e, closing in spans if closing and s == a and e - s == len(line["text"])}
     merged: list[list[int]] = []
     for s, e, closing in sorted(spans):
@@ -389,7 +404,7 @@ def own_lines(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
 
         thread, patterns, automaton = None, {}, None
         for batch in batches:
-            out_idx, out_line = [], []
+            out_idx, out_own, out_spans = [], [], []
             for row in batch.to_pylist():
                 key = (row["topic"], row["period"], row["part"], row["block_no"])
                 if key != thread:
@@ -412,11 +427,23 @@ def own_lines(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
                                 first[v[1:3]] = v
                         automaton.add_word(s, list(first.values()))
                     automaton.make_automaton()
-                if len(automaton):
-                    hits = _scan(automaton, row["own"], order, row["sender"])
-                    out_idx += [row["idx"]] * len(hits)
-                    out_line += hits
+                if len(automaton) and (spans := _scan(automaton, row["own"], order, row["sender"])):
+                    out_idx.append(row["idx"])
+                    out_own.append(row["own"])
+                    out_spans.append([{"start": a, "end": b, "closing": closing} for a, b, closing in sorted(spans)])
+            yield pa.RecordBatch.from_arrays([pa.array(out_idx, pa.int64()), pa.array(out_own, OWN), pa.array(out_spans, SPANS)], ["idx", "own", "spans"])
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_idx, out_line = [], []
+            for row in batch.to_pylist():
+                hits = _covered(row["own"], {(x["start"], x["end"], x["closing"]) for part in row["spans"] for x in part})
+                out_idx += [row["idx"]] * len(hits)
+                out_line += hits
             yield pa.RecordBatch.from_arrays([pa.array(out_idx, pa.int64()), pa.array(out_line, pa.int32())], ["idx", "line_no"])
 
-    covered = work.mapInArrow(scan, "idx long, line_no int").distinct()
+    matched = work.mapInArrow(scan, "idx long, own array<struct<line_no:int,text:string>>, spans array<struct<start:int,end:int,closing:boolean>>")
+    # a message's sentences may stand in several parts: the rules of a passage need the spans of all of them; repeated rows have the same text
+    united = matched.groupBy("idx", "own").agg(F.collect_list("spans").alias("spans"))
+    covered = united.mapInArrow(cover, "idx long, line_no int").distinct()
     return found.join(covered, ["idx", "line_no"], "left_anti").select("idx", "line_no")

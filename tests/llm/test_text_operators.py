@@ -113,6 +113,21 @@ def test_passages_of_earlier_messages_are_not_new(spark):
     assert own_lines(emails.where("false"), boxes).count() == 0
 
 
+def test_a_passage_of_two_messages_in_different_parts_is_not_new(spark, monkeypatch):
+    """With automata of one message each, the two sentences of the last message are found by different ones."""
+    one, two = "The retaining wall at gate forty was measured again today.", "Nobody has signed the record for the pump skid yet."
+    rows = [
+        (k, "m", f"2024-01-{k:02d}T10:00:00Z", "A", f"{k}@x", "Wall", "Wall", text)
+        for k, text in enumerate([one, two, *[f"Message {k} says something of its own." for k in range(3, 12)], f"{one} {two}"], 1)
+    ]
+    emails = spark.createDataFrame(rows, MAIL)
+    boxes = spark.createDataFrame([("m", "UTC", "en-GB")], "mailbox string, tz_name string, locale string")
+    whole = sorted(map(tuple, own_lines(emails, boxes).collect()))
+    assert whole == [(k, 1) for k in range(1, 12)]
+    monkeypatch.setattr("gistmill.llm.own_words.PART", 1)
+    assert sorted(map(tuple, own_lines(emails, boxes).collect())) == whole
+
+
 def test_near_duplicates_against_all_pairs(spark):
     random.seed(5)
     words = [f"w{k}" for k in range(60)]
