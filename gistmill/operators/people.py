@@ -63,11 +63,9 @@ def aliases(people: DataFrame) -> DataFrame:
 
 
 def legend(people: DataFrame) -> DataFrame:
-    """``organisation, people, names``: the people of an organisation in one line, at most fifty of them named."""
-    first = Window.partitionBy("organisation").orderBy(F.desc("uses"), "email")
-    ranked = people.withColumn("k", F.row_number().over(first))
-    named = F.array_sort(F.collect_list(F.when(F.col("k") <= 50, F.col("display"))))
-    return ranked.groupBy("organisation").agg(F.count(F.lit(1)).alias("people"), F.array_join(named, "; ").alias("names"))
+    """``organisation, people, names``: the people of an organisation in one line, all of them named."""
+    named = F.array_sort(F.collect_list("display"))
+    return people.groupBy("organisation").agg(F.count(F.lit(1)).alias("people"), F.array_join(named, "; ").alias("names"))
 
 
 def short_links(text: Column) -> Column:

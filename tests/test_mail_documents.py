@@ -226,3 +226,11 @@ def test_people_of_a_digest(spark):
     lines = [(1, p, k, t) for p in range(1, 5) for k, t in enumerate([f"Report 7 page {p}", "body", f"text {p}", f"more {p} m", "own words", f"{p} of 4"])]
     found = {(r.page, r.line_no) for r in P.page_furniture(rows(spark, "doc_no long, page long, line_no long, text string", *lines), 1).collect()}
     assert found == {(p, k) for p in range(1, 5) for k in (0, 5)}
+
+
+def test_the_legend_names_everyone(spark):
+    from gistmill.operators import people as P
+
+    people = rows(spark, "organisation string, email string, display string, uses long", *[("o", str(k), f"Person {k:03}", k) for k in range(120)])
+    got = P.legend(people).collect()
+    assert [(r.organisation, r.people, r.names) for r in got] == [("o", 120, "; ".join(f"Person {k:03}" for k in range(120)))]
