@@ -127,16 +127,19 @@ def near_copies(rows: DataFrame, seconds: int = 120) -> DataFrame:
     return sized.where("_n > 1").drop("_n").groupBy("key").applyInPandas(fold, "idx long, slot long").unionByName(alone)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, time: str, name: str, within: int) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, time: str, name: str, within: int, unlike: str | None = None) -> DataFrame:
     """For each row of ``left`` the row of ``right`` with the same key whose time is nearest, at most ``within`` seconds away.
 
     An equi-join on key and time bucket: a bucket is ``within`` long, so a match lies in the same or a neighbouring one. Ties go to the
-    smaller ``name``. Rows without match stay, with NULLs.
+    smaller ``name``. Rows without match stay, with NULLs. ``unlike``: a column in which a match must differ, for a table joined with
+    itself; a row is no match of its own, and NULL differs from nothing.
     """
     seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
     a = left.withColumn("_s", seconds(F.col(time))).withColumn("_b", F.explode(F.array(*[F.floor(F.col("_s") / within) + k for k in (-1, 0, 1)])))
-    b = right.select(F.col(key).alias("_k"), F.col(name).alias("near_id"), seconds(F.col(time)).alias("_t")).withColumn("_rb", F.floor(F.col("_t") / within))
+    b = right.select(F.col(key).alias("_k"), F.col(name).alias("near_id"), seconds(F.col(time)).alias("_t"), *([F.col(unlike).alias("_u")] if unlike else [])).withColumn("_rb", F.floor(F.col("_t") / within))
     pairs = a.join(b, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_rb")) & (F.abs(F.col("_s") - F.col("_t")) <= within))
+    if unlike:
+        pairs = pairs.where((F.col(unlike) != F.col("_u")) & (F.col(name) != F.col("near_id")))
     best = pairs.groupBy(F.col(name)).agg(F.min(F.struct(F.abs(F.col("_s") - F.col("_t")).alias("gap"), "near_id")).alias("m"))
     return left.join(best, name, "left").select(*left.columns, F.col("m.near_id").alias("near_id"), F.col("m.gap").alias("gap_s"))
 

@@ -201,9 +201,9 @@ def writer_zones(spark, sf_dir):
  p AS (SELECT a.event_id, near_id, abs(s - t) AS gap_s, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(s - t), near_id) AS k FROM a JOIN b ON a.user_id = b.user_id AND abs(s - t) <= 86400)
  SELECT a.event_id, a.user_id, p.near_id, p.gap_s FROM a LEFT JOIN p ON a.event_id = p.event_id AND k = 1""")
 def nearest_events(spark, sf_dir):
-    """Nearest-time join: for each event of one kind the nearest event of the other kind of the same user, at most a day away."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return M.nearest(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), "user_id", "ts", "event_id", 86_400).select("event_id", "user_id", "near_id", "gap_s")
+    """Nearest-time join: for each event the nearest event of another type of the same user, at most a day away."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return M.nearest(events, events, "user_id", "ts", "event_id", 86_400, "event_type").select("event_id", "user_id", "near_id", "gap_s")
 
 
 @query()

@@ -51,6 +51,25 @@ def test_nearest_in_time(spark):
     assert got == {1: (10, 60), 2: (None, None), 3: (None, None), 4: (None, None)}
 
 
+def test_nearest_events_of_another_type(spark, tmp_path):
+    """All events, odd and even, against all pairs."""
+    from datetime import datetime, timedelta
+
+    from gistmill.plans.digest_queries import QUERIES
+
+    random.seed(3)
+    data = [(k, random.choice([1, 1, 2, 3, None]), datetime(2024, 1, 1) + timedelta(seconds=random.randrange(9 * 86_400)), random.choice(["view", "click", "view", None])) for k in range(90)]
+    data += [(90, 7, datetime(2024, 1, 1), "view"), (91, 7, datetime(2024, 1, 1), "view"), (92, 7, datetime(2024, 1, 2), "click"), (94, 7, datetime(2024, 1, 2), "error")]
+    rows(spark, "event_id long, user_id long, ts timestamp_ntz, event_type string", *data).write.parquet(str(tmp_path / "events.parquet"))
+    want = set()
+    for i, user, at, kind in data:
+        gaps = [(abs(int((at - t).total_seconds())), j) for j, u, t, k in data if user is not None and u == user and None not in (kind, k) and k != kind and abs((at - t).total_seconds()) <= 86_400]
+        gap, near = min(gaps, default=(None, None))
+        want.add((i, user, near, gap))
+    assert {tuple(r) for r in QUERIES["nearest_events"](spark, str(tmp_path)).collect()} == want
+    assert (90, 7, 92, 86_400) in want and (92, 7, 94, 0) in want
+
+
 def test_acknowledgements_and_noise(spark):
     from pyspark.sql import functions as F
 
