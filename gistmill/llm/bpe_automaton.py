@@ -5,11 +5,13 @@ are the tokens and an arc ``a -> b``, labelled ``b``, exists unless some merge w
 of ``a`` and ``b``. Merges are taken in order; each one adds its gadget: the new token, its two halves, and the arcs that it
 takes away. The dense table has (vocabulary size)^2 entries, therefore arcs are worked out from the gadgets when first
 asked for and kept. Of all vocabulary entries that end at a byte of a word exactly one has a legal arc from the state
-reached at its start; following these and reading the labels backwards gives the encoding in time linear in the word.
+reached at its start; following these and reading the labels backwards gives the encoding in time linear in the word. Decoding emits the
+labels of a path's arcs one after the other.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 from functools import lru_cache
 
@@ -26,6 +28,7 @@ class BpeAutomaton:
 
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.ids = vocabulary
+        self.labels = {k: token for token, k in vocabulary.items()}
         self.longest = max(map(len, vocabulary), default=1)
         #: token -> when it comes into being; bytes are there from the start
         self.born = {token: -1 for token in vocabulary if len(token) == 1}
@@ -54,6 +57,24 @@ class BpeAutomaton:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         return cls(vocabulary, [(raw(a), raw(b)) for a, b in pairs])
 
+    @classmethod
+    def from_ranks(cls, path: str) -> BpeAutomaton:
+        """From lines of a token in base 64 and its rank; a token's halves are what the merges before it leave of its bytes."""
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        merges = []
+        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+            if len(token) == 1:
+                continue
+            parts = [token[k : k + 1] for k in range(len(token))]
+            while len(parts) > 2:
+                first, k = min((ranks.get(a + b, rank), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+                if first >= rank:
+                    raise ValueError(f"{path}: no merge gives the token {token!r}")
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            merges.append((parts[0], parts[1]))
+        return cls(ranks, merges)
+
     def _edge(self, token: bytes, side: int) -> list[tuple[bytes, int, float]]:
         """What stands at the left (0) or right (1) end while ``token`` is built: (part, from, until), last part first."""
         parts, until = [], float("inf")
@@ -98,6 +119,13 @@ class BpeAutomaton:
             end -= len(last[end])
         return labels[::-1]
 
+    def decode(self, ids: list[int]) -> bytes:
+        """The bytes of token ids; an id that the vocabulary doesn't have is an error."""
+        try:
+            return b"".join(map(self.labels.__getitem__, ids))
+        except KeyError as e:
+            raise ValueError(f"no token has the id {e.args[0]}") from None
+
     def whole(self, token: bytes) -> bool:
         """Whether the merges, applied to the token's own bytes, give just this token."""
         key = (token, b"")

@@ -78,8 +78,9 @@ class WordCoder:
             with open(f"{folder}/{name}.tiktoken", "rb") as file:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
             self.encode = self.encode_first = tiktoken.Encoding(name, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            if with_automaton and Path(f"{folder}/{name}.json").exists():
-                self.automaton = BpeAutomaton.from_json(f"{folder}/{name}.json")
+            if with_automaton:
+                merges = Path(f"{folder}/{name}.json")
+                self.automaton = BpeAutomaton.from_json(str(merges)) if merges.exists() else BpeAutomaton.from_ranks(f"{folder}/{name}.tiktoken")
 
     def atoms(self, word: str) -> list[str]:
         """A word cut wherever that changes no token: between characters that no entry of the vocabulary joins."""

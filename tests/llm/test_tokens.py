@@ -53,6 +53,28 @@ def test_ids_equal_the_librarys(spark, library):
     assert encode_corpus(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("tokenizer", ["byte_bpe_50k", "byte_bpe_multi_50k"])
+def test_ids_come_from_the_automaton_and_decode_to_their_text(spark, tokenizer):
+    """With merges in a file of their own, and with ranks only."""
+    from gistmill.llm.encode_corpus import decode_corpus
+    from gistmill.llm.tokens import WordCoder
+
+    with open(f"{FOLDER}/{tokenizer}.tiktoken", "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    own = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+    assert WordCoder(tokenizer, FOLDER, True).automaton is not None
+    coded = encode_corpus(documents(spark, ODD), tokenizer)
+    assert {r.doc_id: r.ids for r in coded.collect()} == {k: own.encode_ordinary(t or "") for k, t in enumerate(ODD)}
+    assert {r.doc_id: r.text for r in decode_corpus(coded, tokenizer).collect()} == {k: t or "" for k, t in enumerate(ODD)}
+
+
+def test_merges_from_ranks_are_those_of_the_file():
+    machine = BpeAutomaton.from_ranks(f"{FOLDER}/byte_bpe_50k.tiktoken")
+    assert machine.merged == BpeAutomaton.from_json(f"{FOLDER}/byte_bpe_50k.json").merged
+    with pytest.raises(ValueError):
+        machine.decode([10**6])
+
+
 @pytest.mark.parametrize("tokenizer,limit,overlap", [("byte_bpe_50k", 16, 4), ("byte_bpe_50k", 50, 0), ("piece_bpe_32k", 20, 3)])
 def test_pieces_stay_within_their_limit(spark, library, tokenizer, limit, overlap):
     import sentencepiece
