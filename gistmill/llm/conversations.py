@@ -2,15 +2,21 @@
 
 Links first: a reply belongs with the stored message that it names, or, if it names none, with the latest earlier message of
 its topic within 21 days. Roots come from squaring these links; what leads to no stored message or runs in a
-circle has no root. Then messages are replayed in the order in which scans delivered them, keyed by root: state buffers a
-conversation until all messages linked to it have arrived, late files included, or a timeout of delivery time; on
-closure it is validated and emitted. Delivery time is the event time, as it never runs backwards; dates in mails do.
+circle has no root. Then messages are replayed in the order in which scans delivered them, through keyed streaming state:
+a conversation is buffered until all messages linked to it have arrived, late files included, and then validated and
+emitted. One for which nothing came for :data:`PATIENCE` deliveries is emitted as far as it has come, marked as open,
+by a timeout of the watermark; it stays buffered, and messages that arrive after all emit it anew. The latest form counts.
+Delivery time is the event time, as it never runs backwards; dates in mails do.
+
+State is keyed by slices: a slice holds many small conversations as one packed array, so that a call serves thousands of
+rows; a conversation with more than :data:`SLOT` messages is spread over slices by a hash of its messages, is validated
+over all of them after the stream, and its turns are counted by day, by second and within a second, so that no task and no
+state value grows with a conversation.
 
 Valid: at least two sender addresses, and no message with a blank body or without an instant. Defined results: copies of a
-message count once; replies without a reference and without an earlier message of their topic, or with an empty topic, open a
-conversation; NULL sender addresses are no address; equal instants go by ``idx``; an empty table has no conversation.
-Conversations above :data:`LARGE` messages are not held in state: the same rules are applied by aggregation, with
-turns from counts per day, so that no task holds one.
+message count once, and so do repeated rows of one ``idx``; replies without a reference and without an earlier message of their topic, or with an
+empty topic, open a conversation; NULL sender addresses are no address; equal instants go by ``idx``; an empty table has no
+conversation.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,10 +37,16 @@ from gistmill.sources.tables import shared_dir, staged
 
 DAYS = 21
 DAY = 86_400
-#: Messages of a conversation that may stand in state.
-LARGE = 50_000
-#: Deliveries (scan runs) after the last message of an unfinished conversation until it times out.
-PATIENCE = 1_000
+#: Messages of one conversation that stand in one slice of the state; more are spread over several.
+SLOT = 4_096
+#: Messages that a slice of the state sees in all, about.
+SLICE = 2_000
+#: Deliveries (scan runs) without a further message until an unfinished conversation is emitted as it is.
+PATIENCE = 4
+#: Deliveries that the watermark stays behind the latest one.
+DELAY = 1
+#: Micro-batches of a replay; each takes whole deliveries.
+TRIGGERS = 4
 
 
 def linked(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
@@ -41,7 +54,8 @@ def linked(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
     columns = ["idx", "batch_id", "mailbox", "date_iso", "sender_email", "subject", "body", "message_id", "in_reply_to", "conversation_topic"]
     known = staged(messages(emails, least=1), "conversation-messages")
     kept = with_instant(keep_one(emails.select(*columns), known=known), mailboxes)
-    address = F.lower(F.trim(F.coalesce("sender_email", F.lit(""))))
+    address = F.lower(F.trim(F.coalesce("sender_email", F.lit(""))))  # a hash is enough: it is only compared within a conversation
+    address = F.when(address == "", F.lit(0).cast("long")).otherwise(F.xxhash64(address))
     kept = kept.select(
         "idx", "batch_id", "utc_s", address.alias("sender"),
         F.coalesce(~F.col("body").rlike(r"[^\s\x{00A0}\x{200B}\x{FEFF}]"), F.lit(True)).alias("blank"),
@@ -62,7 +76,8 @@ def linked(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
     named = kept.where("not no_target").select("idx", "target").join(known.select(F.col("message_key").alias("target"), "kept"), "target", "left")
     by_name = named.select("idx", F.coalesce("kept", F.lit(-1)).alias("named_parent"))
     rows = kept.join(by_name, "idx", "left").join(by_topic, "idx", "left")
-    return rows.select("idx", F.coalesce("named_parent", "topic_parent").alias("parent"), "batch_id", "utc_s", "sender", "blank")
+    rows = rows.select("idx", F.coalesce("named_parent", "topic_parent").alias("parent"), "batch_id", "utc_s", "sender", "blank")
+    return rows.groupBy("idx").agg(*[F.first(c).alias(c) for c in rows.columns if c != "idx"])  # repeated rows; the joins have brought them together
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -87,72 +102,130 @@ def roots(links: DataFrame) -> DataFrame:
     return found.where("up != -1").select("idx", F.col("up").alias("root"))
 
 
-STATE = "idx array<long>, utc_s array<long>, sender array<string>, bad boolean"
-RESULT = "root_idx long, turn int, idx long, speaker string"
+#: A message in state. ``told``: the delivery up to which its conversation has been emitted.
+ROW = np.dtype([("root", "i8"), ("slot", "i4"), ("idx", "i8"), ("utc_s", "i8"), ("sender", "i8"), ("bad", "?"), ("expected", "i4"), ("parts", "i4"), ("delivery", "i4"), ("told", "i4")])
+RESULT = "root_idx long, slot int, parts int, turn int, idx long, utc_s long, sender long, bad boolean, speaker string, complete boolean, version int"
+NEVER = np.iinfo(np.int32).min
+
 
+def advance(rows: np.ndarray, now: int = 0, patience: int = PATIENCE) -> tuple[np.ndarray, pd.DataFrame | None, int | None]:
+    """(rows that stay buffered, what is emitted, delivery of the next timeout) of a slice; ``now``: the watermark.
 
-def _emit(root: int, idx: list[int], utc: list[int], sender: list[str], bad: bool) -> pd.DataFrame | None:
-    """The turns of a closed conversation, or nothing if it isn't valid."""
-    if bad or root not in idx or len({s for s in sender if s}) < 2:
-        return None
-    opener = sender[idx.index(root)]
-    order = sorted(range(len(idx)), key=lambda k: (utc[k], idx[k]))
-    return pd.DataFrame({"root_idx": root, "turn": range(1, len(order) + 1), "idx": [idx[k] for k in order], "speaker": ["opener" if sender[k] == opener else "responder" for k in order]})
+    All conversations of the slice are looked at together: complete ones are emitted and leave, and those that are overdue are
+    emitted and stay.
+    """
+    if not len(rows):
+        return rows, None, None
+    rows = rows[np.lexsort((rows["idx"], rows["utc_s"], rows["slot"], rows["root"]))]
+    first = np.concatenate([[True], (rows["root"][1:] != rows["root"][:-1]) | (rows["slot"][1:] != rows["slot"][:-1])])
+    starts = np.flatnonzero(first)
+    of = np.cumsum(first) - 1
+    count = np.diff(np.append(starts, len(rows)))
+    complete = count >= rows["expected"][starts]
+    last, told = np.maximum.reduceat(rows["delivery"], starts), np.maximum.reduceat(rows["told"], starts)
+    waiting = ~complete & (last > told)
+    overdue = waiting & (last + patience <= now)
+
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    sender, opens = rows["sender"], rows["idx"] == rows["root"]
+    two = np.maximum.reduceat(np.where(sender != 0, sender, low), starts) > np.minimum.reduceat(np.where(sender != 0, sender, high), starts)
+    opener = np.maximum.reduceat(np.where(opens, sender, low), starts)
+    valid = ~np.logical_or.reduceat(rows["bad"], starts) & np.logical_or.reduceat(opens, starts) & two
+    # a part of a spread conversation is judged with the others
+    shown = ((complete | overdue) & (valid | (rows["parts"][starts] > 1)))[of]
+    out = None
+    if shown.any():
+        r, g = rows[shown], of[shown]
+        out = pd.DataFrame({
+            "root_idx": r["root"], "slot": r["slot"], "parts": r["parts"], "turn": (np.arange(len(rows)) - starts[of] + 1)[shown].astype(np.int32), "idx": r["idx"], "utc_s": r["utc_s"],
+            "sender": r["sender"], "bad": r["bad"], "speaker": np.where(r["sender"] == opener[g], "opener", "responder"), "complete": complete[g], "version": last[g],
+        })
+    rows["told"] = np.where(overdue[of], last[of], rows["told"])
+    next_ones = (last + patience)[waiting & ~overdue]
+    return rows[~complete[of]], out, int(next_ones.min()) if len(next_ones) else None
 
 
 def gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keyed state of one conversation: buffers messages, emits on closure or timeout."""
-    idx, utc, sender, bad = ([], [], [], False) if not state.exists else tuple(list(x) if not isinstance(x, bool) else x for x in state.get)
-    expected, last = None, 0
-    if not state.hasTimedOut:
+    """Keyed state of one slice: buffers messages, emits on closure or timeout."""
+    held = np.frombuffer(state.get[0], ROW) if state.exists else np.empty(0, ROW)
+    parts, mark = [held], state.getCurrentWatermarkMs()
+    if not state.hasTimedOut:  # a slice with arrivals has no timeout of its own; what is overdue in it is seen to below
         for frame in frames:
-            idx += frame.idx.tolist()
-            utc += frame.utc_s.tolist()
-            sender += frame.sender.tolist()
-            bad = bad or bool(frame.bad.any())
-            expected, last = int(frame.expected.iloc[0]), max(last, int(frame.delivery.iloc[0]))
-    if state.hasTimedOut or len(idx) >= expected:
-        if state.exists:
-            state.remove()
-        out = _emit(int(key[0]), idx, utc, sender, bad)
-        if out is not None:
-            yield out
-    else:
-        state.update((idx, utc, sender, bad))
-        state.setTimeoutTimestamp((last + PATIENCE) * DAY * 1000)
-
-
-def _large(rows: DataFrame) -> DataFrame:
-    """The same result for conversations that are too large for state: by aggregation."""
-    valid = rows.groupBy("root").agg(F.countDistinct(F.when(F.col("sender") != "", F.col("sender"))).alias("senders"), F.max("bad").alias("bad"), F.max(F.when(F.col("idx") == F.col("root"), F.col("sender"))).alias("opener"))
-    rows = rows.join(valid.where("senders > 1 and not bad").drop("bad"), "root").withColumn("day", F.floor(F.col("utc_s") / DAY))
-    per_day = rows.groupBy("root", "day").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("root").orderBy("day")) - F.col("n"))
-    rows = rows.join(per_day, ["root", "day"]).withColumn("turn", (F.col("before") + F.row_number().over(Window.partitionBy("root", "day").orderBy("utc_s", "idx"))).cast("int"))
-    return rows.select(F.col("root").alias("root_idx"), "turn", "idx", F.when(F.col("sender") == F.col("opener"), "opener").otherwise("responder").alias("speaker"))
+            new = np.empty(len(frame), ROW)
+            for name in ROW.names:
+                new[name] = NEVER if name == "told" else frame[name].to_numpy()
+            parts.append(new)
+    rest, out, due = advance(np.concatenate(parts), mark // (DAY * 1000))
+    if len(rest):
+        state.update((rest.tobytes(),))
+        if due is not None:
+            state.setTimeoutTimestamp(max(due * DAY * 1000, mark + 1))
+    elif state.exists:
+        state.remove()
+    if out is not None:
+        yield out
+
+
+def replay(rows: DataFrame, slices: int) -> DataFrame:
+    """:data:`RESULT` of everything that the streaming state emits for ``rows``, delivery after delivery."""
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/gistmill-conversations-{uuid.uuid4().hex}"
+    cuts = rows.agg(F.percentile_approx("delivery", [(k + 1) / TRIGGERS for k in range(TRIGGERS - 1)]), F.min("delivery"), F.max("delivery")).first()  # one row
+    # a watermark starts at day 0, when nothing has been delivered yet
+    shift = 1 - (cuts[1] or 0)
+    borders = sorted({x + shift for x in [*(cuts[0] or []), cuts[2] or 0]})
+    arrivals = rows.withColumn("delivery", (F.col("delivery") + shift).cast("int"))
+    arrivals = arrivals.withColumn("delivered", F.timestamp_seconds(F.col("delivery").cast("long") * DAY)).withColumn("slice", F.pmod(F.xxhash64("root", "slot"), F.lit(slices)).cast("int"))
+    for below, border in zip([None, *borders], borders):  # one after the other: a replay reads files by their time
+        step = arrivals.where(F.col("delivery") <= border)
+        (step if below is None else step.where(F.col("delivery") > below)).write.mode("append").parquet(f"{folder}/arrivals")
+    files = len(spark.read.schema(arrivals.schema).parquet(f"{folder}/arrivals").inputFiles())
+    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", max(1, -(-files // TRIGGERS))).parquet(f"{folder}/arrivals")
+    grouped = stream.withWatermark("delivered", f"{DELAY} days").groupBy("slice")
+    told = grouped.applyInPandasWithState(gather, RESULT, "rows binary", "append", GroupStateTimeout.EventTimeTimeout)
+    query = told.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/told").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(RESULT).parquet(f"{folder}/told")
+
+
+def latest(told: DataFrame) -> DataFrame:
+    """Of each slot its complete form, or the last open one where it was never completed."""
+    whole, still_open = told.where("complete"), told.where("not complete")
+    part = ["root_idx", "slot"]
+    newest = still_open.groupBy(*part).agg(F.max("version").alias("version"))
+    still_open = still_open.join(newest, [*part, "version"]).join(whole.select(*part).distinct(), part, "left_anti")
+    return whole.unionByName(still_open)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Validity and turns of conversations that stand in several slots: partial aggregates, and counts by day, second and ``idx``."""
+    said = F.when(F.col("sender") != 0, F.col("sender"))
+    valid = rows.groupBy("root_idx").agg(F.min(said).alias("a"), F.max(said).alias("b"), F.max("bad").alias("any_bad"), F.max(F.when(F.col("idx") == F.col("root_idx"), F.col("sender"))).alias("opener"))
+    rows = rows.join(valid.where("a < b and not any_bad and opener is not null").select("root_idx", "opener"), "root_idx").withColumn("day", F.floor(F.col("utc_s") / DAY))
+    seconds = rows.groupBy("root_idx", "day", "utc_s").agg(F.count(F.lit(1)).alias("n"))
+    days = seconds.groupBy("root_idx", "day").agg(F.sum("n").alias("n_day"))
+    before = lambda n, *by: F.sum(n).over(Window.partitionBy("root_idx", *by[:-1]).orderBy(by[-1])) - F.col(n)
+    days = days.select("root_idx", "day", before("n_day", "day").alias("days_before"))
+    seconds = seconds.select("root_idx", "day", "utc_s", before("n", "day", "utc_s").alias("seconds_before"))
+    rank = F.row_number().over(Window.partitionBy("root_idx", "day", "utc_s").orderBy("idx"))
+    rows = rows.join(seconds, ["root_idx", "day", "utc_s"]).join(days, ["root_idx", "day"]).withColumn("turn", (F.col("days_before") + F.col("seconds_before") + rank).cast("int"))
+    return rows.select("root_idx", "turn", "idx", F.when(F.col("sender") == F.col("opener"), "opener").otherwise("responder").alias("speaker"))
 
 
 def conversations(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
     """``root_idx, turn, idx, speaker`` of every message of every valid conversation."""
-    spark = emails.sparkSession
     links = staged(linked(emails, mailboxes), "conversation-linked")
-    rooted = roots(links)
-    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("expected")).where("expected > 1")  # one message has no reply
+    rooted = roots(links.select("idx", "parent"))
+    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1")  # one message has no reply
+    sizes = sizes.withColumn("parts", F.ceil(F.col("size") / SLOT).cast("int"))
     rows = links.join(rooted.join(sizes, "root"), "idx").select(
-        "root", "idx", F.coalesce("utc_s", F.lit(0)).alias("utc_s"), "sender", (F.col("blank") | F.col("utc_s").isNull()).alias("bad"), "expected", F.col("batch_id").alias("delivery")
-    )
-    rows = staged(rows.repartitionByRange(12, "delivery"), "conversation-deliveries")
-    large = rows.where(F.col("expected") > LARGE)
-
-    folder = f"{shared_dir(spark).rstrip('/')}/gistmill-conversations-{uuid.uuid4().hex}"
-    # one day per delivery, from a start that is later than the watermark's own; no row of a replay is late
-    first, last = rows.agg(F.min("delivery"), F.max("delivery")).first()
-    patience = max(PATIENCE, (last or 0) - (first or 0) + 1)
-    start = patience + PATIENCE - (first or 0)
-    arrivals = rows.where(F.col("expected") <= LARGE).withColumn("delivery", (F.col("delivery").cast("long") + start)).withColumn("delivered", F.timestamp_seconds(F.col("delivery") * DAY))
-    arrivals.write.parquet(f"{folder}/arrivals")
-    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/arrivals").schema).option("maxFilesPerTrigger", 6).parquet(f"{folder}/arrivals")
-    grouped = stream.withWatermark("delivered", f"{patience} days").groupBy("root")
-    closed = grouped.applyInPandasWithState(gather, RESULT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    query = closed.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/closed").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(RESULT).parquet(f"{folder}/closed").unionByName(_large(large))
+        "root", F.pmod(F.xxhash64("idx"), "parts").cast("int").alias("slot"), "idx", F.coalesce("utc_s", F.lit(0)).alias("utc_s"), "sender",
+        (F.col("blank") | F.col("utc_s").isNull()).alias("bad"), "parts", F.col("size").cast("int").alias("expected"), F.col("batch_id").alias("delivery"),
+    )
+    rows = staged(rows, "conversation-deliveries")
+    spread = rows.where("parts > 1")
+    shares = spread.groupBy("root", "slot").agg(F.count(F.lit(1)).cast("int").alias("share"))
+    spread = spread.join(shares, ["root", "slot"]).withColumn("expected", F.col("share")).drop("share")
+    told = replay(rows.where("parts = 1").unionByName(spread), max(1, rows.count() // SLICE))
+    last = latest(told)
+    return last.where("parts = 1").select("root_idx", "turn", "idx", "speaker").unionByName(_spread(last.where("parts > 1")))
