@@ -13,22 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.tokens import FOLDER, coder, encode_batch, filled, is_pieces, words
+from gistmill.llm.tokens import FOLDER, coder, encode_batch, is_pieces
 
 
 def encode_corpus(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = FOLDER, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids`` of each document; no shuffle: scan, cut and encode are one stage."""
     if is_pieces(tokenizer):
         raise ValueError("ids of a piece tokenizer are not made of words; take a byte-level one")
-    cut = words(F.col(text), tokenizer)
-    rows = documents.select(F.col(key), F.col(text).alias("uncut"), cut.alias("words")).select(
-        key, "words", F.when(F.col("words").isNull(), F.col("uncut")).alias("uncut")
-    )
+    rows = documents.select(F.col(key), F.col(text).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = coder(tokenizer, folder, True)
         for batch in batches:
-            ids = encode_batch(filled(batch.column("words"), batch.column("uncut"), tokenizer), encoder)
+            ids = encode_batch(batch.column("text"), encoder)
             yield pa.RecordBatch.from_arrays([batch.column(key), ids], [key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()

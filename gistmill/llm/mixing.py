@@ -17,14 +17,12 @@ together); empty tables give an empty mix.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.llm.tokens import FOLDER, coder, filled, is_pieces, text_sizes, words
+from gistmill.llm.tokens import FOLDER, coder, cut_batch, is_pieces, text_sizes
 from gistmill.sources.tables import staged
 
 #: Bits of the coarse and of the fine buckets. Beyond them about one in 2^32 documents of a source is left to look at.
@@ -35,13 +33,11 @@ def token_counts(documents: DataFrame, tokenizers: list[str], folder: str = FOLD
     """``keep`` columns and ``n_<tokenizer>`` of each document, in one scan without a shuffle."""
     names = sorted(set(tokenizers))
     kinds = {is_pieces(n): n for n in names}
-    rows = documents.select(*keep, "text", *[words(F.col("text"), n).alias(f"w_{k}") for k, n in kinds.items()])
-    uncut = F.when(reduce(or_, [F.col(f"w_{k}").isNull() for k in kinds]), F.col("text"))
-    rows = rows.select(*keep, *[f"w_{k}" for k in kinds], uncut.alias("uncut"))
+    rows = documents.select(*keep, "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = {k: filled(batch.column(f"w_{k}"), batch.column("uncut"), n) for k, n in kinds.items()}
+            cut = {k: cut_batch(batch.column("text"), n) for k, n in kinds.items()}
             sizes = [text_sizes(cut[is_pieces(n)], coder(n, folder)) for n in names]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *sizes], [*keep, *[f"n_{n}" for n in names]])
 

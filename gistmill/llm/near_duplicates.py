@@ -1,21 +1,23 @@
 """Near-duplicate documents: all pairs of word n-gram sets whose Jaccard similarity reaches a threshold, by a prefix tree.
 
-Sets that are equal form a class; one set per class goes on. n-grams get one global order, rare ones first. The top of the
-tree is spread over the cluster: two similar sets share one of their first n-grams, so probes meet the sets that branch off at the
-same n-gram, if the sizes and what remains behind that n-gram still allow the threshold. Below, each task stores the
-ordered sets that one probe has met in a tree and walks it with the probe: sets with equal beginnings share the
-partial overlap, and a subtree is left as soon as its overlap and what remains on both sides cannot reach the threshold.
+Sets that are equal form a class; one set per class goes on. n-grams get one global order by frequency, and n-grams of one set only
+count for its size but for nothing else, as they meet nothing. The top of the tree is spread over the cluster: two similar
+sets share one of their rarest n-grams, so sets meet there, if their sizes and what remains behind that n-gram still allow the
+threshold. This tells which sets belong into one tree; only numbers travel. Then each task stores the sets that have met, each
+once, in a tree from frequent to rare n-grams, so that revisions and standard passages share long beginnings, and walks it with
+all probes, one after the other: sets with equal beginnings share the partial overlap, and a subtree is left as soon as its
+overlap and what remains on both sides cannot reach the threshold.
 
 n-grams are 64-bit hashes of their words. Defined results: documents without an n-gram (NULL, empty or short texts, no
 blocks) are in no pair; the pairs of a repeated ``doc_no`` are those of any of its rows and may repeat; an empty table gives no pair; other
-columns are ignored. There is no cap on partners: classes, n-gram groups and candidate lists are joined by key, and
-a task holds at most :data:`BLOCK` candidate sets at a time.
+columns are ignored. There is no cap on partners: trees with more than :data:`BLOCK` sets or probes are split into a grid, whose
+cells are tasks' work of bounded size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import groupby, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gistmill.sources.tables import staged
 
-#: Candidate sets in one tree. More candidates of a probe go into further trees; each is walked on its own.
+#: Sets in one tree, and probes that walk it in one task. More go into further trees, and to further copies of a tree.
 BLOCK = 2_000
 
 
@@ -49,104 +51,147 @@ def _need(threshold: float, x: Column, y: Column) -> Column:
     return F.ceil((x + y) * (threshold / (1 + threshold)) - 1e-9)
 
 
-class _Tree:
-    """Sets in one order as paths; each node knows the longest rest below it and the sizes of the sets below it."""
+class _Node:
+    """A run of n-grams that a range of the sorted sets share, the sets that end with it, and what bounds the rest below it."""
 
-    __slots__ = ("ends", "least", "longest", "next")
+    __slots__ = ("below", "ends", "least", "longest", "run", "those")
 
-    def __init__(self) -> None:
-        self.next: dict[int, _Tree] = {}
+    def __init__(self, run: list[int], longest: int, least: int):
+        self.run, self.those, self.longest, self.least = run, frozenset(run), longest, least
         self.ends: list[tuple[int, int]] = []
-        self.longest, self.least = 0, 1 << 60
-
-    def add(self, name: int, path: list[int]) -> None:
-        node, n = self, len(path)
-        for k, gram in enumerate(path):
-            node.longest, node.least = max(node.longest, n - k), min(node.least, n)
-            node = node.next.setdefault(gram, _Tree())
-        node.least = min(node.least, n)
-        node.ends.append((name, n))
-
-    def walk(self, probe: dict[int, int], threshold: float) -> Iterator[tuple[int, int]]:
-        """(set, overlap) of all sets in the tree that are similar to ``probe`` (member -> place in the order)."""
-        size, ratio = len(probe), threshold / (1 + threshold)
-        todo = [(self, 0, 0)]  # node, overlap so far, members of the probe that are behind it
-        while todo:
-            node, overlap, passed = todo.pop()
-            for name, n in node.ends:
-                if overlap >= (size + n) * ratio - 1e-9:
-                    yield name, overlap
-            for gram, below in node.next.items():
-                place = probe.get(gram)
-                got = overlap + (place is not None)
-                behind = passed if place is None else place + 1
-                if got + min(size - behind, below.longest) >= (size + below.least) * ratio - 1e-9:
-                    todo.append((below, got, behind))
+        self.below: list[_Node] = []
+
+
+def _tree(sets: list[tuple[list[int], int, int]]) -> _Node:
+    """The prefix tree of (path, key, size) rows."""
+    sets.sort(key=lambda s: s[0])
+    top = _Node([], 0, 0)
+    todo = [(top, 0, len(sets), 0)]
+    while todo:
+        above, low, high, depth = todo.pop()
+        first, last = sets[low][0], sets[high - 1][0]
+        # between sorted neighbours all share what the outer ones share
+        end = depth + sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(first[depth:], last[depth:])))
+        node = _Node(first[depth:end], max(len(s[0]) for s in sets[low:high]) - end, min(s[2] for s in sets[low:high]))
+        above.below.append(node)
+        while low < high and len(sets[low][0]) == end:
+            node.ends.append(sets[low][1:])
+            low += 1
+        for _, group in groupby(range(low, high), lambda k: sets[k][0][end]):
+            of = list(group)
+            todo.append((node, of[0], of[-1] + 1, end))
+    return top
+
+
+def _walk(tree: _Node, path: list[int], size: int, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(set, its size, overlap) of all sets in the tree that are similar to a probe."""
+    place = {gram: k for k, gram in enumerate(path)}
+    members, ratio = place.keys(), threshold / (1 + threshold)
+    todo = [(node, 0, 0) for node in tree.below]  # node, overlap above it, members of the probe that are behind
+    while todo:
+        node, overlap, passed = todo.pop()
+        if hits := len(node.those & members):
+            overlap += hits
+            passed = next(place[gram] for gram in reversed(node.run) if gram in place) + 1
+        if overlap + min(len(path) - passed, node.longest) < (size + node.least) * ratio - 1e-9:
+            continue
+        for key, n in node.ends:
+            if overlap >= (size + n) * ratio - 1e-9:
+                yield key, n, overlap
+        todo.extend((below, overlap, passed) for below in node.below)
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """``a, b, overlap`` of all pairs of ``key long, grams array<long>`` (distinct sets) that reach ``threshold``; a < b."""
     sized = sets.select("key", F.size("grams").alias("n"), "grams").where("n > 0")
     exploded = sized.select("key", "n", F.explode("grams").alias("gram"))
-    # n-grams of one set only need no count: they come first and meet nothing
     counts = exploded.groupBy("gram").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    order = F.struct(F.coalesce("freq", F.lit(1)).alias("freq"), "gram")
-    ordered = exploded.join(counts.hint("merge"), "gram", "left").groupBy("key").agg(F.array_sort(F.collect_list(order)).alias("path"))
-    ordered = staged(ordered.select("key", F.col("path.gram").alias("path"), F.col("path.freq").alias("freqs")), "grams-ordered")
-
-    n = F.size("path")
-    probe_reach = n - F.ceil(n * threshold - 1e-9) + 1
-    index_reach = n - _need(threshold, n, n) + 1
-    heads = ordered.select("key", n.alias("n"), index_reach.alias("index_reach"), F.posexplode(F.slice("path", F.lit(1), probe_reach.cast("int"))).alias("place", "gram"), "freqs")
-    heads = heads.where(F.col("freqs")[F.col("place")] > 1).drop("freqs")
-    probes = heads.select("gram", F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("place").alias("p_x"))
-    stored = heads.where("place < index_reach").select("gram", F.col("key").alias("y"), F.col("n").alias("n_y"), F.col("place").alias("p_y"))
+    # from rare to frequent
+    ordered = exploded.join(counts, "gram").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "gram"))).alias("path"))
+    ordered = staged(ordered.select("key", "n", F.col("path.gram").alias("path")), "grams-ordered")
+
+    # n-grams of one set only would come first of all: they take their part of what may be missed
+    alone = F.col("n") - F.size("path")
+    probe_reach = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - alone
+    index_reach = F.col("n") - _need(threshold, F.col("n"), F.col("n")) + 1 - alone
+    heads = ordered.where(probe_reach > 0).select("key", "n", F.size("path").alias("m"), index_reach.alias("index_reach"), F.posexplode(F.slice("path", F.lit(1), probe_reach.cast("int"))).alias("place", "gram"))
+    probes = heads.select("gram", F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("m").alias("m_x"), F.col("place").alias("p_x"))
+    stored = heads.where("place < index_reach").select("gram", F.col("key").alias("y"), F.col("n").alias("n_y"), F.col("m").alias("m_y"), F.col("place").alias("p_y"))
     larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") > F.col("y")))
-    rest = 1 + F.least(F.col("p_x"), F.col("p_y")) + F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) - 1
-    met = (
-        probes.join(stored.hint("merge"), "gram")
-        .where(larger & (F.col("n_y") >= F.col("n_x") * threshold - 1e-9) & (rest >= _need(threshold, F.col("n_x"), F.col("n_y"))))
-        .select("x", "y")
-        .distinct()
-    )
-    paths = ordered.select("key", "path")
-    candidates = met.join(paths.select(F.col("key").alias("y"), F.col("path").alias("stored")), "y")
-    candidates = candidates.join(paths.select(F.col("key").alias("x"), F.col("path").alias("probe")), "x").sortWithinPartitions("x")
+    most = 1 + F.least("p_x", "p_y") + F.least(F.col("m_x") - F.col("p_x"), F.col("m_y") - F.col("p_y")) - 1
+    near = larger & (F.col("n_y") >= F.col("n_x") * threshold - 1e-9) & (most >= _need(threshold, F.col("n_x"), F.col("n_y")))
+    met = staged(probes.join(stored, "gram").where(near).select("x", "y").distinct(), "grams-met")
+
+    # a tree holds the stored sets whose least partner is the same; a probe goes to the trees that hold its partners
+    tree_of = staged(met.groupBy("y").agg(F.least("y", F.min("x")).alias("tree")), "grams-trees")
+    walks = met.join(tree_of, "y").select("x", "tree").distinct()
+    parts = lambda df, name: df.groupBy("tree").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    grid = staged(parts(tree_of, "trees").join(parts(walks, "copies"), "tree"), "grams-grid")
+    mine = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    to_store = tree_of.join(grid, "tree").select(F.col("y").alias("key"), "tree", mine("y", F.col("trees")).alias("part"), every("copies").alias("copy"), F.lit(0).alias("walks"))
+    to_walk = walks.join(grid, "tree").select(F.col("x").alias("key"), "tree", every("trees").alias("part"), mine("x", F.col("copies")).alias("copy"), F.lit(1).alias("walks"))
+    cell = ["tree", "part", "copy"]
+    work = to_store.unionByName(to_walk).join(ordered.select("key", "n", F.reverse("path").alias("path")), "key")
+    work = work.select(*cell, "walks", "key", "n", "path").repartition(*cell).sortWithinPartitions(*cell, "walks")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe, members, tree, held = None, {}, _Tree(), 0
-
-        def found() -> pa.RecordBatch:
-            hits = list(tree.walk(members, threshold)) if held else []
-            names = np.array([h[0] for h in hits], np.int64)
-            mine = np.full(len(hits), probe if probe is not None else 0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(names, mine)), pa.array(np.maximum(names, mine)), pa.array([h[1] for h in hits], pa.int32())], ["a", "b", "overlap"])
-
+        at, held, tree = None, [], None
         for batch in batches:
-            stored_sets, probe_sets = batch.column("stored"), batch.column("probe")
-            for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                if x != probe or held >= BLOCK:
-                    yield found()
-                    tree, held = _Tree(), 0
-                    if x != probe:
-                        probe, members = x, {g: place for place, g in enumerate(probe_sets[k].values.to_pylist())}
-                tree.add(y, stored_sets[k].values.to_pylist())
-                held += 1
-        yield found()
-
-    return candidates.select("x", "y", "stored", "probe").mapInArrow(walk, "a long, b long, overlap int")
-
-
-def near_duplicate_pairs(doctexts: DataFrame, threshold: float = 0.7, n: int = 3) -> DataFrame:
-    """``doc_no_a, doc_no_b`` of all pairs of documents whose sets of ``n``-grams reach ``threshold``; a < b."""
+            a, b, overlap = [], [], []
+            paths = batch.column("path")
+            grams, borders = paths.values.to_pylist(), paths.offsets.to_pylist()
+            columns = [batch.column(c).to_pylist() for c in (*cell, "walks", "key", "n")]
+            for row, (*place, walks_it, key, n) in enumerate(zip(*columns)):
+                if place != at:
+                    at, held, tree = place, [], None
+                path = grams[borders[row] : borders[row + 1]]
+                if not walks_it:
+                    held.append((path, key, n))
+                    continue
+                tree = tree or _tree(held)
+                for other, size, both in _walk(tree, path, n, threshold):
+                    if (size, other) < (n, key):
+                        a.append(min(key, other))
+                        b.append(max(key, other))
+                        overlap.append(both)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(overlap, pa.int32())], ["a", "b", "overlap"])
+
+    return work.mapInArrow(walk, "a long, b long, overlap int")
+
+
+def _classes(doctexts: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """(``first, doc_no`` of every document with n-grams, ``a, b, overlap`` of similar classes); a class goes by its least ``doc_no``."""
     sets = document_grams(doctexts, n).where(F.size("grams") > 0)
     marks = [F.size("grams").alias("size"), F.xxhash64("grams").alias("mark"), F.aggregate("grams", F.lit(0).cast("long"), lambda a, g: a.bitwiseXOR(F.xxhash64(g))).alias("sum")]
     sets = staged(sets.select("doc_no", "grams", *marks), "grams")
     equal = ["size", "mark", "sum"]
     classes = sets.groupBy(*equal).agg(F.min("doc_no").alias("first"))
-    members = staged(sets.select("doc_no", *equal).join(classes, equal).select("doc_no", "first").distinct(), "grams-classes")
+    members = staged(sets.select("doc_no", *equal).join(classes, equal).select("first", "doc_no").distinct(), "grams-classes")
     firsts = sets.join(members.where("doc_no = first").select("doc_no"), "doc_no", "left_semi")
-    found = similar_sets(firsts.select(F.col("doc_no").alias("key"), "grams"), threshold)
+    return members, similar_sets(firsts.select(F.col("doc_no").alias("key"), "grams"), threshold)
+
+
+def near_duplicate_classes(doctexts: DataFrame, threshold: float = 0.7, n: int = 3) -> DataFrame:
+    """``doc_no, class_no, links`` of each document with ``n``-grams: its class of equal sets, and with how many documents it is in a pair.
+
+    Copies are not expanded into pairs, so the size of the result does not depend on how large classes are.
+    """
+    members, found = _classes(doctexts, threshold, n)
+    sizes = staged(members.groupBy("first").agg(F.count(F.lit(1)).alias("size")), "grams-sizes")
+    found = staged(found.select("a", "b"), "grams-links")
+    both = found.select(F.col("a").alias("first"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("first"), F.col("a").alias("other")))
+    across = both.join(sizes.select(F.col("first").alias("other"), "size"), "other").groupBy("first").agg(F.sum("size").alias("across"))
+    links = sizes.join(across, "first", "left").select("first", (F.col("size") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
+    return members.join(links, "first").select("doc_no", F.col("first").alias("class_no"), "links")
+
+
+def near_duplicate_pairs(doctexts: DataFrame, threshold: float = 0.7, n: int = 3) -> DataFrame:
+    """``doc_no_a, doc_no_b`` of all pairs of documents whose sets of ``n``-grams reach ``threshold``; a < b.
+
+    Every pair is asked for here, also those of copies; :func:`near_duplicate_classes` says the same without them.
+    """
+    members, found = _classes(doctexts, threshold, n)
     left = members.select(F.col("first").alias("a"), F.col("doc_no").alias("m"))
     right = members.select(F.col("first").alias("b"), F.col("doc_no").alias("o"))
     across = found.select("a", "b").join(left, "a").join(right, "b").select("m", "o")

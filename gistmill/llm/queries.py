@@ -9,7 +9,7 @@ from gistmill.llm.conversations import conversations
 from gistmill.llm.encode_corpus import encode_corpus
 from gistmill.llm.mixing import mix
 from gistmill.llm.name_variants import same_entity_pairs
-from gistmill.llm.near_duplicates import near_duplicate_pairs
+from gistmill.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from gistmill.llm.own_words import own_lines
 from gistmill.llm.splitting import split_texts
 from gistmill.llm.wrong_charset import wrong_fields
@@ -37,6 +37,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "doctexts"))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its class of equal sets and its number of partners."""
+    return near_duplicate_classes(table(spark, sf_dir, "doctexts"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_entity_pairs(table(spark, sf_dir, "person_obs"), table(spark, sf_dir, "emails"))
 
@@ -61,12 +66,18 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), profiles)
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
-ORACLES: dict[str, str] = {
-    "p4_found": r"""WITH seg AS (SELECT doc_no, title AS t FROM doctexts UNION ALL SELECT doc_no, b.text FROM (SELECT doc_no, unnest(blocks) AS b FROM doctexts)),
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+_SETS = r"""WITH seg AS (SELECT doc_no, title AS t FROM doctexts UNION ALL SELECT doc_no, b.text FROM (SELECT doc_no, unnest(blocks) AS b FROM doctexts)),
  w AS (SELECT doc_no, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM seg WHERE t IS NOT NULL),
  g AS (SELECT DISTINCT doc_no, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM w, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 3),
  n AS (SELECT doc_no, count(*) AS n FROM g GROUP BY 1),
- p AS (SELECT a.doc_no AS a, b.doc_no AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_no < b.doc_no GROUP BY 1, 2)
- SELECT p.a AS doc_no_a, p.b AS doc_no_b FROM p JOIN n x ON p.a = x.doc_no JOIN n y ON p.b = y.doc_no WHERE 10 * c >= 7 * (x.n + y.n - c)""",
+ p AS (SELECT a.doc_no AS a, b.doc_no AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_no < b.doc_no GROUP BY 1, 2),
+ f AS (SELECT p.a AS doc_no_a, p.b AS doc_no_b FROM p JOIN n x ON p.a = x.doc_no JOIN n y ON p.b = y.doc_no WHERE 10 * c >= 7 * (x.n + y.n - c))
+"""
+ORACLES: dict[str, str] = {
+    "p4_found": _SETS + "SELECT doc_no_a, doc_no_b FROM f",
+    "p4_classes": _SETS
+    + """, s AS (SELECT doc_no, string_agg(gram, '/' ORDER BY gram) AS grams FROM g GROUP BY 1),
+ d AS (SELECT doc_no, count(*) AS links FROM (SELECT doc_no_a AS doc_no FROM f UNION ALL SELECT doc_no_b FROM f) GROUP BY 1)
+ SELECT s.doc_no, min(s.doc_no) OVER (PARTITION BY s.grams) AS class_no, coalesce(d.links, 0) AS links FROM s LEFT JOIN d ON s.doc_no = d.doc_no""",
 }

@@ -20,14 +20,14 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from gistmill.llm.tokens import FOLDER, WordCoder, coder, cut, distinct, filled, is_pieces, words
+from gistmill.llm.tokens import FOLDER, WordCoder, coder, cut_batch, is_pieces
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE = 5, 4, 3, 2, 1, 0
 #: Texts that are cut at once.
-ROWS = 4_000
+ROWS = 1_000
 SCHEMA = "profile string, piece_no int, start_char int, end_char int, n_tokens int, piece string"
 
 
@@ -38,8 +38,8 @@ class Words:
     ROOM = 300_000
     known: dict[str, int] = {}
 
-    def __init__(self, batch_words: pa.ListArray):
-        self.borders, self.index, self.different = distinct(batch_words)
+    def __init__(self, texts: pa.Array, name: str):
+        self.borders, self.index, self.different = cut_batch(texts, name)
         self.features = np.fromiter(map(self.known.get, self.different, repeat(-1)), np.int64, len(self.different))
         for k in np.flatnonzero(self.features < 0).tolist():
             self.features[k] = self._feature(self.different[k])
@@ -57,6 +57,15 @@ class Words:
                 cls.known[word] = code
         return code
 
+    def only(self, rows: np.ndarray) -> Words:
+        """The words of some of the texts."""
+        n = self.borders[rows + 1] - self.borders[rows]
+        new = object.__new__(Words)
+        new.borders = np.concatenate([[0], np.cumsum(n)])
+        new.index = self.index[np.arange(new.borders[-1]) + np.repeat(self.borders[rows] - new.borders[:-1], n)]
+        new.different, new.features = self.different, self.features
+        return new
+
     def replaced(self, different: list[str], index: np.ndarray, borders: np.ndarray) -> Words:
         """The same texts cut further; ``different`` begins with what there was."""
         new = object.__new__(Words)
@@ -101,14 +110,20 @@ def _pieces_of(sizes: np.ndarray, extra: np.ndarray, levels: np.ndarray, ends: n
     fill = max(limit // 2, overlap + 1)
     marks = np.concatenate([levels, [PARAGRAPH]])
     borders: dict[int, np.ndarray] = {}
+    places = np.arange(n + 1)
+    # which word holds a token; a table instead of a binary search
+    word_at = np.append(np.repeat(places[:-1], sizes), n)
 
     def farthest(at: np.ndarray) -> np.ndarray:
         """The last border within the limit."""
-        return np.maximum(np.minimum(np.searchsorted(run, run[at] - extra[at] + limit, side="right") - 1, ends[at]), at + 1)
+        return np.maximum(np.minimum(word_at[np.minimum(run[at] - extra[at] + limit, run[-1])], ends[at]), at + 1)
 
     def before(border: np.ndarray) -> np.ndarray:
         """So far back from a border that at least ``overlap`` tokens are shared."""
-        return np.searchsorted(run, run[border] + tail[border] - overlap, side="right") - 1 if overlap else border
+        if not overlap:
+            return border
+        token = run[border] + tail[border] - overlap
+        return np.where(token < 0, -1, word_at[np.clip(token, 0, run[-1])])
 
     def successors(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(end of the piece, start of the next one or ``n``) for each start."""
@@ -118,10 +133,9 @@ def _pieces_of(sizes: np.ndarray, extra: np.ndarray, levels: np.ndarray, ends: n
         for level in (PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE):
             if not len(rest):
                 break
-            if level not in borders:
-                borders[level] = np.flatnonzero(marks >= level)
-            places = borders[level]
-            border = places[np.maximum(np.searchsorted(places, last[rest], side="right") - 1, 0)]
+            if level not in borders:  # the last boundary of the level up to each place
+                borders[level] = np.maximum.accumulate(np.where(marks >= level, places, 0))
+            border = borders[level][last[rest]]
             good = (border > at[rest]) & (border <= last[rest]) & (run[border] - run[at[rest]] >= fill)
             chosen[rest[good]] = border[good]
             rest = rest[~good]
@@ -206,6 +220,18 @@ def _short_words(given: Words, sizes: np.ndarray, limit: int, encode: WordCoder)
 def split_batch(given: Words, keep: pa.Array, encode: WordCoder, limit: int, overlap: int) -> tuple[np.ndarray, ...]:
     """(row, piece_no, start_char, end_char, n_tokens, text) of the pieces of all texts of a batch that are above ``limit``."""
     nothing = (*(np.empty(0, np.int64) for _ in range(5)), [])
+    if not is_pieces(encode.name):
+        # a byte-level text has as many tokens as bytes at most (a normaliser of other models may lengthen texts)
+        long_ones = np.flatnonzero(pc.fill_null(pc.binary_length(keep), 0).to_numpy(zero_copy_only=False) > limit)
+        if len(long_ones) < len(keep):
+            if not len(long_ones):
+                return nothing
+            row, *rest = _split_some(given.only(long_ones), keep.take(pa.array(long_ones)), encode, limit, overlap, nothing)
+            return long_ones[row], *rest
+    return _split_some(given, keep, encode, limit, overlap, nothing)
+
+
+def _split_some(given: Words, keep: pa.Array, encode: WordCoder, limit: int, overlap: int, nothing: tuple) -> tuple[np.ndarray, ...]:
     if not len(given.index):
         return nothing
     sizes_of = encode.sizes_of(given.different)
@@ -265,14 +291,14 @@ def split_texts(documents: DataFrame, profiles: list[tuple[str, str, int, int]],
     ``profiles``: (profile, tokenizer, max_tokens, overlap_tokens). One scan without a shuffle; a text is one row.
     """
     kinds = {is_pieces(p[1]): p[1] for p in profiles}
-    rows = documents.select(key, "text", *[words(F.col("text"), n).alias(f"w_{k}") for k, n in kinds.items()])
+    rows = documents.select(key, "text")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 texts = batch.column("text")
-                cut_words = {k: Words(filled(batch.column(f"w_{k}"), texts, n)) for k, n in kinds.items()}
+                cut_words = {k: Words(texts, n) for k, n in kinds.items()}
                 for profile, tokenizer, limit, overlap in profiles:
                     row, no, start, end, n, pieces = split_batch(cut_words[is_pieces(tokenizer)], texts, coder(tokenizer, folder), limit, overlap)
                     if len(pieces):

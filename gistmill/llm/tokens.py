@@ -1,4 +1,4 @@
-"""Public tokenizers over columns of texts: words are cut in the JVM, each different word is encoded once per worker.
+"""Public tokenizers over columns of texts: the words of a batch are cut at once, each different word is encoded once per worker.
 
 A tokenizer's file is read from ``folder``, a parameter of every operator. NULL counts as the empty text, which has no
 tokens. Strings that look like control tokens are ordinary text.
@@ -13,8 +13,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from gistmill.llm.bpe_automaton import BpeAutomaton
 
@@ -29,27 +27,91 @@ def is_pieces(name: str) -> bool:
     return name.startswith("piece_")
 
 
-def words(text: Column, name: str) -> Column:
-    """The words of a text for the tokenizer ``name``, in order; joined they are the text. NULL gives no words.
+class Cutter:
+    """Cuts all texts of a batch into words at once: classes of characters from a table, borders from neighbouring classes.
 
-    Texts with characters that the JVM's tables don't know give NULL: Python cuts them (:func:`cut`).
+    The result is that of the patterns above, which look at nothing but classes, single blanks, and the apostrophe's short forms.
     """
-    pattern = PIECES if is_pieces(name) else "(?U)" + BYTE_LEVEL
-    cut_here = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    if is_pieces(name):
-        return F.coalesce(cut_here, F.array().cast("array<string>"))
-    return F.when(text.isNull(), F.array().cast("array<string>")).when(~text.rlike(r"[\p{Cn}\x{10000}-\x{10FFFF}]"), cut_here)
 
+    LETTER, NUMBER, BLANK, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 
-@lru_cache(maxsize=4)
-def _pattern(name: str):
-    import regex
+    def __init__(self) -> None:
+        self.classes = np.full(0x110000, self.UNKNOWN, np.uint8)
 
-    return regex.compile(PIECES if is_pieces(name) else BYTE_LEVEL)
+    def _classes_of(self, codes: np.ndarray) -> np.ndarray:
+        """Classes of characters; each different character is looked up once."""
+        found = self.classes[codes]
+        if (found == self.UNKNOWN).any():
+            import regex
 
+            for code in np.unique(codes[found == self.UNKNOWN]).tolist():
+                c = chr(code)
+                self.classes[code] = self.LETTER if regex.match(r"\p{L}", c) else self.NUMBER if regex.match(r"\p{N}", c) else self.BLANK if regex.match(r"\s", c) else self.OTHER
+            found = self.classes[codes]
+        return found
 
-def cut(text: str, name: str) -> list[str]:
-    return _pattern(name).findall(text)
+    def byte_level(self, raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Byte positions at which a word starts; ``raw``: UTF-8 of all texts, ``texts``: where each begins, and the end."""
+        at = np.flatnonzero((raw & 0xC0) != 0x80)
+        codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        kind, n = self._classes_of(codes), len(codes)
+        text_start = np.zeros(n + 1, bool)
+        text_start[np.searchsorted(at, texts)] = True
+        blank, space = kind == self.BLANK, codes == 0x20
+        start = text_start.copy()
+        changed = kind[1:] != kind[:-1]
+        # a single space in front of a word belongs to it
+        start[1:-1] |= changed & ~space[:-1]
+        start[1:-1] |= blank[1:] & ~blank[:-1]
+        # of several blanks the last one goes with what follows, unless the text ends
+        start[1:-1] |= blank[1:] & blank[:-1] & np.append(~blank[2:], False) & ~text_start[2:]
+        quote = np.flatnonzero(codes == 0x27)
+        if len(quote):
+            before = np.maximum(quote - 1, 0)
+            free = text_start[quote] | (kind[before] < self.BLANK) | (blank[before] & ~space[before])
+            c = np.concatenate([codes, np.zeros(2, np.uint32)])
+            one, two = c[quote + 1], c[quote + 2]
+            single, double = np.isin(one, [ord(x) for x in "stmd"]), np.zeros(len(quote), bool)
+            for x, y in ("re", "ve", "ll"):
+                double |= (one == ord(x)) & (two == ord(y))
+            # a short form does not go over the end of its text
+            single &= ~text_start[np.minimum(quote + 1, n)]
+            double &= ~text_start[np.minimum(quote + 1, n)] & ~text_start[np.minimum(quote + 2, n)]
+            short = free & (single | double)
+            ends = quote[short] + np.where(single[short], 2, 3)
+            start[quote[short] + 1] = False
+            start[ends] = True
+        return at[start[:-1]]
+
+    @staticmethod
+    def pieces(raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """As :meth:`byte_level`, for piece vocabularies, whose words depend on blanks, line feeds and digits only."""
+        digit, feed, space = (raw >= 0x30) & (raw <= 0x39), raw == 0x0A, raw == 0x20
+        start = np.zeros(len(raw) + 1, bool)
+        start[texts] = True
+        start[:-1] |= digit | feed
+        start[1:-1] |= digit[:-1] | feed[:-1] | space[1:] & ~space[:-1]
+        return np.flatnonzero(start[:-1])
+
+
+_CUTTER = Cutter()
+
+
+def cut_batch(texts: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(row borders, index of each word, the different words) of a column of texts for the tokenizer ``name``.
+
+    Joined, the words of a row are its text. NULL has no words.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    rows = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if offsets is not None else np.zeros(1, np.int64)
+    if not len(texts) or rows[-1] == rows[0]:
+        return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64), []
+    raw, rows = np.frombuffer(data, np.uint8)[rows[0] : rows[-1]], rows - rows[0]
+    starts = _CUTTER.pieces(raw, rows) if is_pieces(name) else _CUTTER.byte_level(raw, rows)
+    offsets = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64))
+    flat = pa.LargeStringArray.from_buffers(len(starts), offsets, pa.py_buffer(raw)).dictionary_encode()
+    return np.searchsorted(starts, rows), flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
 
 
 class WordCoder:
@@ -122,24 +184,9 @@ def coder(name: str, folder: str = FOLDER, with_automaton: bool = False) -> Word
     return WordCoder(name, folder, with_automaton)
 
 
-def filled(batch_words: pa.ListArray, texts: pa.Array, name: str) -> pa.ListArray:
-    """``batch_words`` with the words of the texts that the JVM has not cut."""
-    if not batch_words.null_count:
-        return batch_words
-    cut_all = [w if w is not None else cut(t or "", name) for w, t in zip(batch_words.to_pylist(), texts.to_pylist())]
-    return pa.array(cut_all, pa.list_(pa.string()))
-
-
-def distinct(batch_words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(row borders, index of each word, the different words) of a batch."""
-    flat = batch_words.flatten().dictionary_encode()
-    borders = np.concatenate([[0], np.cumsum(batch_words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return borders, flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
-
-
-def encode_batch(batch_words: pa.ListArray, encode: WordCoder) -> pa.ListArray:
-    """Token ids of each row of words."""
-    borders, index, different = distinct(batch_words)
+def encode_batch(texts: pa.Array, encode: WordCoder) -> pa.ListArray:
+    """Token ids of each text."""
+    borders, index, different = cut_batch(texts, encode.name)
     coded = [encode(w) for w in different]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -151,11 +198,11 @@ def encode_batch(batch_words: pa.ListArray, encode: WordCoder) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends[borders], pa.int32()), pa.array(table[at], pa.int32()))
 
 
-def text_sizes(batch_words: pa.ListArray, encode: WordCoder) -> pa.Array:
-    """Tokens of each whole text."""
-    borders, index, different = distinct(batch_words)
+def text_sizes(cut: tuple[np.ndarray, np.ndarray, list[str]], encode: WordCoder) -> pa.Array:
+    """Tokens of each whole text of a batch that :func:`cut_batch` has cut."""
+    borders, index, different = cut
     if not len(index):
-        return pa.array(np.zeros(len(batch_words), np.int64))
+        return pa.array(np.zeros(len(borders) - 1, np.int64))
     sizes = encode.sizes_of(different)[index]
     sums = np.concatenate([[0], np.cumsum(sizes)])
     totals = sums[borders[1:]] - sums[borders[:-1]]
