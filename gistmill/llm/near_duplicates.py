@@ -24,26 +24,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.llm.tokens import words_of
 from gistmill.sources.tables import staged
 
 #: Sets in one tree, and probes that walk it in one task. More go into further trees, and to further copies of a tree.
 BLOCK = 2_000
 
 
-def grams(segments: Column, n: int = 3) -> Column:
-    """Sorted distinct hashes of the runs of ``n`` words inside each of an array of texts."""
-    cut = F.transform(segments, lambda s: F.regexp_extract_all(F.lower(F.coalesce(s, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    runs = F.transform(
-        F.filter(cut, lambda w: F.size(w) >= n),
-        lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda k: F.xxhash64(*[w[k + j] for j in range(n)])),
-    )
-    return F.array_sort(F.array_distinct(F.flatten(runs)))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit values well spread over all bits (a fixed public finalizer of hashes)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def batch_grams(texts: pa.ListArray, n: int) -> pa.ListArray:
+    """Of each list of lower-case texts the sorted distinct hashes of the runs of ``n`` words inside each text."""
+    borders = np.concatenate([[0], np.cumsum(texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    starts, ends, of_text, words = words_of(texts.flatten())
+    if len(words) < n:
+        return pa.ListArray.from_arrays(pa.array(np.zeros(len(borders)), pa.int32()), pa.array([], pa.int64()))
+    with np.errstate(over="ignore"):
+        run = np.zeros(len(words) - n + 1, np.uint64)
+        for k in range(n):
+            run = _mixed(run + words[k : len(words) - n + 1 + k] + np.uint64(k + 1))
+    inside = of_text[: len(run)] == of_text[n - 1 :]
+    row = np.searchsorted(borders, of_text[: len(run)][inside], side="right") - 1
+    run = run[inside].view(np.int64)
+    order = np.lexsort((run, row))
+    row, run = row[order], run[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (run[1:] != run[:-1]))[: len(run)]
+    row, run = row[new], run[new]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(borders))), pa.int32()), pa.array(run))
 
 
 def document_grams(doctexts: DataFrame, n: int = 3) -> DataFrame:
     """``doc_no, grams`` of documents with ``title`` and ``blocks``; n-grams stay inside the title or one block."""
     texts = F.concat(F.array("title"), F.coalesce(F.transform("blocks", lambda b: b["text"]), F.array().cast("array<string>")))
-    return doctexts.select("doc_no", grams(texts, n).alias("grams"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_no"), batch_grams(batch.column("texts"), n)], ["doc_no", "grams"])
+
+    rows = doctexts.select("doc_no", F.transform(texts, lambda t: F.lower(t)).alias("texts"))
+    return rows.mapInArrow(work, f"doc_no {doctexts.schema['doc_no'].dataType.simpleString()}, grams array<long>")
 
 
 def _need(threshold: float, x: Column, y: Column) -> Column:

@@ -1,15 +1,18 @@
 """What the sender of an email wrote: without quoted history, closings, signatures, footers, disclaimers and warnings.
 
-First each body is read line by line. Quote marks, introductions, header blocks, separators, closing formulas with
-the block under them, device footers, disclaimers and banners in several languages give intervals that are not new; what
+Each body is read line by line first: quote marks, introductions, header blocks, separators, closing formulas with
+the block under them, device footers, disclaimers and banners in several languages are marked; what
 stands between quoted lines, postscripts, and lines that only look like quotes or headers (a comparison, ``From:``
-without a date) is. Then, per thread, an automaton over all sentences of earlier messages and over the senders' closing blocks
-is run over what is left; matched intervals are merged, and passages of two or more different sentences of others that stood in
-earlier messages are subtracted too, and lines of the sender's own block.
+without a date) is not. Then, per thread, an automaton over the sentences that others wrote in all earlier messages, and over the lines of
+the sender's own closing blocks, is run over all of a message, quoted or not: matched intervals are merged, and what
+they cover is subtracted. Marks that stand alone decide only where no earlier message shows the text: history that was
+never filed, and forms that nobody wrote before.
 
-A thread is a topic in two neighbouring periods of 30 days. Its sentences are spread over automata of about
-:data:`PART` messages each, its messages over blocks of as many, and every block meets every automaton, so that no task holds a whole large thread;
-the intervals that a message has from all automata are united before they are merged.
+In lines without a mark a merged interval counts from two different sentences on, as people write single ones like
+"Noted." anew, and sentences that other threads have too are forms that people use again, no history; lines of a closing block count
+at the end of what is new. A thread is a topic without a silence of more than :data:`DAYS` days. Which sentences a
+message shares with earlier ones is found by joining hashes of sentences, so that only these go into automata, and messages
+stay spread by ``idx`` however large their thread is.
 
 Defined results: NULL, empty and blank bodies have no lines; repeated rows are read each; messages without topic or
 instant are only read by themselves; bodies are read whole; other columns are ignored.
@@ -20,10 +23,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import takewhile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions.subjects import conversation_key
@@ -31,12 +36,13 @@ from gistmill.llm.wrong_charset import restore
 from gistmill.operators.instants import with_instant
 from gistmill.sources.tables import staged
 
-#: Messages whose sentences go into one automaton.
-PART = 2_000
-PERIOD = 30 * 86_400
+#: Days of silence after which a topic starts a new thread.
+DAYS = 21
+DAY = 86_400
 
-OWN = pa.list_(pa.struct([("line_no", pa.int32()), ("text", pa.string())]))
-SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("closing", pa.bool_())]))
+LINES = pa.list_(pa.struct([("line_no", pa.int32()), ("text", pa.string())]))
+LONGS = pa.list_(pa.int64())
+LINES_SQL = "array<struct<line_no:int,text:string>>"
 
 MARK = re.compile(r"^\s*((?:[>|]\s?)+)")
 CLOCK = r"\d{1,2}[:.h]\d{2}"
@@ -151,11 +157,11 @@ def _header_at(lines: list[str], k: int) -> int:
 
 def read_body(body: str, name: str | None, email: str | None) -> tuple[list[int], list[int]]:
     """(numbers of new lines, numbers of lines in the sender's own closing block); lines end at a line feed, from 1."""
-    return _read_restored(restore(body)[0], name, email)
+    return _read_restored(restore(body)[0], name, email)[:2]
 
 
-def _read_restored(body: str, name: str | None, email: str | None) -> tuple[list[int], list[int]]:
-    """As :func:`read_body`, of a text as it was written; restoring leaves lines lines."""
+def _read_restored(body: str, name: str | None, email: str | None) -> tuple[list[int], list[int], list[int]]:
+    """As :func:`read_body`, of a text as it was written (restoring leaves lines lines), and the numbers of quoted lines."""
     raw = body.split("\n")
     lines = [x.replace("\r", "").replace("\xa0", " ").rstrip() for x in raw]
     n = len(lines)
@@ -310,35 +316,76 @@ def _read_restored(body: str, name: str | None, email: str | None) -> tuple[list
     for k in filled:  # rules that separate what is not new
         if not kind[k] and RULE.match(lines[k]):
             kind[k] = "f"
-    return [k + 1 for k in filled if not kind[k]], [k + 1 for k in filled if kind[k] == "s"]
+    return [k + 1 for k in filled if not kind[k]], [k + 1 for k in filled if kind[k] == "s"], [k + 1 for k in filled if kind[k] == "q"]
+
+
+SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(text), "little", signed=True)
+
+
+def _sentences(lines: list[dict]) -> list[str]:
+    return SENTENCE.split(" ".join(x["text"] for x in lines)) if lines else []
+
+
+def _line_hash(text: str, sender: int) -> int:
+    """Lines of closing blocks belong to their sender."""
+    return _hash(f"{sender}\n{text}")
 
 
 def read_bodies(emails: DataFrame) -> DataFrame:
-    """``idx, key columns..., own array<struct<line_no,text>>, block array<string>`` of each row with a body."""
+    """``idx, key columns..., own, quoted`` (lines), and hashes: ``wrote`` and ``shows`` of sentences, ``closes`` and ``ends`` of lines."""
     keep = [c for c in emails.columns if c not in ("body", "sender_name", "sender_email")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, blocks = [], []
-            for body, name, email in zip(batch.column("body").to_pylist(), batch.column("sender_name").to_pylist(), batch.column("sender_email").to_pylist()):
+            own, quoted, wrote, shows, closes, ends = [], [], [], [], [], []
+            for body, name, email, sender in zip(*[batch.column(c).to_pylist() for c in ("body", "sender_name", "sender_email", "sender")]):
                 body = restore(body)[0]  # rules and automata need the text as it was written
-                new, closing = _read_restored(body, name, email)
+                new, closing, old = _read_restored(body, name, email)
                 raw = body.split("\n")
-                own.append([{"line_no": k, "text": " ".join(raw[k - 1].split())} for k in new])
-                blocks.append([" ".join(raw[k - 1].split()) for k in closing])
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], pa.array(own, OWN), pa.array(blocks, pa.list_(pa.string()))], [*keep, "own", "block"]
-            )
+                mine = [{"line_no": k, "text": " ".join(raw[k - 1].split())} for k in new]
+                theirs = [{"line_no": k, "text": " ".join(MARK.sub("", raw[k - 1]).split())} for k in old]
+                said = [_hash(x) for x in _sentences(mine)]
+                own.append(mine)
+                quoted.append(theirs)
+                wrote.append(said)
+                shows.append([_hash(x) for x in _sentences(theirs)])
+                closes.append([_line_hash(" ".join(raw[k - 1].split()), sender) for k in closing])
+                ends.append([_line_hash(x["text"], sender) for x in mine])
+            made = [pa.array(own, LINES), pa.array(quoted, LINES), *[pa.array(x, LONGS) for x in (wrote, shows, closes, ends)]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], [*keep, "own", "quoted", "wrote", "shows", "closes", "ends"])
 
     schema = ", ".join(f"{c} {emails.schema[c].dataType.simpleString()}" for c in keep)
-    return emails.where(F.col("body").isNotNull()).mapInArrow(read, f"{schema}, own array<struct<line_no:int,text:string>>, block array<string>")
-
-
-SENTENCE = re.compile(r"(?<=[.!?…])\s+")
-
-
-def _sentences(texts: list[str]) -> list[str]:
-    return [s for s in SENTENCE.split(" ".join(texts)) if len(s) >= 30]
+    return emails.where(F.col("body").isNotNull()).mapInArrow(read, f"{schema}, own {LINES_SQL}, quoted {LINES_SQL}, wrote array<long>, shows array<long>, closes array<long>, ends array<long>")
+
+
+def shared(read: DataFrame) -> DataFrame:
+    """``idx, thread, shown, said, closing``: hashes of quoted and bare sentences and of lines that earlier messages hold, of each message that has any."""
+    dated = read.where("topic != 0 and utc_s is not null").withColumn("day", F.floor(F.col("utc_s") / DAY))
+    # threads from the days on which a topic has messages: a topic has few of them, however many messages
+    order = Window.partitionBy("topic").orderBy("day")
+    days = dated.groupBy("topic", "day").agg(F.count(F.lit(1)).alias("n"))
+    days = days.withColumn("opens", F.coalesce(F.col("day") - F.lag("day").over(order) > DAYS, F.lit(True)))
+    days = days.select("topic", "day", F.last(F.when(F.col("opens"), F.xxhash64("topic", "day")), True).over(order).alias("thread"), F.sum("n").over(order).alias("so_far"))
+    days = days.withColumn("messages", F.max("so_far").over(Window.partitionBy("topic")))
+    rows = dated.join(days.where("messages > 1").select("topic", "day", "thread"), ["topic", "day"])
+    rows = staged(rows.select("idx", "thread", "sender", F.struct("utc_s", "idx").alias("at"), "wrote", "shows", "closes", "ends"), "own-words-threads")
+    # of each sentence the first messages of two senders: one of them is not the reader's own
+    first = rows.select("thread", "sender", "at", F.explode("wrote").alias("h")).groupBy("thread", "h", "sender").agg(F.min("at").alias("at"))
+    first = first.withColumn("k", F.row_number().over(Window.partitionBy("thread", "h").orderBy("at"))).where("k <= 2").select("thread", "h", F.col("sender").alias("writer"), F.col("at").alias("written"))
+    asked = F.array_distinct(F.concat(*[F.transform(c, lambda h: F.struct(h.alias("h"), F.lit(marked).alias("marked"))) for c, marked in (("shows", True), ("wrote", False))]))
+    asked = rows.select("thread", "idx", "sender", "at", F.explode(asked).alias("s")).select("thread", "idx", "sender", "at", "s.h", "s.marked")
+    told = asked.join(first, ["thread", "h"]).where("written < at and writer != sender").select("idx", "thread", "h", "marked")
+    told = staged(told.distinct(), "own-words-told")
+    only_here = rows.select("thread", F.explode("wrote").alias("h")).groupBy("h").agg(F.min("thread").alias("a"), F.max("thread").alias("b")).where("a = b").select("h")
+    blocks = rows.select("thread", "at", F.explode("closes").alias("h")).groupBy("thread", "h").agg(F.min("at").alias("written"))
+    closed = rows.select("thread", "idx", "at", F.explode(F.array_distinct("ends")).alias("h")).join(blocks, ["thread", "h"]).where("written < at")
+    kinds = {"shown": told.where("marked"), "said": told.where("not marked").join(only_here, "h"), "closing": closed}
+    every = reduce(DataFrame.unionByName, [df.select("idx", "thread", "h", F.lit(kind).alias("kind")) for kind, df in kinds.items()])
+    return every.groupBy("idx", "thread").agg(*[F.collect_set(F.when(F.col("kind") == kind, F.col("h"))).alias(kind) for kind in kinds])
 
 
 def _joined(lines: list[dict]) -> tuple[str, list[int]]:
@@ -350,100 +397,81 @@ def _joined(lines: list[dict]) -> tuple[str, list[int]]:
     return text, starts
 
 
-def _scan(automaton, lines: list[dict], order: tuple, sender: int) -> set[tuple[int, int, bool]]:
-    """(start, end, whether of a closing block) of what one automaton finds of earlier messages."""
-    spans = set()
-    for end, found in automaton.iter(_joined(lines)[0]):
-        for length, closing, other, when in found:
-            # sentences of others; the sender's own ones are as a rule the same message, filed or sent again
-            if when < order and closing == (other == sender):
-                spans.add((end - length + 1, end + 1, closing))
-    return spans
-
-
-def _covered(lines: list[dict], spans: set[tuple[int, int, bool]]) -> list[int]:
-    """Numbers of the lines that the spans of all automata cover: passages of two sentences or more, and lines of the sender's block."""
+def _covered(automaton, lines: list[dict], known: set[int], marked: bool) -> list[int]:
+    """Numbers of the lines that merged intervals cover; ``marked``: of quoted lines, where one sentence is enough."""
     text, starts = _joined(lines)
-    covered: set[int] = {line["line_no"] for line, a in zip(lines, starts) for s, e, closing in spans if closing and s == a and e - s == len(line["text"])}
+    spans = [(end - length + 1, end + 1) for end, (length, h) in automaton.iter(text) if h in known]
     merged: list[list[int]] = []
-    for s, e, closing in sorted(spans):
-        if closing:
-            continue
+    for s, e in sorted(spans):
         if merged and s <= merged[-1][1] + 1:
             merged[-1][2] |= text[s:e] != text[merged[-1][0] : e] and text[s:e] not in text[merged[-1][0] : s]
             merged[-1][1] = max(merged[-1][1], e)
         else:
-            merged.append([s, e, False])
-    for s, e, several in merged:
-        if several:
-            covered |= {line["line_no"] for line, a in zip(lines, starts) if s <= a and a + len(line["text"]) <= e}
-    return sorted(covered)
-
+            merged.append([s, e, marked])
+    # a line of quoted text may be cut off within a sentence: any part of it tells
+    if marked:
+        return [line["line_no"] for line, a in zip(lines, starts) if any(s < a + len(line["text"]) and a < e for s, e, _ in merged)]
+    return [line["line_no"] for line, a in zip(lines, starts) if any(several and s <= a and a + len(line["text"]) <= e for s, e, several in merged)]
 
-def own_lines(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
-    """``idx, line_no`` of each line that the sender of a row wrote."""
-    rows = with_instant(emails.select("idx", "mailbox", "date_iso", "body", "sender_name", "sender_email", "subject", "conversation_topic"), mailboxes)
-    rows = rows.select("idx", "utc_s", F.xxhash64(F.lower(F.trim("sender_email"))).alias("sender"), conversation_key(F.col("conversation_topic"), F.col("subject")).alias("topic"), "body", "sender_name", "sender_email")
-    read = staged(read_bodies(rows), "own-words")
-    found = read.select("idx", F.explode("own.line_no").alias("line_no"))
 
-    threaded = read.where("topic != '' and utc_s is not null").withColumn("period", F.floor(F.col("utc_s") / PERIOD))
-    # a message's sentences serve its own period and the next one
-    given = threaded.select("topic", F.explode(F.array("period", F.col("period") + 1)).alias("period"), "idx", "utc_s", "sender", "own", "block")
-    sizes = given.groupBy("topic", "period").agg(F.count(F.lit(1)).alias("messages"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).where("messages > 1")
-    sizes = sizes.select("topic", "period", "parts")
-    # a grid of parts: each automaton meets each block of messages in a task of its own
-    every, mine = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.pmod(F.hash("idx"), "parts")
-    given = given.join(sizes, ["topic", "period"]).select("topic", "period", mine.alias("part"), every.alias("block_no"), F.lit(0).alias("scanned"), "idx", "utc_s", "sender", "own", "block")
-    asked = threaded.join(sizes, ["topic", "period"]).where(F.size("own") > 0)
-    asked = asked.select("topic", "period", every.alias("part"), mine.alias("block_no"), F.lit(1).alias("scanned"), "idx", "utc_s", "sender", "own", F.array().cast("array<string>").alias("block"))
-    work = given.unionByName(asked).repartition("topic", "period", "part", "block_no").sortWithinPartitions("topic", "period", "part", "block_no", "scanned", "utc_s", "idx")
+def history(read: DataFrame) -> DataFrame:
+    """``idx, line_no, marked`` of the lines that earlier messages of the thread hold, or the sender's closing blocks; ``marked``: quoted lines."""
+    known = shared(read)
+    work = read.select("idx", "sender", "own", "quoted").join(known, "idx")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        thread, patterns, automaton = None, {}, None
         for batch in batches:
-            out_idx, out_own, out_spans = [], [], []
+            threads: dict[int, list[dict]] = {}
             for row in batch.to_pylist():
-                key = (row["topic"], row["period"], row["part"], row["block_no"])
-                if key != thread:
-                    thread, patterns, automaton = key, {}, None
-                order = (row["utc_s"], row["idx"])
-                if not row["scanned"]:
-                    for s in _sentences([x["text"] for x in row["own"]]):
-                        patterns.setdefault(s, []).append((len(s), False, row["sender"], order))
-                    for s in row["block"]:
-                        if len(s) >= 12:
-                            patterns.setdefault(s, []).append((len(s), True, row["sender"], order))
-                    continue
-                if automaton is None:
-                    automaton = ahocorasick.Automaton()
-                    for s, values in patterns.items():
-                        # each sender's first message that has it decides
-                        first: dict[tuple, tuple] = {}
-                        for v in values:
-                            if v[1:3] not in first or v[3] < first[v[1:3]][3]:
-                                first[v[1:3]] = v
-                        automaton.add_word(s, list(first.values()))
-                    automaton.make_automaton()
-                if len(automaton) and (spans := _scan(automaton, row["own"], order, row["sender"])):
-                    out_idx.append(row["idx"])
-                    out_own.append(row["own"])
-                    out_spans.append([{"start": a, "end": b, "closing": closing} for a, b, closing in sorted(spans)])
-            yield pa.RecordBatch.from_arrays([pa.array(out_idx, pa.int64()), pa.array(out_own, OWN), pa.array(out_spans, SPANS)], ["idx", "own", "spans"])
-
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out_idx, out_line = [], []
-            for row in batch.to_pylist():
-                hits = _covered(row["own"], {(x["start"], x["end"], x["closing"]) for part in row["spans"] for x in part})
-                out_idx += [row["idx"]] * len(hits)
-                out_line += hits
-            yield pa.RecordBatch.from_arrays([pa.array(out_idx, pa.int64()), pa.array(out_line, pa.int32())], ["idx", "line_no"])
-
-    matched = work.mapInArrow(scan, "idx long, own array<struct<line_no:int,text:string>>, spans array<struct<start:int,end:int,closing:boolean>>")
-    # a message's sentences may stand in several parts: the rules of a passage need the spans of all of them; repeated rows have the same text
-    united = matched.groupBy("idx", "own").agg(F.collect_list("spans").alias("spans"))
-    covered = united.mapInArrow(cover, "idx long, line_no int").distinct()
-    return found.join(covered, ["idx", "line_no"], "left_anti").select("idx", "line_no")
+                row["closing"] = set(row["closing"])
+                row["known"] = {False: set(row["said"]), True: set(row["shown"])}
+                threads.setdefault(row["thread"], []).append(row)
+            out_idx, out_line, out_marked = [], [], []
+            for rows in threads.values():
+                automaton = ahocorasick.Automaton()
+                for row in rows:
+                    for lines, marked in ((row["own"], False), (row["quoted"], True)):
+                        for sentence in _sentences(lines) if row["known"][marked] else ():
+                            if sentence and (h := _hash(sentence)) in row["known"][marked]:
+                                automaton.add_word(sentence, (len(sentence), h))
+                automaton.make_automaton()
+                for row in rows:
+                    for lines, marked in ((row["own"], False), (row["quoted"], True)):
+                        hits = set(_covered(automaton, lines, row["known"][marked], marked)) if row["known"][marked] else set()
+                        if not marked and row["closing"]:
+                            hits |= {x["line_no"] for x in takewhile(lambda x: _line_hash(x["text"], row["sender"]) in row["closing"], reversed(lines))}
+                        out_idx += [row["idx"]] * len(hits)
+                        out_line += sorted(hits)
+                        out_marked += [marked] * len(hits)
+            yield pa.RecordBatch.from_arrays([pa.array(out_idx, pa.int64()), pa.array(out_line, pa.int32()), pa.array(out_marked, pa.bool_())], ["idx", "line_no", "marked"])
+
+    return work.mapInArrow(scan, "idx long, line_no int, marked boolean")
+
+
+def read_emails(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
+    """:func:`read_bodies` of all rows, written to the shared folder."""
+    rows = with_instant(emails.select("idx", "mailbox", "date_iso", "body", "sender_name", "sender_email", "subject", "conversation_topic"), mailboxes)
+    topic = conversation_key(F.col("conversation_topic"), F.col("subject"))
+    rows = rows.select("idx", "utc_s", F.coalesce(F.xxhash64(F.lower(F.trim("sender_email"))), F.lit(0)).alias("sender"), F.when(topic != "", F.xxhash64(topic)).otherwise(0).alias("topic"), "body", "sender_name", "sender_email")
+    return staged(read_bodies(rows), "own-words")
+
+
+def own_lines(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
+    """``idx, line_no`` of each line that the sender of a row wrote."""
+    read = read_emails(emails, mailboxes)
+    found = read.select("idx", F.explode("own.line_no").alias("line_no"))
+    old = history(read).where("not marked").select("idx", "line_no").distinct()
+    return found.join(old, ["idx", "line_no"], "left_anti").select("idx", "line_no")
+
+
+def lines_taken_off(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
+    """``taken_by, lines``: quoted lines that the automata find in earlier messages, those that only marks show, and lines without a mark that the automata take off."""
+    read = read_emails(emails, mailboxes)
+    found = staged(history(read).distinct(), "own-words-history")
+    marks = read.select(F.sum(F.size("quoted")).alias("n"), F.lit("mark alone").alias("taken_by"))
+    by = F.when(F.col("marked"), "mark and earlier message").otherwise("earlier message alone")
+    taken = found.groupBy(by.alias("taken_by")).agg(F.count(F.lit(1)).alias("n"))
+    less = taken.where("taken_by like 'mark%'").select((-F.col("n")).alias("n"), F.lit("mark alone").alias("taken_by"))
+    return marks.unionByName(taken).unionByName(less).groupBy("taken_by").agg(F.sum("n").alias("lines"))

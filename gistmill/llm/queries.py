@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gistmill.llm.conversations import conversations
@@ -10,10 +10,10 @@ from gistmill.llm.encode_corpus import encode_corpus
 from gistmill.llm.mixing import mix
 from gistmill.llm.name_variants import same_entity_pairs
 from gistmill.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
-from gistmill.llm.own_words import own_lines
+from gistmill.llm.own_words import lines_taken_off, own_lines
 from gistmill.llm.splitting import split_texts
 from gistmill.llm.wrong_charset import wrong_fields
-from gistmill.sources.tables import table
+from gistmill.sources.tables import staged, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own_lines(table(spark, sf_dir, "emails"), table(spark, sf_dir, "mailboxes"))
 
 
+def p3_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines marks and automata take off."""
+    return lines_taken_off(table(spark, sf_dir, "emails"), table(spark, sf_dir, "mailboxes"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "doctexts"))
 
@@ -66,7 +71,30 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), profiles)
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+def p10_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each profile: texts, characters that pieces or whole texts cover, pieces above the limit, and neighbours that share nothing though they should."""
+    limits = table(spark, sf_dir, "split_limits").select("profile", "max_tokens", "overlap_tokens")
+    texts = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.length("text").alias("chars"))
+    pieces = staged(p10_pieces(spark, sf_dir).drop("piece"), "pieces")
+    # a piece adds what lies behind all pieces before it; pieces of one text are in order
+    text = Window.partitionBy("profile", "doc_id")
+    pieces = pieces.withColumn("reached", F.coalesce(F.max("end_char").over(text.orderBy("piece_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    pieces = pieces.join(F.broadcast(limits), "profile")
+    per_text = pieces.groupBy("profile", "doc_id").agg(
+        F.sum(F.when(F.col("start_char") <= F.col("reached"), F.col("end_char") - F.col("reached")).otherwise(F.col("end_char") - F.col("start_char"))).alias("covered"),
+        F.count_if(F.col("n_tokens") > F.col("max_tokens")).alias("too_large"),
+        F.count_if((F.col("overlap_tokens") > 0) & (F.col("piece_no") > 1) & (F.col("start_char") >= F.col("reached"))).alias("sharing_nothing"),
+    )
+    profiles = [r[0] for r in limits.select("profile").collect()]  # a few
+    every = texts.select("*", F.explode(F.array(*[F.lit(p) for p in profiles]) if profiles else F.array().cast("array<string>")).alias("profile"))
+    both = every.join(per_text, ["profile", "doc_id"], "left")
+    return both.groupBy("profile").agg(
+        F.count(F.lit(1)).alias("texts"), F.sum(F.coalesce("covered", "chars")).alias("chars_covered"),
+        F.sum(F.coalesce("too_large", F.lit(0))).alias("too_large"), F.sum(F.coalesce("sharing_nothing", F.lit(0))).alias("sharing_nothing"),
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p3_taken": p3_taken, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces, "p10_check": p10_check}
 _SETS = r"""WITH seg AS (SELECT doc_no, title AS t FROM doctexts UNION ALL SELECT doc_no, b.text FROM (SELECT doc_no, unnest(blocks) AS b FROM doctexts)),
  w AS (SELECT doc_no, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM seg WHERE t IS NOT NULL),
  g AS (SELECT DISTINCT doc_no, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM w, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 3),
@@ -80,4 +108,6 @@ ORACLES: dict[str, str] = {
     + """, s AS (SELECT doc_no, string_agg(gram, '/' ORDER BY gram) AS grams FROM g GROUP BY 1),
  d AS (SELECT doc_no, count(*) AS links FROM (SELECT doc_no_a AS doc_no FROM f UNION ALL SELECT doc_no_b FROM f) GROUP BY 1)
  SELECT s.doc_no, min(s.doc_no) OVER (PARTITION BY s.grams) AS class_no, coalesce(d.links, 0) AS links FROM s LEFT JOIN d ON s.doc_no = d.doc_no""",
+    "p10_check": """SELECT profile, count(text) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars_covered, CAST(0 AS BIGINT) AS too_large, CAST(0 AS BIGINT) AS sharing_nothing
+ FROM documents, split_limits WHERE text IS NOT NULL GROUP BY profile""",
 }

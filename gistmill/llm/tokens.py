@@ -97,20 +97,50 @@ class Cutter:
 _CUTTER = Cutter()
 
 
+def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all texts, where each begins and the end); NULL is empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    rows = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if offsets is not None and len(texts) else np.zeros(len(texts) + 1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[rows[0] : rows[-1]], rows - rows[0]
+
+
+def _strings(starts: np.ndarray, raw: np.ndarray) -> pa.DictionaryArray:
+    """The stretches of ``raw`` between neighbouring places, as a dictionary."""
+    return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte behind, text, 64-bit hash) of every run of letters and digits in a column of texts."""
+    import xxhash
+
+    raw, rows = _flat(texts)
+    if not len(raw):
+        return (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64))
+    at = np.flatnonzero((raw & 0xC0) != 0x80)
+    kind = _CUTTER._classes_of(np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)) < Cutter.BLANK
+    opens = np.zeros(len(at) + 1, bool)
+    opens[np.searchsorted(at, rows)] = True
+    at = np.append(at, len(raw))
+    opens[1:-1] |= kind[1:] != kind[:-1]
+    places = np.flatnonzero(opens)
+    flat = _strings(at[places], raw)
+    wanted = kind[places[:-1]]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))
+    starts, ends = at[places[:-1]][wanted], at[places[1:]][wanted]
+    return starts, ends, np.searchsorted(rows, starts, side="right") - 1, hashes[flat.indices.to_numpy(zero_copy_only=False)[wanted]]
+
+
 def cut_batch(texts: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(row borders, index of each word, the different words) of a column of texts for the tokenizer ``name``.
 
     Joined, the words of a row are its text. NULL has no words.
     """
-    texts = texts.cast(pa.large_string()).fill_null("")
-    _, offsets, data = texts.buffers()
-    rows = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if offsets is not None else np.zeros(1, np.int64)
-    if not len(texts) or rows[-1] == rows[0]:
+    raw, rows = _flat(texts)
+    if not len(raw):
         return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64), []
-    raw, rows = np.frombuffer(data, np.uint8)[rows[0] : rows[-1]], rows - rows[0]
     starts = _CUTTER.pieces(raw, rows) if is_pieces(name) else _CUTTER.byte_level(raw, rows)
-    offsets = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64))
-    flat = pa.LargeStringArray.from_buffers(len(starts), offsets, pa.py_buffer(raw)).dictionary_encode()
+    flat = _strings(np.append(starts, len(raw)), raw)
     return np.searchsorted(starts, rows), flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
 
 
