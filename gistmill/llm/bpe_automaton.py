@@ -26,6 +26,9 @@ def printable_bytes() -> dict[str, int]:
 class BpeAutomaton:
     """Encodes words (not whole texts) with the merges of one vocabulary."""
 
+    #: Arcs that the table holds at most.
+    ROOM = 2_000_000
+
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.ids = vocabulary
         self.labels = {k: token for token, k in vocabulary.items()}
@@ -98,9 +101,15 @@ class BpeAutomaton:
                 for right, right_from, right_until in rights:
                     if (rank := self.merged.get((left, right))) is not None and max(left_from, right_from) < rank < left_until and rank <= right_until:
                         known = False
-            self.arcs[a, b] = known
+            self._keep((a, b), known)
         return known
 
+    def _keep(self, arc: tuple[bytes, bytes], known: bool) -> None:
+        """Puts an arc into the table; a full table starts anew, as workers live as long as their executor."""
+        if len(self.arcs) >= self.ROOM:
+            self.arcs.clear()
+        self.arcs[arc] = known
+
     def encode(self, word: bytes) -> list[int]:
         """Token ids of one word, by one pass over its bytes."""
         n, ids, born = len(word), self.ids, self.born
@@ -134,5 +143,5 @@ class BpeAutomaton:
             rank = self.born[token]
             met = [(x, y) for x, xf, xu in self._edge(left, 1) for y, yf, yu in self._edge(right, 0) if (r := self.merged.get((x, y))) is not None and max(xf, yf) < r < min(xu, yu, rank)]
             known = not met and all(len(x) == 1 or self.whole(x) for x in (left, right))
-            self.arcs[key] = known
+            self._keep(key, known)
         return known

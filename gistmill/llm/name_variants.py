@@ -103,12 +103,17 @@ def _deletions(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(name), F.transform(F.sequence(F.lit(1), F.length(name)), lambda k: F.concat(name.substr(F.lit(1), k - 1), name.substr(k + 1, F.length(name))))))
 
 
+def _grown(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the spellings: never broadcast, as sizes guessed from compressed files mislead."""
+    return df.hint("merge")
+
+
 def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
     """``obs_id, entity`` of every observation that means a person or a firm."""
     blank = {"display": "", "email": ""}
     base = observations.select("obs_id", "display", "email").na.fill(blank).dropDuplicates(["obs_id"])
-    counted = base.join(spelling_counts(emails), ["display", "email"], "left").select("obs_id", F.coalesce("n", F.lit(1)).alias("n"))
-    obs = staged(parsed(base).join(counted, "obs_id"), "names-parsed")
+    counted = base.join(_grown(spelling_counts(emails)), ["display", "email"], "left").select("obs_id", F.coalesce("n", F.lit(1)).alias("n"))
+    obs = staged(parsed(base).join(_grown(counted), "obs_id"), "names-parsed")
 
     # candidate canonical forms with a domain, from assigned addresses
     owned = obs.where("l_given != ''").groupBy(F.col("l_given").alias("c_given"), F.col("l_surname").alias("c_surname"), F.col("domain").alias("c_domain")).agg(F.sum("n").alias("c_n"))
@@ -116,20 +121,20 @@ def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
     owned = staged(owned.withColumn("homes", F.count(F.lit(1)).over(homes)), "names-owned")
     # private: most of its owners also have an address at some firm, at many different ones, and it has no role address
     elsewhere = owned.select("c_given", "c_surname", F.col("c_domain").alias("other"))
-    partners = owned.join(elsewhere, ["c_given", "c_surname"]).where("other != c_domain").groupBy("c_domain").agg(F.countDistinct("other").alias("partners"))
+    partners = owned.join(_grown(elsewhere), ["c_given", "c_surname"]).where("other != c_domain").groupBy("c_domain").agg(F.countDistinct("other").alias("partners"))
     with_roles = obs.where("role").select(F.col("domain").alias("c_domain")).distinct()
-    private = owned.groupBy("c_domain").agg(F.avg((F.col("homes") > 1).cast("double")).alias("shared"), F.count(F.lit(1)).alias("m")).join(partners, "c_domain")
+    private = owned.groupBy("c_domain").agg(F.avg((F.col("homes") > 1).cast("double")).alias("shared"), F.count(F.lit(1)).alias("m")).join(_grown(partners), "c_domain")
     private = private.where("shared > 0.5 and m > 3 and partners > 0.3 * m").join(with_roles, "c_domain", "left_anti").select(F.col("c_domain").alias("p_domain"))
     private = staged(private, "names-private")
-    owned = owned.join(private, F.col("c_domain") == F.col("p_domain"), "left").withColumn("is_private", F.col("p_domain").isNotNull())
+    owned = owned.join(_grown(private), F.col("c_domain") == F.col("p_domain"), "left").withColumn("is_private", F.col("p_domain").isNotNull())
     # someone with private addresses only is known by the name alone
     firm_homes = F.sum((~F.col("is_private")).cast("int")).over(homes)
     owned = owned.withColumn("firm_homes", firm_homes).where("not is_private or firm_homes = 0").withColumn("c_domain", F.when(F.col("is_private"), "").otherwise(F.col("c_domain")))
     owned = owned.groupBy("c_given", "c_surname", "c_domain").agg(F.sum("c_n").alias("c_n"))
     # names that are typed in full but never assigned: also candidates, with what is known of their domain
-    typed = obs.where("kind = 'person' and length(given) > 1 and l_given = ''").join(private, F.col("domain") == F.col("p_domain"), "left")
+    typed = obs.where("kind = 'person' and length(given) > 1 and l_given = ''").join(_grown(private), F.col("domain") == F.col("p_domain"), "left")
     typed = typed.groupBy(F.col("given").alias("c_given"), F.col("surname").alias("c_surname"), F.when(F.col("p_domain").isNull(), F.col("domain")).otherwise("").alias("c_domain")).agg(F.sum("n").alias("c_n"))
-    typed = typed.join(owned.select("c_given", "c_surname").distinct(), ["c_given", "c_surname"], "left_anti")
+    typed = typed.join(_grown(owned.select("c_given", "c_surname").distinct()), ["c_given", "c_surname"], "left_anti")
     forms = staged(owned.withColumn("assigned", F.lit(True)).unionByName(typed.withColumn("assigned", F.lit(False))), "names-forms")
 
     # nicknames, learned from the owners of assigned addresses
@@ -142,7 +147,7 @@ def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
         F.when(F.col("l_given") != "", F.col("l_given")).when(F.col("kind") == "person", F.col("given")).when(F.col("l_initial") != "", F.col("l_initial")).alias("q_given"),
         F.when(F.col("l_given") != "", F.col("l_surname")).when(F.col("kind") == "person", F.col("surname")).when(F.col("l_initial") != "", F.col("l_surname")).alias("q_surname"),
         F.col("domain"), F.col("l_surname"),
-    ).where("q_surname is not null").join(private, F.col("domain") == F.col("p_domain"), "left")
+    ).where("q_surname is not null").join(_grown(private), F.col("domain") == F.col("p_domain"), "left")
     asks = staged(asks.withColumn("q_domain", F.when(F.col("p_domain").isNull(), F.col("domain")).otherwise("")).drop("p_domain", "domain"), "names-asks")
     forms_asked = asks.groupBy("q_given", "q_surname", "q_domain", "l_initial", "l_surname").agg(F.sum("n").alias("q_n"))
     forms_asked = staged(forms_asked, "names-forms-asked")
@@ -152,26 +157,26 @@ def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
     def scored(pairs: DataFrame, likelihood: Column) -> DataFrame:
         return pairs.where(own_domain).select(*asked, "c_given", "c_surname", "c_domain", "c_n", "assigned", likelihood.alias("p"))
 
-    exact = scored(forms_asked.join(forms, (F.col("q_given") == F.col("c_given")) & (F.col("q_surname") == F.col("c_surname"))), F.lit(1.0))
+    exact = scored(forms_asked.join(_grown(forms), (F.col("q_given") == F.col("c_given")) & (F.col("q_surname") == F.col("c_surname"))), F.lit(1.0))
     # one edit: the neighbourhoods of single deletions meet; never by broadcast, as the size before the explosion misleads
     q_keys = forms_asked.where("length(q_given) > 1").select(*asked, F.explode(_deletions(F.concat_ws(" ", "q_given", "q_surname"))).alias("key"))
     c_keys = forms.where("c_n > 1 or assigned").select("c_given", "c_surname", "c_domain", "c_n", "assigned", F.explode(_deletions(F.concat_ws(" ", "c_given", "c_surname"))).alias("key"))
     edits = F.levenshtein(F.concat_ws(" ", "q_given", "q_surname"), F.concat_ws(" ", "c_given", "c_surname"))
     typos = scored(q_keys.join(c_keys.hint("merge"), "key").where(edits.between(1, 2)), F.lit(0.05) * F.pow(F.lit(0.4), edits - 1)).distinct()
     nicks = scored(
-        forms_asked.join(nick, F.col("q_given") == F.col("nick")).join(forms, (F.col("nick_of") == F.col("c_given")) & (F.col("q_surname") == F.col("c_surname"))), F.lit(0.05) * F.col("p_nick")
+        forms_asked.join(_grown(nick), F.col("q_given") == F.col("nick")).join(_grown(forms), (F.col("nick_of") == F.col("c_given")) & (F.col("q_surname") == F.col("c_surname"))), F.lit(0.05) * F.col("p_nick")
     )
     # an initial, written or in an address, with the surname as written or as in the address, at the same firm
     initial = F.when(F.col("l_initial") != "", F.col("l_initial")).when(F.length("q_given") == 1, F.col("q_given"))
     family = F.when(F.col("l_initial") != "", F.col("l_surname")).otherwise(F.col("q_surname"))
     at_firm = forms_asked.withColumns({"initial": initial, "family": family}).where("initial is not null and q_domain != ''")
     by_initial = scored(
-        at_firm.join(forms.withColumn("c_initial", F.substring("c_given", 1, 1)), (F.col("q_domain") == F.col("c_domain")) & (F.col("family") == F.col("c_surname")) & (F.col("initial") == F.col("c_initial"))),
+        at_firm.join(_grown(forms.withColumn("c_initial", F.substring("c_given", 1, 1))), (F.col("q_domain") == F.col("c_domain")) & (F.col("family") == F.col("c_surname")) & (F.col("initial") == F.col("c_initial"))),
         F.when((F.length("q_given") == 1) | F.col("c_given").startswith(F.col("q_given")) | (F.levenshtein("q_given", "c_given") <= 2), 0.05).otherwise(0.015),
     )
     written_initial = forms_asked.where("length(q_given) = 1 and l_initial = ''")
     bare_initial = scored(
-        written_initial.where("q_domain != ''").join(forms.withColumn("c_initial", F.substring("c_given", 1, 1)), (F.col("q_surname") == F.col("c_surname")) & (F.col("q_given") == F.col("c_initial"))), F.lit(0.02)
+        written_initial.where("q_domain != ''").join(_grown(forms.withColumn("c_initial", F.substring("c_given", 1, 1))), (F.col("q_surname") == F.col("c_surname")) & (F.col("q_given") == F.col("c_initial"))), F.lit(0.02)
     )
     options = exact.unionByName(typos).unionByName(nicks).unionByName(by_initial).unionByName(bare_initial)
     # the prior: how often a form occurs; one that was assigned is no slip
@@ -181,8 +186,8 @@ def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
     linked = staged(best.select(*asked, "b.score", name_of(F.col("b.c_given"), F.col("b.c_surname"), F.col("b.c_domain")).alias("to")), "names-linked")
     # a typed form that itself was taken for a slip leads on to what that was attached to
     again = linked.where("l_initial = ''").select(name_of(F.col("q_given"), F.col("q_surname"), F.col("q_domain")).alias("from"), F.col("to").alias("next")).where(F.col("from") != F.col("next")).groupBy("from").agg(F.min("next").alias("next"))
-    linked = linked.join(again, F.col("to") == F.col("from"), "left").select(*asked, "score", F.coalesce("next", "to").alias("to"))
-    person_of = staged(asks.join(linked, asked).select("obs_id", "address", "role", "n", "to", "score"), "names-persons")
+    linked = linked.join(_grown(again), F.col("to") == F.col("from"), "left").select(*asked, "score", F.coalesce("next", "to").alias("to"))
+    person_of = staged(asks.join(_grown(linked), asked).select("obs_id", "address", "role", "n", "to", "score"), "names-persons")
     # one address, one person: the target with the greatest total posterior
     votes = person_of.where("address != '' and not role").groupBy("address", "to").agg(F.sum("n").alias("votes"), F.max("score").alias("score"))
     owner = votes.groupBy("address").agg(F.max_by("to", F.struct("votes", "score", "to")).alias("owner"))
@@ -193,10 +198,10 @@ def entities(observations: DataFrame, emails: DataFrame) -> DataFrame:
     bare = firms.where("domain = ''").select("obs_id", F.col("given").alias("first"))
     meets = bare.select("obs_id", "first", F.explode(_deletions(F.col("first"))).alias("key")).join(labels.select("label", F.explode(_deletions(F.col("label"))).alias("key")).hint("merge"), "key")
     meets = meets.withColumn("d", F.levenshtein("first", "label")).where("d <= 2").groupBy("obs_id").agg(F.min(F.struct("d", "label")).alias("m"))
-    firm_of = bare.join(meets, "obs_id", "left").select("obs_id", F.concat(F.lit("firm "), F.coalesce("m.label", "first")).alias("entity"))
+    firm_of = bare.join(_grown(meets), "obs_id", "left").select("obs_id", F.concat(F.lit("firm "), F.coalesce("m.label", "first")).alias("entity"))
     firm_of = staged(firm_of.unionByName(firms.where("domain != ''").select("obs_id", F.concat(F.lit("firm "), label).alias("entity"))), "names-firms")
 
-    people = obs.join(firm_of.select("obs_id"), "obs_id", "left_anti").join(owner, "address", "left").join(person_of.select("obs_id", "to"), "obs_id", "left")
+    people = obs.join(_grown(firm_of.select("obs_id")), "obs_id", "left_anti").join(_grown(owner), "address", "left").join(_grown(person_of.select("obs_id", "to")), "obs_id", "left")
     # someone's own address settles it; without one, the name
     settled = F.when(F.col("address") != "", F.when(F.col("role"), F.col("to")).otherwise(F.coalesce("owner", F.concat(F.lit("address "), F.col("address"))))).otherwise(F.col("to"))
     return people.select("obs_id", settled.alias("entity")).where("entity is not null").unionByName(firm_of)
@@ -206,4 +211,4 @@ def same_entity_pairs(observations: DataFrame, emails: DataFrame) -> DataFrame:
     """``obs_id_a, obs_id_b`` of all observations that mean the same; a < b."""
     known = staged(entities(observations, emails), "names-entities")
     left, right = known.select("entity", F.col("obs_id").alias("obs_id_a")), known.select("entity", F.col("obs_id").alias("obs_id_b"))
-    return left.join(right, "entity").where("obs_id_a < obs_id_b").select("obs_id_a", "obs_id_b")
+    return left.join(_grown(right), "entity").where("obs_id_a < obs_id_b").select("obs_id_a", "obs_id_b")

@@ -47,7 +47,6 @@ LINES_SQL = "array<struct<line_no:int,text:string>>"
 MARK = re.compile(r"^\s*((?:[>|]\s?)+)")
 CLOCK = r"\d{1,2}[:.h]\d{2}"
 WROTE = r"(?:wrote|writes|schrieb|schreibt|geschrieben|a .crit|.crivait|escribi.|escreveu|napisa.(?:\(a\)|a)?|pisze|пишет|писал(?:\(а\)|а)?|написал(?:\(а\)|а)?)"
-INTRO = re.compile(rf"^(?!\s*[>|]).*{WROTE}.*[:：]\s*$|^(?!\s*[>|]).*{CLOCK}.*{WROTE}.*$|^(?!\s*[>|]).*{WROTE}.*\d.*{CLOCK}\s*:?\s*$", re.I)
 INTRO_TAIL = re.compile(rf"^(?:<[^<>]+@[^<>]+>\s*)?(?:{WROTE})?[^.!?]{{0,60}}[:：]\s*$|^<[^<>]+@[^<>]+>\s*[:：]?\s*$", re.I)
 ADDRESS = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+")
 # The fields of quoted headers.
@@ -80,6 +79,7 @@ NOTICE = re.compile(
     re.I,
 )
 CONTACT = re.compile(r"(?:\+\d{1,3}[\s(]|\b(?:tel|phone|mob|mobile|fax|direct)\b\.?\s*[:+]|^\s*[TMFD]\s*[:+]|www\.|https?://|\[cid:|@[\w-]+\.[a-z]|\bpronouns\b|^\s*working days\b|^\s*(?:office hours|arbeitszeiten|horaires)\b)", re.I)
+LONE_CONTACT = re.compile(r"^(?:\[cid:|www\.|https?://\S+$|[TMFD]\s*[:+]|tel\.?\s*[:+]|my pronouns\b|working days\b|[\w.+-]+@[\w-]+\.[\w.-]+$)", re.I)
 POSTSCRIPT = re.compile(r"^\s*(?:p\.?\s?p?\.?\s?s\.?\b|ps\b|n\.?b\.?\b|p\.?d\.?\b|з\.?\s?ы\.?\b)[\s.:–-]*\S?", re.I)
 SENTENCE_END = re.compile(r"[.!?…]\s*$")
 
@@ -162,15 +162,14 @@ def read_body(body: str, name: str | None, email: str | None) -> tuple[list[int]
 
 def _read_restored(body: str, name: str | None, email: str | None) -> tuple[list[int], list[int], list[int]]:
     """As :func:`read_body`, of a text as it was written (restoring leaves lines lines), and the numbers of quoted lines."""
-    raw = body.split("\n")
-    lines = [x.replace("\r", "").replace("\xa0", " ").rstrip() for x in raw]
+    lines = [x.rstrip() for x in body.replace("\r", "").replace("\xa0", " ").split("\n")]
     n = len(lines)
     filled = [k for k in range(n) if lines[k].strip()]
     place = {k: p for p, k in enumerate(filled)}
     kind = [""] * n  # "" new, q quoted, h intro or header, s closing block, f footer
     names = _names(name, email)
     label = _plain(re.split("[.-]", (email or "").rpartition("@")[2])[0])
-    marks = [bool(MARK.match(x)) for x in lines]
+    marks = [x.lstrip()[:1] in (">", "|") for x in lines]
 
     def after(k: int, step: int = 1) -> int | None:
         p = place.get(k)
@@ -178,11 +177,9 @@ def _read_restored(body: str, name: str | None, email: str | None) -> tuple[list
 
     # quoted lines, unless a lone mark is a comparison
     low = body.lower()
-    introduced, wrote = False, _any(WROTE_WORDS, low)
+    wrote = _any(WROTE_WORDS, low)
     for p, k in enumerate(filled):
         if not marks[k]:
-            if wrote and not introduced and INTRO.match(lines[k]) or wrote and not introduced and INTRO_TAIL.match(lines[k]):
-                introduced = (p + 1 < len(filled) and marks[filled[p + 1]])
             continue
         alone = not (p and marks[filled[p - 1]]) and not (p + 1 < len(filled) and marks[filled[p + 1]])
         text = lines[k].strip()
@@ -260,8 +257,6 @@ def _read_restored(body: str, name: str | None, email: str | None) -> tuple[list
         if kind[k]:
             continue
         text = lines[k].strip()
-        if not _any(NOTICE_WORDS, text.lower()):
-            continue
         if BANNER.match(text) or DEVICE.match(text):
             kind[k] = "f"
         elif NOTICE.match(text):
@@ -282,20 +277,21 @@ def _read_restored(body: str, name: str | None, email: str | None) -> tuple[list
         if len(text) > 100:
             continue
         letters = _plain(text) if len(text) < 60 else ""
-        following = []
-        for x in filled[p + 1 : p + 9]:
-            if kind[x] in ("q", "h"):
-                break
-            following.append(x)
-        under = [x for x in following if kind[x] == ""]
+
+        def under(p: int = p) -> list[int]:
+            """What stands under a line, up to the next quote."""
+            return [x for x in takewhile(lambda x: kind[x] not in ("q", "h"), filled[p + 1 : p + 9]) if not kind[x]]
+
         starts = False
-        if re.match(r"^--\s*$", text) or text in ("__", "—", "-- "):
+        if text in ("__", "—") or text[:2] == "--" and not text[2:].strip():
             starts = True
         elif CLOSING.match(text):
-            starts = not under or _close(_plain(lines[under[0]]), names) or len(lines[under[0]]) < 60 and not SENTENCE_END.search(lines[under[0]]) or bool(POSTSCRIPT.match(lines[under[0]]))
-        elif letters and len(text) < 60 and (_close(letters, names) or len(label) > 4 and label in letters and len(text) < 45) and not re.search(r"[,:!?]\s*$", text):
-            starts = not under or any(CONTACT.search(lines[x]) for x in under[:4]) or bool(POSTSCRIPT.match(lines[under[0]])) or all(len(lines[x]) < 40 and not SENTENCE_END.search(lines[x]) for x in under[:2])
-        elif CONTACT.search(text) and len(text) < 60 and not SENTENCE_END.search(text) and re.match(r"^(?:\[cid:|www\.|https?://\S+$|[TMFD]\s*[:+]|tel\.?\s*[:+]|my pronouns\b|working days\b|[\w.+-]+@[\w-]+\.[\w.-]+$)", text, re.I):
+            below = under()
+            starts = not below or _close(_plain(lines[below[0]]), names) or len(lines[below[0]]) < 60 and not SENTENCE_END.search(lines[below[0]]) or bool(POSTSCRIPT.match(lines[below[0]]))
+        elif letters and text[-1] not in ",:!?" and (_close(letters, names) or len(label) > 4 and label in letters and len(text) < 45):
+            below = under()
+            starts = not below or any(CONTACT.search(lines[x]) for x in below[:4]) or bool(POSTSCRIPT.match(lines[below[0]])) or all(len(lines[x]) < 40 and not SENTENCE_END.search(lines[x]) for x in below[:2])
+        elif len(text) < 60 and LONE_CONTACT.match(text) and CONTACT.search(text) and not SENTENCE_END.search(text):
             starts = True
         if not starts:
             continue

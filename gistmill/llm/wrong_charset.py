@@ -7,7 +7,7 @@ at hand, punctuation and signs; letters of another script than their surrounding
 spans again (text that went wrong twice) are decoded again.
 
 Text of one single-byte set read as another one has no byte structure; there, words are mapped from one set to the other
-and count if that turns them from impossible into plausible words (:class:`SingleByte`). U+FFFD stands for bytes that were
+and count if that turns them from impossible into words of one language (:func:`_written`) or script. U+FFFD stands for bytes that were
 lost: it is found and can't be restored.
 
 Defined results: NULL and empty values are never found and stay as they are; repeated rows are found each; other
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Legacy sets that UTF-8 bytes are commonly read as, in the order in which they are tried (cp1252 stands for Latin-1 too).
-SETS = ("cp1252", "cp1250", "iso8859-2", "cp1251", "cp437", "cp850", "mac_roman")
+SETS = ("cp1252", "cp1250", "iso8859-2", "cp1251", "cp437", "cp850", "mac_roman", "cp866", "cp1257")
 LETTERS = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿŒœŸŠšŽžĄąĆćĘęŁłŃńŚśŹźŻżČčĎďĚěŇňŘřŤťŮůĞğİıŞşŐőŰűĂăȘșȚț"
 SIGNS = "ƒˆ˜¡¢£¤¥¦§©ª«¬®¯°±²³´µ¶·¹º»¼½¾¿×÷‐‑‒–—―‘’‚“”„†‡•…‰′″‹›€№™Ω→←↑↓↔⇒∂∆∑−√∞≈≠≤≥─│┌┐└┘├┤┬┴┼═║█▪■□▲●○◦★☆☐☑☒✓✔✗✘ ​﻿   ⁠"
 CYRILLIC = re.compile("[Ѐ-ЯЁа-яёіїєґІЇЄҐ]")
@@ -69,6 +69,14 @@ def _automaton(name: str) -> tuple[re.Pattern, dict[str, int]]:
     return re.compile("(?:" + "|".join(s for s in sequences if "[]" not in s) + ")+"), table
 
 
+@lru_cache(maxsize=None)
+def _anything() -> re.Pattern:
+    """What every span of any set begins with: a lead byte's character and one of a byte that follows."""
+    tables = [_byte_table(name) for name in SETS]
+    leads, tails = ("".join(re.escape(c) for c in sorted({c for t in tables for c, b in t.items() if low <= b <= high})) for low, high in ((0xC2, 0xF3), (0x80, 0xBF)))
+    return re.compile(f"[{leads}][{tails}]")
+
+
 def _likely(decoded: str, near: str, source: str, lone: bool) -> bool:
     """Whether a decoded span can be meant beside ``near``; ``lone``: single letters of other scripts may stand alone."""
     foreign = [c for c in decoded if c not in LETTERS and c not in SIGNS]
@@ -107,7 +115,7 @@ _RANK = {c: k for k, c in enumerate(RUSSIAN)}
 WORD = re.compile(r"[^\W\d_]+")
 DOS_IN_WORD = re.compile("(?<=[A-Za-z])[αΓπΣσµτΦΘδ∞φε∩≡±≥≤⌠⌡÷≈°∙·√ⁿ■░▒▓│┤╡╢╖╕╣║╗╝╜╛┐└┴┬├─┼╞╟╚╔╩╦╠═╬╧╨╤╥╙╘╒╓╫╪┘┌█▄▌▐▀Æ£](?=[a-z])|(?<![A-Za-z0-9])[ΘΦΣτⁿφεδσ└▄┐╔╩╘╙╚╓╫╪╬](?=[a-z])|(?<=[a-z])[ΘτⁿΣφ▀](?![A-Za-z0-9])|(?<=[a-z])[ΘτⁿΣφ÷][αΓπΣσµτΦΘδφε▀÷](?=[a-z])")
 DOS_SIGN = re.compile(r"▒(?=\d)|(?<=m)[▓│](?!\w)|(?<=\d)░(?=C)|(?<=\bn)░|(?<=\d )Ç(?!\w)|(?<= )[ûù](?= )(?! [a-z]+ [àâ])|^(?:[\s>|]*)[òα](?= )|(?<![\w ])α(?= )|(?<= )α(?= )|(?<=[a-z])Æ(?=s?\b)|(?<!\w)ô(?=\w+(?: \w+)*ö(?!\w))")
-POLISH_IN_WORD = re.compile("(?<=[a-zóA-Z])[³¹¿](?=[a-zó¹ê])|[³¿]¹|œæ|(?<![\\w³¹])[³](?=[a-zó])|(?<=[a-zó])[³¹](?![\\w])|(?<![A-Za-z])[Œœ](?=[bcdfghjklmnprstwyz])|(?<=[a-zê])œ(?=[bcdfgjkmpwzæ])|(?<=[a-z])æ(?![\\w])|¿(?=[eêa][bcdfgjklmnprstwz]*[ ,.])(?<=[ ,]¿)")
+POLISH_IN_WORD = re.compile("(?<=[a-zóA-Z])[³¹¿](?=[a-zó¹ê])|[³¿]¹|œæ|(?<![\\w³¹])[³](?=[a-zó])|(?<=[a-zó])(?<!\\bm)(?<!\\b[cdkm]m)[³¹](?![\\w])|(?<![A-Za-z])[Œœ](?=[bcdfghjklmnprstwyz])|(?<=[a-zê])œ(?=[bcdfgjkmpwzæ])|(?<=[a-z])æ(?![\\w])|¿(?=[eêa][bcdfgjklmnprstwz]*[ ,.])(?<=[ ,]¿)")
 LATIN2_IN_WORD = re.compile("(?<=[a-zó])[±¶¼](?=[a-zó³±æ])|(?<=[a-zó])[±¶](?![\\w])|(?<![\\w])¶(?=[a-z])")
 C1_IN_WORD = re.compile("[a-zA-Z][\x80-\x9f]|[\x80-\x9f][a-zA-Z]")
 HIGH_RUN = re.compile("[À-ÿ]{3,}")
@@ -141,13 +149,16 @@ def single_byte(line: str) -> tuple[str, str]:
             mapped = _map(line, *SINGLE[best])
             if turned or _rarity(mapped) + 2.5 < _rarity(line):
                 return mapped, best
-        return line, ""
+        return _written(line)
     if C1_IN_WORD.search(line):
         return _map(line, "cp1252", "cp850"), "dos as windows"
     for run in HIGH_RUN.findall(line):
         mapped = _map(run, *SINGLE["cyrillic"])
         if all(CYRILLIC.match(c) for c in mapped) and _rarity(mapped) < 14:
             return WORD.sub(lambda m: _map(m.group(0), *SINGLE["cyrillic"]) if not m.group(0).isascii() else m.group(0), line.replace("÷", "\u0447").replace("¸", "ё")), "cyrillic"
+    written, kind = _written(line)
+    if kind:
+        return written, kind
     if DOS_IN_WORD.search(line) or DOS_SIGN.search(line):
         return _map(line, *SINGLE["dos"]), "dos"
     if POLISH_IN_WORD.search(line):
@@ -157,22 +168,68 @@ def single_byte(line: str) -> tuple[str, str]:
     return line, ""
 
 
-NOT_ASCII = re.compile(r"[^\x00-\x7f]")
-#: What a wrong text must have: neighbouring characters above ASCII, or one that hardly stands alone in its place.
-SUSPECT = r"[^\x00-\x7f]{2}|[�αΓπΣσµτΦΘδ∞φε∩≡≥≤⌠⌡≈∙√ⁿ■░▒▓│┤╡╢╖╕╣║╗╝╜╛┐└┴┬├─┼╞╟╚╔╩╦╠═╬╧╨╤╥╙╘╒╓╫╪┘┌█▄▌▐▀³¹¶¼ŒœÆæò·÷]| [ûùÇ]( |$)|[a-z][±¿£Æ·÷°][a-z]|¿[a-z]|ô\w+"
-_SUSPECT = re.compile(SUSPECT)
+#: Single-byte sets that were confused: (read as, written as), tried in this order.
+CONFUSED = (
+    ("cp1252", "cp1250"), ("cp1252", "iso8859-2"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp1257", "cp1252"), ("cp1251", "cp1252"),
+    ("cp866", "cp1252"), ("cp1252", "cp1257"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1250", "cp1252"),
+)
+# The letters beyond a to z of languages in Latin script, by the part of Europe whose set has them.
+WEST = ("äöüß", "àâæçéèêëîïôœùûüÿ", "áéíñóúü", "àáâãçéêíóôõú", "àèéìòùî", "éëïóöü", "åäöé", "æøåé")
+MIDDLE = ("ąćęłńóśźż", "áčďéěíňóřšťúůýž", "áäčďéíĺľňóôŕšťúýž", "áéíóöőúüű", "ăâîșțşţ")
+BALTIC = ("ąčęėįšųūž", "āčēģīķļņšūž", "äõöüšž")
+_FITS = {name: [frozenset(x) for x in MIDDLE if name in ("cp1250", "iso8859-2")] + [frozenset(x) for x in BALTIC if name == "cp1257"] or [frozenset(x) for x in WEST] for name in {w for _, w in CONFUSED}}
+#: Signs that people write inside words.
+_INSIDE = frozenset("’‘ʼ´`‐‑–—·•…\xad\u200b\u200c\u200d\u2060\ufeff")
+ODD_WORD = re.compile(r"[^\s\x21-\x40\x5b-\x60\x7b-\x7e]*[^\x00-\x7f][^\s\x21-\x40\x5b-\x60\x7b-\x7e]*")
+
+
+def _impossible(word: str) -> bool:
+    """Whether a word has a sign or a capital inside, or letters of two scripts, where none is written."""
+    if not any(c.isalpha() and c.isascii() for c in word):
+        return False
+    if any(c > "ʯ" and c.isalpha() and CYRILLIC.match(c) for c in word):
+        return True
+    letters = [k for k, c in enumerate(word) if c.isalpha()]
+    for k in range(letters[0] + 1, letters[-1] + 1):
+        c = word[k]
+        if not c.isascii() and c not in _INSIDE and (not (c.isalpha() or c.isdecimal()) or c < "ɐ" and c.isupper() and word[k - 1].islower()):
+            return True
+    return False
+
+
+def _written(line: str) -> tuple[str, str]:
+    """(``line`` as one other set has it, the pair of sets) if that turns impossible words into words of one language, else the line and ``""``."""
+    odd = ODD_WORD.findall(line)
+    if not any(map(_impossible, odd)):
+        return line, ""
+    best, least = (line, ""), 1 << 30
+    for read_as, written_as in CONFUSED:
+        table = _single_table(read_as, written_as)
+        out = line.translate(table)
+        if out == line or not all(ord(c) in table for w in odd for c in w if not c.isascii() and c.isalpha()):
+            continue
+        words = ODD_WORD.findall(out)
+        if any(map(_impossible, words)):
+            continue
+        # within words nothing but letters of one language may be left, and the fewer the better
+        letters = [c for w in words if any(x.isascii() and x.isalpha() for x in w) for c in w.lower() if not c.isascii() and c not in _INSIDE]
+        if not letters and any(c not in "’‘" and not c.isascii() for w in words if any(x.isascii() and x.isalpha() for x in w) for c in w.strip("’‘“”–—…")):
+            continue
+        if len(letters) < least and any(fit.issuperset(letters) for fit in _FITS[written_as]):
+            best, least = (out, f"{written_as} as {read_as}"), len(letters)
+    return best
 
 
 def restore(text: str | None) -> tuple[str | None, bool]:
     """(the text as it was written as far as that can be had, whether something was wrong)."""
-    if not text or not _SUSPECT.search(text):
+    if not text or text.isascii():
         return text, False
     lines, wrong = text.split("\n"), False
     for k, line in enumerate(lines):
-        if not _SUSPECT.search(line):
+        if line.isascii():
             continue
-        wrong |= "�" in line
-        for _ in range(3):
+        wrong |= "\ufffd" in line
+        for _ in range(3 if _anything().search(line) else 0):
             options = [decode_spans(line, name) for name in SETS]
             best, most = max(options, key=lambda x: x[1])
             if not most:
@@ -187,7 +244,7 @@ def restore(text: str | None) -> tuple[str | None, bool]:
 def wrong_fields(emails: DataFrame, fields: tuple[str, ...] = ("subject", "body"), key: str = "idx") -> DataFrame:
     """``idx, field, restored`` of each field that holds wrongly decoded text; no shuffle."""
     rows = emails.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("f"))
-    rows = rows.select(key, "f.field", "f.text").where(F.col("text").rlike(SUSPECT))
+    rows = rows.select(key, "f.field", "f.text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

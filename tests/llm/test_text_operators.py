@@ -5,7 +5,7 @@ import re
 from gistmill.llm.conversations import conversations, roots
 from gistmill.llm.name_variants import same_entity_pairs
 from gistmill.llm.near_duplicates import near_duplicate_pairs, similar_sets
-from gistmill.llm.own_words import own_lines, read_body
+from gistmill.llm.own_words import lines_taken_off, own_lines, read_body
 from gistmill.llm.wrong_charset import restore, wrong_fields
 
 TEXTS = ["Größere Mängel – prüfen", "l’été à Noël : 5 €", "Proszę sprawdzić łączniki i śruby", "Запрос на пролёт", "Façade “type C” 25°C"]
@@ -24,8 +24,21 @@ def test_texts_come_back_from_the_wrong_set():
     assert restore("Вопрос по чертежу".encode("koi8-r").decode("cp1251"))[0] == "Вопрос по чертежу"
 
 
+def test_single_byte_sets_that_were_confused():
+    for text, written, read in [
+        ("Le résumé est prêt", "cp1252", ("cp850", "mac_roman")), ("São João não", "cp1252", ("cp850",)), ("naïve café", "cp1252", ("cp850",)),
+        ("Die Prüfung beträgt", "cp1252", ("cp850", "mac_roman", "cp1251", "cp866", "cp437")), ("Größere Mängel", "cp1252", ("cp850", "mac_roman", "cp437")),
+        ("El niño comió", "cp1252", ("cp850", "cp437")), ("Proszę sprawdzić łączniki", "cp1250", ("cp1252",)), ("It’s likely", "cp1252", ("cp437",)),
+    ]:
+        for name in read:
+            wrong = text.encode(written).decode(name)
+            assert restore(wrong) == (text, True), (name, wrong, restore(wrong))
+    for text in ["Запрос на пролёт", "Größere Mängel – prüfen"]:
+        assert restore(text.encode().decode("cp866")) == (text, True)
+
+
 def test_unusual_text_that_is_meant_so_is_left():
-    for text in [*TEXTS, "", None, "√ checked   √ signed", "├── 01_models", "SÃO JOÃO – LOTE Â", "¿Ñ o N? – ver plano", "ATENÇÃO: NÃO AVANÇAR", "Ω 4.7", "25°C ±5 mm 3 m²", "plain"]:
+    for text in [*TEXTS, "", None, "√ checked   √ signed", "├── 01_models", "SÃO JOÃO – LOTE Â", "¿Ñ o N? – ver plano", "ATENÇÃO: NÃO AVANÇAR", "Ω 4.7", "25°C ±5 mm 3 m²", "plain", "can´t l´été", "McÉwan", "µm kΩ m³/h", "Acme®", "Вопрос RFI-12 по чертежу", "l’œuvre d’été", "Øystein’s ½ pipe"]:
         assert restore(text) == (text, False), text
     assert restore("lost � here")[1]
 
@@ -113,7 +126,7 @@ def test_passages_of_earlier_messages_are_not_new(spark):
     assert own_lines(emails.where("false"), boxes).count() == 0
 
 
-def test_a_passage_of_two_messages_in_different_parts_is_not_new(spark, monkeypatch):
+def test_a_passage_of_two_messages_in_different_parts_is_not_new(spark):
     """With automata of one message each, the two sentences of the last message are found by different ones."""
     one, two = "The retaining wall at gate forty was measured again today.", "Nobody has signed the record for the pump skid yet."
     rows = [
@@ -124,8 +137,27 @@ def test_a_passage_of_two_messages_in_different_parts_is_not_new(spark, monkeypa
     boxes = spark.createDataFrame([("m", "UTC", "en-GB")], "mailbox string, tz_name string, locale string")
     whole = sorted(map(tuple, own_lines(emails, boxes).collect()))
     assert whole == [(k, 1) for k in range(1, 12)]
-    monkeypatch.setattr("gistmill.llm.own_words.PART", 1)
-    assert sorted(map(tuple, own_lines(emails, boxes).collect())) == whole
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert sorted(map(tuple, own_lines(emails, boxes).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_history_is_found_in_quotes_and_forms_are_left(spark):
+    first = "The wall was measured again today. Nobody has signed yet."
+    form = "Please see below. Thanks for your help."
+    rows = [
+        (1, "m", "2024-01-01T10:00:00Z", "A", "a@x", "Wall", "Wall", f"{first}\n{form}"),
+        (2, "m", "2024-01-02T10:00:00Z", "B", "b@x", "RE: Wall", "Wall", "Noted.\n\n> The wall was measured again\n> today. Nobody has signed yet.\n> Something that nobody filed."),
+        (3, "m", "2024-01-03T10:00:00Z", "C", "c@x", "RE: Wall", "Wall", form),  # other threads have it too
+        (4, "m", "2024-01-03T10:00:00Z", "D", "d@x", "Gate", "Gate", form),
+        (5, "m", "2024-03-01T10:00:00Z", "E", "e@x", "RE: Wall", "Wall", first),  # a new thread: silence of more than 21 days
+        (6, "m", "2024-01-04T10:00:00Z", "A", "a@x", "RE: Wall", "Wall", first),  # the same sender, sent again
+    ]
+    emails, boxes = spark.createDataFrame(rows, MAIL), spark.createDataFrame([("m", "UTC", "en-GB")], "mailbox string, tz_name string, locale string")
+    assert sorted(map(tuple, own_lines(emails, boxes).collect())) == [(1, 1), (1, 2), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1)]
+    assert {r.taken_by: r.lines for r in lines_taken_off(emails, boxes).collect()} == {"mark alone": 1, "mark and earlier message": 2}
 
 
 def test_near_duplicates_against_all_pairs(spark):
