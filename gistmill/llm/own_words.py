@@ -363,11 +363,10 @@ def shared(read: DataFrame) -> DataFrame:
     dated = read.where("topic != 0 and utc_s is not null").withColumn("day", F.floor(F.col("utc_s") / DAY))
     # threads from the days on which a topic has messages: a topic has few of them, however many messages
     order = Window.partitionBy("topic").orderBy("day")
-    days = dated.groupBy("topic", "day").agg(F.count(F.lit(1)).alias("n"))
+    days = dated.select("topic", "day").distinct()
     days = days.withColumn("opens", F.coalesce(F.col("day") - F.lag("day").over(order) > DAYS, F.lit(True)))
-    days = days.select("topic", "day", F.last(F.when(F.col("opens"), F.xxhash64("topic", "day")), True).over(order).alias("thread"), F.sum("n").over(order).alias("so_far"))
-    days = days.withColumn("messages", F.max("so_far").over(Window.partitionBy("topic")))
-    rows = dated.join(days.where("messages > 1").select("topic", "day", "thread"), ["topic", "day"])
+    days = days.select("topic", "day", F.last(F.when(F.col("opens"), F.xxhash64("topic", "day")), True).over(order).alias("thread"))
+    rows = dated.join(days, ["topic", "day"])
     rows = staged(rows.select("idx", "thread", "sender", F.struct("utc_s", "idx").alias("at"), "wrote", "shows", "closes", "ends"), "own-words-threads")
     # of each sentence the first messages of two senders: one of them is not the reader's own
     first = rows.select("thread", "sender", "at", F.explode("wrote").alias("h")).groupBy("thread", "h", "sender").agg(F.min("at").alias("at"))
