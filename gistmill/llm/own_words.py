@@ -24,7 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import takewhile
+from itertools import accumulate, takewhile
 
 import pyarrow as pa
 import xxhash
@@ -40,9 +40,7 @@ from gistmill.sources.tables import staged
 DAYS = 21
 DAY = 86_400
 
-LINES = pa.list_(pa.struct([("line_no", pa.int32()), ("text", pa.string())]))
 LONGS = pa.list_(pa.int64())
-LINES_SQL = "array<struct<line_no:int,text:string>>"
 
 MARK = re.compile(r"^\s*((?:[>|]\s?)+)")
 CLOCK = r"\d{1,2}[:.h]\d{2}"
@@ -322,8 +320,8 @@ def _hash(text: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(text), "little", signed=True)
 
 
-def _sentences(lines: list[dict]) -> list[str]:
-    return SENTENCE.split(" ".join(x["text"] for x in lines)) if lines else []
+def _sentences(lines: list[str]) -> list[str]:
+    return SENTENCE.split(" ".join(lines)) if lines else []
 
 
 def _line_hash(text: str, sender: int) -> int:
@@ -332,30 +330,27 @@ def _line_hash(text: str, sender: int) -> int:
 
 
 def read_bodies(emails: DataFrame) -> DataFrame:
-    """``idx, key columns..., own, quoted`` (lines), and hashes: ``wrote`` and ``shows`` of sentences, ``closes`` and ``ends`` of lines."""
+    """``idx, key columns...``, lines as ``own_no, own`` and ``quoted_no, quoted``, and hashes: ``wrote`` and ``shows`` of sentences, ``closes`` and ``ends`` of lines."""
     keep = [c for c in emails.columns if c not in ("body", "sender_name", "sender_email")]
+    kinds = {"own_no": "array<int>", "own": "array<string>", "quoted_no": "array<int>", "quoted": "array<string>"} | dict.fromkeys(("wrote", "shows", "closes", "ends"), "array<long>")
+    types = [pa.list_(pa.int32()), pa.list_(pa.string())] * 2 + [LONGS] * 4
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, quoted, wrote, shows, closes, ends = [], [], [], [], [], []
+            made: list[list] = [[] for _ in types]
             for body, name, email, sender in zip(*[batch.column(c).to_pylist() for c in ("body", "sender_name", "sender_email", "sender")]):
                 body = restore(body)[0]  # rules and automata need the text as it was written
                 new, closing, old = _read_restored(body, name, email)
                 raw = body.split("\n")
-                mine = [{"line_no": k, "text": " ".join(raw[k - 1].split())} for k in new]
-                theirs = [{"line_no": k, "text": " ".join(MARK.sub("", raw[k - 1]).split())} for k in old]
-                said = [_hash(x) for x in _sentences(mine)]
-                own.append(mine)
-                quoted.append(theirs)
-                wrote.append(said)
-                shows.append([_hash(x) for x in _sentences(theirs)])
-                closes.append([_line_hash(" ".join(raw[k - 1].split()), sender) for k in closing])
-                ends.append([_line_hash(x["text"], sender) for x in mine])
-            made = [pa.array(own, LINES), pa.array(quoted, LINES), *[pa.array(x, LONGS) for x in (wrote, shows, closes, ends)]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], [*keep, "own", "quoted", "wrote", "shows", "closes", "ends"])
-
-    schema = ", ".join(f"{c} {emails.schema[c].dataType.simpleString()}" for c in keep)
-    return emails.where(F.col("body").isNotNull()).mapInArrow(read, f"{schema}, own {LINES_SQL}, quoted {LINES_SQL}, wrote array<long>, shows array<long>, closes array<long>, ends array<long>")
+                mine = [" ".join(raw[k - 1].split()) for k in new]
+                theirs = [" ".join(MARK.sub("", raw[k - 1]).split()) for k in old]
+                hashes = [[_hash(x) for x in _sentences(mine)], [_hash(x) for x in _sentences(theirs)], [_line_hash(" ".join(raw[k - 1].split()), sender) for k in closing], [_line_hash(x, sender) for x in mine]]
+                for column, value in zip(made, (new, mine, old, theirs, *hashes)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *map(pa.array, made, types)], [*keep, *kinds])
+
+    schema = ", ".join([*[f"{c} {emails.schema[c].dataType.simpleString()}" for c in keep], *[f"{c} {t}" for c, t in kinds.items()]])
+    return emails.where(F.col("body").isNotNull()).mapInArrow(read, schema)
 
 
 def shared(read: DataFrame) -> DataFrame:
@@ -383,18 +378,9 @@ def shared(read: DataFrame) -> DataFrame:
     return every.groupBy("idx", "thread").agg(*[F.collect_set(F.when(F.col("kind") == kind, F.col("h"))).alias(kind) for kind in kinds])
 
 
-def _joined(lines: list[dict]) -> tuple[str, list[int]]:
-    """The lines as one text, and where each starts."""
-    text, starts = "", []
-    for line in lines:
-        starts.append(len(text))
-        text += line["text"] + " "
-    return text, starts
-
-
-def _covered(automaton, lines: list[dict], known: set[int], marked: bool) -> list[int]:
+def _covered(automaton, numbers: list[int], lines: list[str], known: set[int], marked: bool) -> list[int]:
     """Numbers of the lines that merged intervals cover; ``marked``: of quoted lines, where one sentence is enough."""
-    text, starts = _joined(lines)
+    text = " ".join(lines)
     spans = [(end - length + 1, end + 1) for end, (length, h) in automaton.iter(text) if h in known]
     merged: list[list[int]] = []
     for s, e in sorted(spans):
@@ -403,41 +389,40 @@ def _covered(automaton, lines: list[dict], known: set[int], marked: bool) -> lis
             merged[-1][1] = max(merged[-1][1], e)
         else:
             merged.append([s, e, marked])
+    starts = accumulate(lines, lambda at, line: at + len(line) + 1, initial=0)
     # a line of quoted text may be cut off within a sentence: any part of it tells
-    if marked:
-        return [line["line_no"] for line, a in zip(lines, starts) if any(s < a + len(line["text"]) and a < e for s, e, _ in merged)]
-    return [line["line_no"] for line, a in zip(lines, starts) if any(several and s <= a and a + len(line["text"]) <= e for s, e, several in merged)]
+    fits = (lambda a, z, s, e: s < z and a < e) if marked else (lambda a, z, s, e: s <= a and z <= e)
+    return [k for k, line, a in zip(numbers, lines, starts) if any(several and fits(a, a + len(line), s, e) for s, e, several in merged)]
 
 
 def history(read: DataFrame) -> DataFrame:
     """``idx, line_no, marked`` of the lines that earlier messages of the thread hold, or the sender's closing blocks; ``marked``: quoted lines."""
     known = shared(read)
-    work = read.select("idx", "sender", "own", "quoted").join(known, "idx")
+    work = read.select("idx", "sender", "own_no", "own", "quoted_no", "quoted").join(known, "idx")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         for batch in batches:
-            threads: dict[int, list[dict]] = {}
-            for row in batch.to_pylist():
-                row["closing"] = set(row["closing"])
-                row["known"] = {False: set(row["said"]), True: set(row["shown"])}
-                threads.setdefault(row["thread"], []).append(row)
+            threads: dict[int, list[tuple]] = {}
+            columns = ("thread", "idx", "sender", "closing", "own_no", "own", "said", "quoted_no", "quoted", "shown")
+            for thread, idx, sender, closing, own_no, own, said, quoted_no, quoted, shown in zip(*[batch.column(c).to_pylist() for c in columns]):
+                threads.setdefault(thread, []).append((idx, sender, set(closing), [(False, own_no, own, set(said)), (True, quoted_no, quoted, set(shown))]))
             out_idx, out_line, out_marked = [], [], []
             for rows in threads.values():
                 automaton = ahocorasick.Automaton()
-                for row in rows:
-                    for lines, marked in ((row["own"], False), (row["quoted"], True)):
-                        for sentence in _sentences(lines) if row["known"][marked] else ():
-                            if sentence and (h := _hash(sentence)) in row["known"][marked]:
+                for *_, parts in rows:
+                    for _, _, lines, hashes in parts:
+                        for sentence in _sentences(lines) if hashes else ():
+                            if sentence and (h := _hash(sentence)) in hashes:
                                 automaton.add_word(sentence, (len(sentence), h))
                 automaton.make_automaton()
-                for row in rows:
-                    for lines, marked in ((row["own"], False), (row["quoted"], True)):
-                        hits = set(_covered(automaton, lines, row["known"][marked], marked)) if row["known"][marked] else set()
-                        if not marked and row["closing"]:
-                            hits |= {x["line_no"] for x in takewhile(lambda x: _line_hash(x["text"], row["sender"]) in row["closing"], reversed(lines))}
-                        out_idx += [row["idx"]] * len(hits)
+                for idx, sender, closing, parts in rows:
+                    for marked, numbers, lines, hashes in parts:
+                        hits = set(_covered(automaton, numbers, lines, hashes, marked)) if hashes else set()
+                        if not marked and closing:
+                            hits |= {k for k, _ in takewhile(lambda x: _line_hash(x[1], sender) in closing, zip(reversed(numbers), reversed(lines)))}
+                        out_idx += [idx] * len(hits)
                         out_line += sorted(hits)
                         out_marked += [marked] * len(hits)
             yield pa.RecordBatch.from_arrays([pa.array(out_idx, pa.int64()), pa.array(out_line, pa.int32()), pa.array(out_marked, pa.bool_())], ["idx", "line_no", "marked"])
@@ -456,7 +441,7 @@ def read_emails(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
 def own_lines(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
     """``idx, line_no`` of each line that the sender of a row wrote."""
     read = read_emails(emails, mailboxes)
-    found = read.select("idx", F.explode("own.line_no").alias("line_no"))
+    found = read.select("idx", F.explode("own_no").alias("line_no"))
     old = history(read).where("not marked").select("idx", "line_no").distinct()
     return found.join(old, ["idx", "line_no"], "left_anti").select("idx", "line_no")
 

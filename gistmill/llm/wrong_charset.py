@@ -220,13 +220,21 @@ def _written(line: str) -> tuple[str, str]:
     return best
 
 
+#: Where any of the rules above can begin: neighbours beyond ASCII, a sign or capital behind a letter, two scripts in a word, or a
+#: character that the rules for single signs name. One fast scan; what it passes over no rule would change.
+_START = re.compile(
+    r"[^\x00-\x7f](?:[^\x00-\x7f]|(?<=[\x80-\x9f\ufffdαΓπΣσµτΦΘδ∞φε∩≡≥≤⌠⌡≈∙√ⁿ■▀-▟─-╿³¹¶¼ŒœÆæòùûÇ·÷°±¿£ô])|(?<=[a-zß-ÿ][À-ÖØ-ÞĀ-ɏ])"
+    r"|(?<=[^\W\d_][^\x00-\x7f\w’‘ʼ–—‐‑•…])|(?<=[A-Za-z][Ѐ-ӿ])|(?<=[Ѐ-ӿ])[A-Za-z])"
+)
+
+
 def restore(text: str | None) -> tuple[str | None, bool]:
     """(the text as it was written as far as that can be had, whether something was wrong)."""
-    if not text or text.isascii():
+    if not text or not _START.search(text):
         return text, False
     lines, wrong = text.split("\n"), False
     for k, line in enumerate(lines):
-        if line.isascii():
+        if not _START.search(line):
             continue
         wrong |= "\ufffd" in line
         for _ in range(3 if _anything().search(line) else 0):
