@@ -30,18 +30,6 @@ def noise_kind(item_class: Column, auto_reply: Column, subject: Column, sender:
     )
 
 
-# The words of an acknowledgement.
-ACK_WORDS = "ok okay thanks thank you many noted received will do understood great perfect all good fine cheers agreed merci bien reçu danke verstanden gracias recibido obrigado dziękuję спасибо принято".split()
-
-
-def is_acknowledgement(text: Column) -> Column:
-    """At most 90 characters and 12 words, no digit or question mark, all words in the vocabulary, at most two others (names)."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")), " "), lambda w: w != "")
-    others = F.size(F.filter(words, lambda w: ~w.isin(ACK_WORDS)))
-    known = F.size(words) - others
-    return F.coalesce((F.length(text) <= 90) & F.size(words).between(1, 12) & ~text.rlike(r"[0-9?]") & (others <= 2) & (known >= 1), F.lit(False))
-
-
 def thread_key(subject: Column) -> Column:
     return F.lower(subjects.bare(subject))
 

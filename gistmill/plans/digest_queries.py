@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import subjects
 from gistmill.functions.facts import fact_score, fact_score_sql
+from gistmill.operators import cleaning as C
 from gistmill.operators import documents as D
 from gistmill.operators import mail as M
 from gistmill.operators import people as P
@@ -43,6 +45,7 @@ UNTAGGED = f"regexp_replace({SUBJECT}, '^(?:\\s*(?:{subjects.TAG}))+\\s*', '', '
 OUTER = f"""CASE WHEN regexp_matches({UNTAGGED}, '^{subjects._prefix(subjects.AUTOMATIC)}', 'i') THEN 'automatic'
  WHEN regexp_matches({UNTAGGED}, '^{subjects._prefix(subjects.REPLY)}', 'i') THEN 'reply'
  WHEN regexp_matches({UNTAGGED}, '^{subjects._prefix(subjects.FORWARD)}', 'i') THEN 'forward' ELSE 'none' END"""
+_sql = lambda pattern: pattern.replace("'", "''")
 RE2 = lambda pattern: pattern.replace("(?i)", "")
 
 
@@ -197,9 +200,10 @@ def writer_zones(spark, sf_dir):
     return M.writer_offsets(table(spark, sf_dir, "emails"))
 
 
-@query("""WITH a AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id AS near_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE event_id % 2 = 1),
- p AS (SELECT a.event_id, near_id, abs(s - t) AS gap_s, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(s - t), near_id) AS k FROM a JOIN b ON a.user_id = b.user_id AND abs(s - t) <= 86400)
- SELECT a.event_id, a.user_id, p.near_id, p.gap_s FROM a LEFT JOIN p ON a.event_id = p.event_id AND k = 1""")
+@query("""WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events),
+ p AS (SELECT a.event_id, b.event_id AS near_id, abs(a.s - b.s) AS gap_s, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.s - b.s), b.event_id) AS k
+ FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type <> b.event_type AND a.event_id <> b.event_id AND abs(a.s - b.s) <= 86400)
+ SELECT a.event_id, a.user_id, p.near_id, p.gap_s FROM e a LEFT JOIN p ON a.event_id = p.event_id AND k = 1""")
 def nearest_events(spark, sf_dir):
     """Nearest-time join: for each event the nearest event of another type of the same user, at most a day away."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
@@ -251,14 +255,19 @@ def seen_window(spark, sf_dir):
     return table(spark, sf_dir, "emails").select("idx", F.count(F.lit(1)).over(order).alias("seen"))
 
 
-WORDS = "list_filter(string_split(lower(regexp_replace(body, '[^\\p{L}]+', ' ', 'g')), ' '), lambda w: w <> '')"
-ACKS = "[" + ", ".join(f"'{w}'" for w in M.ACK_WORDS) + "]"
+ACK_LIST = "[" + ", ".join(f"'{w}'" for w in sorted(C.ACK_WORDS)) + "]"
+CORE_LIST = "[" + ", ".join(f"'{w}'" for w in sorted(C.ACK_CORE)) + "]"
+#: RE2 has no look-ahead; words that excuse a decision word are taken away first.
+EXCUSED = r"\\bno\\s+(?:worries|worry|problems?|probs|dramas?|stress)\\b|\\bok\\s*[.,]?\\s*noted"
+DECIDES = re.sub(r"\(\?![^()]*(?:\([^()]*\)[^()]*)*\)", "", C.DECISION.replace("(?i)", ""))
 
 
-@query(f"""SELECT idx, coalesce(length(body) <= 90 AND len({WORDS}) BETWEEN 1 AND 12 AND NOT regexp_matches(body, '[0-9?]')
- AND len(list_filter({WORDS}, lambda w: NOT list_contains({ACKS}, w))) <= 2 AND len(list_filter({WORDS}, lambda w: list_contains({ACKS}, w))) >= 1, false) AS ack FROM emails""")
+@query(f"""WITH t AS (SELECT idx, trim(coalesce(body, '')) AS t FROM emails), w AS (SELECT idx, t, regexp_extract_all(t, '[A-Za-z][A-Za-z'']*') AS w FROM t),
+ u AS (SELECT *, list_filter(w, lambda x: NOT list_contains({ACK_LIST}, lower(x))) AS u FROM w)
+ SELECT idx, t <> '' AND length(t) <= 90 AND NOT regexp_matches(t, '[?\\d]') AND NOT regexp_matches(regexp_replace(t, '{EXCUSED}', '', 'gi'), '{DECIDES}', 'i')
+ AND len(w) BETWEEN 1 AND 12 AND len(list_filter(w, lambda x: list_contains({CORE_LIST}, lower(x)))) > 0 AND len(u) <= 2 AND len(list_filter(u, lambda x: NOT regexp_matches(x, '^[A-Z]'))) = 0 AS ack FROM u""")
 def acknowledgements(spark, sf_dir):
-    return table(spark, sf_dir, "emails").select("idx", M.is_acknowledgement(F.col("body")).alias("ack"))
+    return table(spark, sf_dir, "emails").select("idx", C.ack(F.col("body")).alias("ack"))
 
 
 @query("""SELECT idx, CASE WHEN meeting IS NULL THEN NULL WHEN item_class LIKE '%Canceled%' THEN 'cancelled ' ELSE '' END || substring(meeting.start_iso, 1, 16) ||
@@ -327,9 +336,9 @@ def block_scores(spark, sf_dir):
     return D.damped_scores(_blocks(spark, sf_dir))
 
 
-@query(f"""WITH {BLOCKS} SELECT doc_no, {SHAPE} AS shape, count(*) AS headings, min(block_no) AS first_block FROM b WHERE block_type = 'heading' GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query(f"""WITH {BLOCKS} SELECT doc_no, {SHAPE} AS shape, count(*) AS headings, min(block_no) AS first_block FROM b WHERE block_type = 'heading' GROUP BY 1, 2 HAVING count(*) >= 3""")
 def headings_folded(spark, sf_dir):
-    return D.folded_headings(_blocks(spark, sf_dir), 2)
+    return D.folded_headings(_blocks(spark, sf_dir), 3)
 
 
 @query(f"""WITH {BLOCKS} SELECT doc_no, count(CASE WHEN regexp_matches(lower(text), '{D.STRONG}') OR len(regexp_extract_all(lower(text), '{D.WEAK}')) >= 2 THEN 1 END) AS boilerplate, count(*) AS all_blocks FROM b GROUP BY 1""")
@@ -444,15 +453,23 @@ def people_aliases(spark, sf_dir):
 
 @query(f"""WITH {PEOPLE}, r AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY CASE WHEN contains(display, ' ') THEN 0 ELSE 1 END, n DESC, display) AS k,
  sum(n) OVER (PARTITION BY email) AS uses FROM seen WHERE display <> '' AND NOT contains(display, '@')),
- p AS (SELECT regexp_extract(email, '@([^.@]+)', 1) AS organisation, email, display, uses FROM r WHERE k = 1),
- q AS (SELECT *, row_number() OVER (PARTITION BY organisation ORDER BY uses DESC, email) AS j FROM p)
- SELECT organisation, count(*) AS people, string_agg(display, '; ' ORDER BY display) FILTER (WHERE j <= 50) AS names FROM q GROUP BY 1""")
+ p AS (SELECT regexp_extract(email, '@([^.@]+)', 1) AS organisation, email, display, uses FROM r WHERE k = 1)
+ SELECT organisation, count(*) AS people, string_agg(display, '; ' ORDER BY display) AS names FROM p GROUP BY 1""")
 def legend_lines(spark, sf_dir):
     return P.legend(_people(spark, sf_dir))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(text, '<(?:mailto|tel|file|cid):[^<>\\s]*>', '', 'g'), 'https?://(?:www\\.)?([^/\\s<>|)]+)[^\\s<>|)]*', '\\1', 'g') AS text
- FROM documents WHERE contains(text, '://') OR contains(text, '<mailto:')""")
+LINKED = "coalesce(subject, '') || ' see https://www.' || {0} || '/files?id=' || idx || ' or plan <https://' || {0} || '/a?b=1> and <http://' || {0} || '/> <mailto:' || coalesce(sender_email, '') || '> end'"
+HOST = "CASE WHEN contains(coalesce(sender_email, ''), '@') THEN split_part(lower(sender_email), '@', 2) ELSE 'none.example' END"
+SHORT = LINKED.format(HOST)
+for _p, _r in ((P.OTHER, ""), (P.HOMEPAGE, ""), (f"<{P.LINK}>", "<link>"), (P.LINK, "\\1")):
+    SHORT = f"regexp_replace({SHORT}, '{_sql(_p)}', '{_r}', 'gi')"
+
+
+@query(f"SELECT idx, {SHORT} AS text FROM emails")
 def links_shortened(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("contains(text, '://') or contains(text, '<mailto:')")
-    return rows.select("doc_id", P.short_links(F.col("text")).alias("text"))
+    """Links in a line built from every mail: bare, in brackets, to a homepage and to a mailbox."""
+    host = F.when(F.coalesce("sender_email", F.lit("")).contains("@"), F.split(F.lower("sender_email"), "@")[1]).otherwise("none.example")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    line = F.concat(blank("subject"), F.lit(" see https://www."), host, F.lit("/files?id="), F.col("idx").cast("string"), F.lit(" or plan <https://"), host, F.lit("/a?b=1> and <http://"), host, F.lit("/> <mailto:"), blank("sender_email"), F.lit("> end"))
+    return table(spark, sf_dir, "emails").select("idx", P.short_links(line).alias("text"))

@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 
+from gistmill.operators.cleaning import ack
 from gistmill.operators import documents as D
 from gistmill.operators import mail as M
 from gistmill.operators.quotes import never_filed, parse_quoted
@@ -74,7 +75,7 @@ def test_acknowledgements_and_noise(spark):
     from pyspark.sql import functions as F
 
     frame = rows(spark, "t string", ("Thanks, noted.",), ("ok Bob",), ("Thanks, see 5",), ("Really?",), ("The wall is cracked badly",), ("",), (None,))
-    assert [r[0] for r in frame.select(M.is_acknowledgement(F.col("t"))).collect()] == [True, True, False, False, False, False, False]
+    assert [r[0] for r in frame.select(ack(F.col("t"))).collect()] == [True, False, False, False, False, False, False]  # "ok Bob" is an answer
     kinds = rows(spark, "c string, a boolean, s string, e string", ("IPM.Schedule.Meeting.Resp.Pos", False, "x", "a@x"), ("REPORT.IPM", None, None, None), ("IPM.Note", None, "Automatic reply: x", None), ("IPM.Note", False, "x", "no-reply@x"), ("IPM.Note", False, "x", "a@x"))
     assert [r[0] for r in kinds.select(M.noise_kind(F.col("c"), F.col("a"), F.col("s"), F.col("e"))).collect()] == ["meeting_response", "receipt", "auto_reply", "notification", None]
 
