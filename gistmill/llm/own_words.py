@@ -57,6 +57,7 @@ FIELDS = {
 }
 FIELD = {k: re.compile(rf"^[\s*_]*(?:{v})\s*[*_]*\s?[:：][*_]*(?:\s|$)", re.I) for k, v in FIELDS.items()}
 SEPARATOR = re.compile(r"^[\s]*(?:-{2,}|\*{2,}|_{2,}|={2,}|—+)\s*(?=[^\W\d_])[^-*_=—]*(?:message|nachricht|forwarded by|weitergeleitet von|transféré par|reenviado por|mensaje|mensagem|wiadomość|сообщение|mail|transféré|messaggio)[^-*_=—]*\s*(?:-{2,}|\*{2,}|_{2,}|={2,}|—+)?\s*$|^\s*(?:begin forwarded message|anfang der weitergeleiteten|début du message|inicio del mensaje|início da mensagem|początek przekazanej|начало пересылаемого)[^:]*:\s*$", re.I)
+SEPARATOR_STARTS = tuple("-*_=—bBaAdDiIpPнН")
 RULE = re.compile(r"^\s*(?:_{2,}|-{2,}|\*{3,}|={3,}|—{2,})\s*$")
 CLOSING = re.compile(
     r"^\s*(?:(?:many |with |very )?(?:kind|best|warm|kindest|warmest) (?:regards|wishes)|regards|best|thanks(?: again| and regards| and kind regards| in advance)?|many thanks(?: and (?:kind |best )?regards)?|thank you|cheers|br|kr|rgds|brgds|yours (?:sincerely|faithfully|truly)|sincerely|all the best|"
@@ -91,6 +92,7 @@ def _plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if c.isalpha())
 
 
+@lru_cache(maxsize=65_536)
 def _names(name: str | None, email: str | None) -> set[str]:
     """How a sender may sign: letters only."""
     name = re.sub(r"\([^()]*\)|['\"]", " ", name or "")
@@ -228,6 +230,7 @@ def _read_restored(body: str, name: str | None, email: str | None) -> tuple[list
             elif re.search(WROTE, text, re.I) and re.search(CLOCK, text) and re.search(r"[:：]$", text):
                 kind[k] = "h"
     # header blocks without marks: from there on all is history
+    separators = {k for k in filled if lines[k].lstrip()[:1] in SEPARATOR_STARTS and SEPARATOR.match(lines[k])}
     cut = n
     for k in filled:
         if kind[k] == "q":
@@ -236,18 +239,17 @@ def _read_restored(body: str, name: str | None, email: str | None) -> tuple[list
         if end > k:
             cut = k
             b = after(k, -1)
-            while b is not None and (SEPARATOR.match(lines[b]) or RULE.match(lines[b])):
+            while b is not None and (b in separators or RULE.match(lines[b])):
                 cut = b
                 b = after(b, -1)
             break
-        if SEPARATOR.match(lines[k]) and not (after(k) is not None and marks[after(k)]):
+        if k in separators and not (after(k) is not None and marks[after(k)]):
             cut = k
             break
     for k in range(cut, n):
         kind[k] = "q"
-    for k in filled:
-        if not kind[k] and SEPARATOR.match(lines[k]):
-            kind[k] = "h"
+    for k in separators:
+        kind[k] = kind[k] or "h"
     # warnings, notices (to the end of their paragraph) and device footers
     blanks = sum(1 for k in range(n) if not lines[k].strip())
     spaced = blanks >= len(filled) - 1 and len(filled) > 3  # every line is followed by an empty one
@@ -308,7 +310,7 @@ def _read_restored(body: str, name: str | None, email: str | None) -> tuple[list
                 break
             kind[x] = "s"
     for k in filled:  # rules that separate what is not new
-        if not kind[k] and RULE.match(lines[k]):
+        if not kind[k] and not lines[k].lstrip()[:1].isalnum() and RULE.match(lines[k]):
             kind[k] = "f"
     return [k + 1 for k in filled if not kind[k]], [k + 1 for k in filled if kind[k] == "s"], [k + 1 for k in filled if kind[k] == "q"]
 
