@@ -19,13 +19,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gistmill.sources.msgfiles import msg_record
+from gistmill.sources.tables import ship
+
 PERSON = "struct<display:string,email:string>"
 INNER = "struct<sender_name:string,sender_email:string,date_iso:string,subject:string,body:string>"
 ATTACHMENT = f"struct<file_name:string,size:bigint,inline:boolean,link:boolean,sha1:string,doc_size:bigint,email:{INNER}>"
 SCHEMA = (
     "path string, date_iso string, sender_name string, sender_email string, "
     f"to_list array<{PERSON}>, cc_list array<{PERSON}>, subject string, body string, attachments array<{ATTACHMENT}>, "
-    "message_id string, in_reply_to string, conversation_topic string, item_class string, auto_reply boolean, reader string, read_error string"
+    "message_id string, in_reply_to string, conversation_topic string, item_class string, auto_reply boolean, reader string, meeting struct<start_iso:string,end_iso:string,place:string>, read_error string"
 )
 INNER_LIMIT = 30_000
 
@@ -117,10 +120,14 @@ def _people(message: EmailMessage, field: str) -> list[dict]:
 
 
 def _date(message: EmailMessage) -> str:
-    try:
-        return parsedate_to_datetime(_clean(message["Date"])).isoformat()
-    except Exception:
-        return ""
+    """The date of the message, else the one on which it was first received."""
+    received = [str(x).rpartition(";")[2] for x in reversed(message.get_all("Received", []))]
+    for text in [str(message["Date"] or ""), *received]:
+        try:
+            return parsedate_to_datetime(_clean(text)).isoformat()
+        except Exception:  # the next one may do
+            continue
+    return ""
 
 
 def _body(message: EmailMessage) -> str:
@@ -134,6 +141,22 @@ def _body(message: EmailMessage) -> str:
     return _clean(html_to_text(text) if part.get_content_subtype() == "html" else text)
 
 
+def _meeting(message: EmailMessage) -> dict | None:
+    """Start, end and place of the calendar part."""
+    part = next((p for p in message.walk() if p.get_content_type() == "text/calendar"), None)
+    text = re.sub(r"\r?\n[ \t]", "", (part.get_payload(decode=True) or b"").decode("utf-8", "replace")) if part else ""
+    event = text[text.find("BEGIN:VEVENT") :]
+
+    def value(name: str) -> str:
+        m = re.search(rf"(?m)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)", event)
+        return m[1].strip() if m else ""
+
+    def when(name: str) -> str:
+        return re.sub(r"^(\d{4})(\d\d)(\d\d)(?:T(\d\d)(\d\d)(\d\d))?(Z?)$", lambda m: f"{m[1]}-{m[2]}-{m[3]}" + (f"T{m[4]}:{m[5]}:{m[6]}{m[7]}" if m[4] else ""), value(name))
+
+    return {"start_iso": when("DTSTART"), "end_iso": when("DTEND"), "place": value("LOCATION").replace("\\,", ",")} if event else None
+
+
 def record(content: bytes) -> dict:
     """The record of one MIME message."""
     message = BytesParser(policy=policy.default).parsebytes(content)
@@ -144,7 +167,8 @@ def record(content: bytes) -> dict:
             method = str(part.get_param("method") or "").upper()
             item_class = {"REQUEST": "IPM.Schedule.Meeting.Request", "CANCEL": "IPM.Schedule.Meeting.Canceled", "REPLY": "IPM.Schedule.Meeting.Resp.Pos"}.get(method, item_class)
         if part.get_content_type() == "multipart/report":
-            item_class = "REPORT.IPM.Note.NDR"
+            kind = str(part.get_param("report-type") or "").lower()
+            item_class = "REPORT.IPM.Note.IPNRN" if kind == "disposition-notification" else "REPORT.IPM.Note.NDR"
     for part in message.iter_attachments():
         name = _clean(part.get_filename())
         if part.get_content_type() == "message/rfc822":
@@ -161,15 +185,16 @@ def record(content: bytes) -> dict:
     return {
         "date_iso": _date(message), "sender_name": sender["display"], "sender_email": sender["email"], "to_list": _people(message, "To"), "cc_list": _people(message, "Cc"),
         "subject": _clean(message["Subject"]), "body": _body(message), "attachments": attachments, "message_id": _clean(message["Message-ID"]), "in_reply_to": _clean(message["In-Reply-To"]),
-        "conversation_topic": _clean(message["Thread-Topic"]), "item_class": item_class, "auto_reply": auto, "reader": "eml", "read_error": "",
+        "conversation_topic": _clean(message["Thread-Topic"]), "item_class": item_class, "auto_reply": auto, "reader": "eml", "read_error": "", "meeting": _meeting(message) if item_class.startswith("IPM.Schedule.Meeting") else None,
     }
 
 
-EMPTY = {"date_iso": "", "sender_name": "", "sender_email": "", "to_list": [], "cc_list": [], "subject": "", "body": "", "attachments": [], "message_id": "", "in_reply_to": "", "conversation_topic": "", "item_class": "", "auto_reply": False, "reader": ""}
+EMPTY = {"date_iso": "", "sender_name": "", "sender_email": "", "to_list": [], "cc_list": [], "subject": "", "body": "", "attachments": [], "message_id": "", "in_reply_to": "", "conversation_topic": "", "item_class": "", "auto_reply": False, "reader": "", "meeting": None}
 
 
 def read_mail(files: DataFrame) -> DataFrame:
     """The records of mail files (``path, content``), one row a file."""
+    ship(files.sparkSession)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -177,8 +202,9 @@ def read_mail(files: DataFrame) -> DataFrame:
             for path, content in zip(frame.path, frame.content):
                 try:
                     if path.lower().endswith(".msg"):
-                        raise ValueError("no reader for this kind of file")
-                    row = record(bytes(content))
+                        row = msg_record(bytes(content), html_to_text, record)
+                    else:
+                        row = record(bytes(content))
                 except Exception as error:
                     row = EMPTY | {"read_error": str(error)[:200] or type(error).__name__}
                 rows.append({"path": path} | row)
