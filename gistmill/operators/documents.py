@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions.facts import MASKED, PATTERNS, fact_score
+from gistmill.sources.tables import ship
 
 
 def blocks(doctexts: DataFrame) -> DataFrame:
@@ -137,23 +137,11 @@ def units(texts: list[str]) -> list[str]:
     return [u for t in texts for u in re.split(r"(?<=[.!?])\s+", t) if u.strip()]
 
 
-def compare(old: list[str], new: list[str]) -> tuple[float, list[str]]:
-    """(similarity by characters, lines with ``-`` and ``+``) of two lists of units."""
-    total = sum(map(len, old)) + sum(map(len, new))
-    same, lines = 0, []
-    for what, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-        if what == "equal":
-            same += 2 * sum(map(len, old[a:b]))
-            continue
-        x, y = " ".join(old[a:b]).split(), " ".join(new[c:d]).split()
-        if x and y:
-            same += int(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() * (sum(map(len, old[a:b])) + sum(map(len, new[c:d]))))
-        lines += [f"- {u}" for u in old[a:b]] + [f"+ {u}" for u in new[c:d]]
-    return (same / total if total else 1.0), lines
-
-
 def version_changes(doctexts: DataFrame, least: float = 0.6) -> DataFrame:
     """``doc_no, previous, similarity, changes`` of each version that is similar enough to the one before it."""
+    from gistmill.operators.reports import change_lines
+
+    ship(doctexts.sparkSession)
     texts = blocks(doctexts).groupBy("doc_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "text"))).alias("b")).select("doc_no", F.col("b.text").alias("texts"))
     pairs = versions(doctexts).where("previous is not null").select("doc_no", "previous")
     pairs = pairs.join(texts, "doc_no").join(texts.select(F.col("doc_no").alias("previous"), F.col("texts").alias("old")), "previous")
@@ -162,7 +150,7 @@ def version_changes(doctexts: DataFrame, least: float = 0.6) -> DataFrame:
         for frame in frames:
             out = []
             for r in frame.itertuples():
-                similarity, lines = compare(units(list(r.old)), units(list(r.texts)))
+                similarity, lines = change_lines(units(list(r.old)), units(list(r.texts)))
                 if similarity >= least:
                     out.append((r.doc_no, r.previous, round(similarity, 4), lines))
             yield pd.DataFrame(out, columns=["doc_no", "previous", "similarity", "changes"])
@@ -191,40 +179,72 @@ def fact_weight(piece: str) -> int:
     return sum(counts) + 3 * (sum(counts[:5]) > 0)
 
 
-def cap_text(text: str, limit: int, opening: float = 0.4) -> str:
-    """The opening, then the sentences with most facts, in their order, within ``limit`` and two characters; gaps are marked."""
+# How a sentence begins whose subject stands in the one before it.
+REFERS_BACK = re.compile(r"(?:this|these|that|those|it|they|which|such|the (?:same|latter|former|above))\b", re.I)
+
+
+class _Choice:
+    """The pieces chosen so far, and how long they are with their gaps; a piece is added at the cost of its neighbours' joints."""
+
+    def __init__(self, pieces: list[str]):
+        self.pieces, self.taken, self.size = pieces, [False] * len(pieces), 0
+
+    def cost(self, k: int) -> int:
+        """What a piece adds: itself, and a blank or a gap mark for each side."""
+        left, right = k > 0 and self.taken[k - 1], k + 1 < len(self.pieces) and self.taken[k + 1]
+        return len(self.pieces[k]) + (3 if not left and not right else 1 if left != right else -1)
+
+    def take(self, k: int, limit: int) -> bool:
+        if self.taken[k]:
+            return True
+        cost = self.cost(k)
+        if self.size + cost > limit:
+            return False
+        self.taken[k], self.size = True, self.size + cost
+        return True
+
+    def text(self) -> str:
+        out, last = "", -1
+        for k, piece in enumerate(self.pieces):
+            if self.taken[k]:
+                out += ("" if not out else " " if last == k - 1 else " … ") + piece
+                last = k
+        return out + (" …" if last < len(self.pieces) - 1 else "")
+
+
+def cap_text(text: str, limit: int, opening: float = 0.4, seen: tuple[str, ...] = ()) -> str:
+    """The opening, then the sentences with most facts, in their order, within ``limit`` and two characters; gaps are marked.
+
+    A sentence that refers back brings the one before it; long ones that ``seen`` texts hold are left out. Linear but for sorting.
+    """
     if len(text) <= limit:
         return text
     pieces = [p for p in PIECE.split(text) if p]
     if len(pieces) < 2 or len(pieces[0]) > limit:
         return cut_at(text, max(limit - 2, 1))
-    kept, size = {0}, len(pieces[0])
+    choice = _Choice(pieces)
+    choice.take(0, limit)
     for k in range(1, len(pieces)):
-        if size + len(pieces[k]) + 1 > limit * opening:
+        if not choice.take(k, int(limit * opening)):
             break
-        kept.add(k)
-        size += len(pieces[k]) + 1
-
-    def shown(chosen: set[int]) -> str:
-        order, out = sorted(chosen), ""
-        for i, k in enumerate(order):
-            out += ("" if not i else " " if order[i - 1] == k - 1 else " … ") + pieces[k]
-        return out + (" …" if order[-1] < len(pieces) - 1 else "")
-
-    for k in sorted(range(1, len(pieces)), key=lambda k: (-fact_weight(pieces[k]), k)):
-        if k not in kept and fact_weight(pieces[k]) > 0 and len(shown(kept | {k})) <= limit + 2:
-            kept.add(k)
+    weights = [fact_weight(p) for p in pieces]
+    again = [len(p) >= 30 and any(p in s for s in seen) for p in pieces]
+    for k in sorted((k for k in range(1, len(pieces)) if weights[k] > 0 and not again[k]), key=lambda k: (-weights[k], k)):
+        back = REFERS_BACK.match(pieces[k]) and not choice.taken[k - 1]
+        if back and choice.size + len(pieces[k]) + len(pieces[k - 1]) + 4 > limit:
+            continue
+        if choice.take(k, limit) and back:
+            choice.take(k - 1, limit)
     for k in range(1, len(pieces)):
-        if k not in kept:
-            if len(shown(kept | {k})) > limit + 2:
-                break
-            kept.add(k)
-    out = shown(kept)
+        if not again[k] and not choice.take(k, limit):
+            break
+    out = choice.text()
     return out if len(out) <= limit + 2 else cut_at(text, max(limit - 2, 1))
 
 
 def capped(rows: DataFrame, key: str, text: str, limit: int) -> DataFrame:
     """``key, capped`` of each row; NULL stays NULL."""
+    ship(rows.sparkSession)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

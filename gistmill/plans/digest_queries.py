@@ -15,6 +15,7 @@ from gistmill.operators import documents as D
 from gistmill.operators import mail as M
 from gistmill.operators import people as P
 from gistmill.operators import quotes as Q
+from gistmill.operators import reports as R
 from gistmill.operators import threads as T
 from gistmill.operators.instants import with_instant
 from gistmill.plans import digest as G
@@ -533,3 +534,116 @@ def links_shortened(spark, sf_dir):
     blank = lambda c: F.coalesce(c, F.lit(""))
     line = F.concat(blank("subject"), F.lit(" see https://www."), host, F.lit("/files?id="), F.col("idx").cast("string"), F.lit(" or plan <https://"), host, F.lit("/a?b=1> and <http://"), host, F.lit("/> <mailto:"), blank("sender_email"), F.lit("> end"))
     return table(spark, sf_dir, "emails").select("idx", P.short_links(line).alias("text"))
+
+
+@query(f"SELECT doc_id, {R.report_score_sql('text')} AS score FROM documents")
+def report_facts(spark, sf_dir):
+    """How much a text holds that matters in reports."""
+    return table(spark, sf_dir, "documents").select("doc_id", R.report_score(F.col("text")).alias("score"))
+
+
+CELLS = "list_filter(list_transform(string_split(text, ' | '), lambda c: trim(c)), lambda c: c <> '')"
+FIGURES = f"len(list_filter({CELLS}, lambda c: regexp_matches(regexp_replace(c, '^.*: ', ''), '{R.NUMBER_CELL}')))"
+
+
+@query(f"""WITH {TABLES}, h AS (SELECT doc_no, table_no, block_no, text, row_no = 1 OR row_no <= 3 AND coalesce(min(CASE WHEN contains(text, ' | ') THEN 0 ELSE 1 END)
+ OVER (PARTITION BY doc_no, table_no ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) = 1 AS is_header FROM t),
+ c AS (SELECT doc_no, table_no, block_no, k, trim(string_split(text, ' | ')[k]) AS cell FROM t, unnest(range(1, len(string_split(text, ' | ')) + 1)) AS u(k)),
+ v AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_no, table_no, k, lower(cell)) AS share FROM c WHERE cell <> ''),
+ r AS (SELECT doc_no, block_no, round(sum(share), 6) AS rarity FROM v GROUP BY 1, 2)
+ SELECT doc_no, block_no, round(rarity * 2 + {FIGURES} * 0.5::DOUBLE + CAST(contains(text, '$') AS INT) + CASE WHEN regexp_matches(text, '{RE2(R.TOTAL_ROW)}', 'i') THEN 20 ELSE 0 END, 4) AS score,
+ CASE WHEN is_header OR len({CELLS}) < 3 THEN 0.0::DOUBLE ELSE greatest(CASE WHEN {FIGURES} >= 2 THEN least(3.0::DOUBLE, {FIGURES} * 0.5::DOUBLE) + 3 ELSE 0 END, CASE WHEN regexp_matches({CELLS}[1], '{R.ROW_CODE}') THEN 4 ELSE 0 END)::DOUBLE END AS floor
+ FROM h JOIN r USING (doc_no, block_no)""")
+def table_row_scores(spark, sf_dir):
+    return R.row_scores(_blocks(spark, sf_dir))
+
+
+BASE = "regexp_replace(regexp_replace(coalesce(file_name, ''), '^.*[\\\\/]', ''), '\\.[^.]*$', '')"
+
+
+@query(f"""SELECT doc_no, regexp_matches({BASE}, '{R.DRAWING_CODE}') OR NOT regexp_matches({BASE}, '{R.NO_DRAWING}') AND (regexp_matches({BASE}, '{R.DRAWING_WORD}')
+ OR regexp_matches({BASE}, '{R.REVISED}') AND regexp_matches(regexp_replace({BASE}, '{R.REVISED}', '', 'g'), '[0-9]{{3}}')) AS drawing_name FROM doctexts""")
+def drawing_names(spark, sf_dir):
+    return table(spark, sf_dir, "doctexts").select("doc_no", R.drawing_name(F.col("file_name")).alias("drawing_name"))
+
+
+@query()
+def drawing_titles(spark, sf_dir):
+    """Title, revision and status from the title blocks of drawings."""
+    return R.title_blocks(table(spark, sf_dir, "doctexts"))
+
+
+NUMBERED = "regexp_replace(file_name, '\\s*\\([0-9]+\\)(\\.[^.]+)$', '\\1')"
+
+
+@query(f"""WITH {ATTACHED}, p AS (SELECT thread_key, regexp_extract({NUMBERED}, '^(.*?)([0-9]+)\\.[^.]+$', 1) AS prefix, regexp_extract({NUMBERED}, '^(.*?)([0-9]+)\\.[^.]+$', 2) AS digits FROM att WHERE kind = 'photo'),
+ g AS (SELECT thread_key, prefix, count(*) AS photos, list_sort(list(DISTINCT {{'number': CAST(digits AS DECIMAL(30, 0)), 'digits': digits}})) AS n FROM p WHERE digits <> '' GROUP BY 1, 2)
+ SELECT thread_key, prefix, photos, prefix || CASE WHEN len(n) > 6 AND n[-1].number - n[1].number + 1 = len(n) THEN n[1].digits || '-' || n[-1].digits ELSE array_to_string(list_transform(n, lambda x: x.digits), ',') END AS label FROM g""")
+def photo_labels(spark, sf_dir):
+    """The photos of a thread by their numbers."""
+    rows = M.attachments(table(spark, sf_dir, "emails")).where("kind = 'photo'").withColumn("thread_key", M.thread_key(F.col("subject")))
+    return R.photo_groups(rows, ["thread_key"])
+
+
+IMAGES = "('.jpg', '.jpeg', '.png', '.heic', '.gif', '.bmp', '.tif', '.tiff')"
+
+
+@query(f"""WITH p AS (SELECT regexp_extract(path, '^(.*)[\\\\/]', 1) AS folder, lower(regexp_extract(path, '(\\.[^.\\\\/]+)$', 1)) AS ext FROM emails),
+ k AS (SELECT folder, ext, count(*) AS files, count(CASE WHEN ext IN {IMAGES} THEN 1 END) AS images FROM p GROUP BY 1, 2)
+ SELECT folder, ext, files, images, sum(files) OVER w > 6 OR sum(images) OVER w >= 2 AS in_one_line FROM k WINDOW w AS (PARTITION BY folder)""")
+def files_grouped(spark, sf_dir):
+    """Files by folder and extension, and whether a folder's share a line."""
+    return R.other_files(table(spark, sf_dir, "emails").select("path"))
+
+
+@query("""SELECT idx, CASE WHEN file_size IS NULL OR file_size < 0 THEN '' WHEN file_size >= 1048576 THEN printf('%.1f MB', file_size / 1048576.0::DOUBLE)
+ WHEN file_size >= 1024 THEN CAST(CAST(round(file_size / 1024.0::DOUBLE) AS BIGINT) AS VARCHAR) || ' KB' ELSE CAST(file_size AS VARCHAR) || ' bytes' END AS size, CAST(round(length(coalesce(body, '')) / 3.5::DOUBLE) AS BIGINT) AS tokens FROM emails""")
+def sizes_told(spark, sf_dir):
+    """Sizes as people read them, and the estimate of tokens."""
+    return table(spark, sf_dir, "emails").select("idx", R.size_text(F.col("file_size")).alias("size"), R.token_estimate(F.length(F.coalesce("body", F.lit("")))).alias("tokens"))
+
+
+CONTINUED = "trim(regexp_replace({0}, '\\s*[(\\[]?\\b(?:continued|cont''?d|cont\\.)[)\\]]?\\s*$', ''))"
+
+
+@query(f"""WITH {BLOCKS}, h AS (SELECT doc_no, block_no, text, lag(text) OVER (PARTITION BY doc_no ORDER BY block_no) AS before FROM b WHERE block_type = 'heading')
+ SELECT doc_no, block_no FROM h WHERE {CONTINUED.format('lower(text)')} <> lower(text) AND {CONTINUED.format('lower(text)')} = {CONTINUED.format('lower(before)')}""")
+def headings_continued(spark, sf_dir):
+    return R.continued_headings(_blocks(spark, sf_dir))
+
+
+FOCUS = "RFI 12; crane, concrete"
+FOUND = " OR ".join(f"regexp_matches(t, '{C.keyword_pattern(k).replace('(?<![a-z0-9])', '(?:^|[^a-z0-9])').replace('(?![0-9])', '(?:$|[^0-9])')}')" for k in C.keyword_list(FOCUS))
+
+
+@query(f"""WITH t AS (SELECT doc_no, lower(coalesce(file_name, '') || ' ' || coalesce(array_to_string(list_transform(blocks, lambda b: coalesce(b.text, '')), ' '), '')) AS t FROM doctexts)
+ SELECT doc_no FROM t WHERE {FOUND}""")
+def focus_documents(spark, sf_dir):
+    """Documents with a keyword of the settings in their name or text."""
+    return R.focus_documents(table(spark, sf_dir, "doctexts"), FOCUS)
+
+
+@query("""SELECT DISTINCT lower(domain) AS domain, CASE WHEN lower(domain) = 'acme.example' OR ends_with(lower(domain), '.acme.example') THEN 'ACME'
+ WHEN lower(domain) = 'x.example' OR ends_with(lower(domain), '.x.example') THEN 'X' END AS code FROM person_obs WHERE domain <> ''""")
+def organisation_settings(spark, sf_dir):
+    """Codes of organisations that a user has set."""
+    domains = table(spark, sf_dir, "person_obs").where("domain != ''").select(F.lower("domain").alias("domain")).distinct()
+    return R.configured_codes(domains, C.parse_org_codes("acme.example = ACME; x.example = X"))
+
+
+@query("""SELECT doc_no, coalesce(regexp_matches(lower(note), 'part|first|limit|scan|too '), false) OR len(list_filter(coalesce(blocks, []), lambda b: b.block_type = 'sheet' AND coalesce(b.hidden, false))) > 0 AS partly FROM doctexts""")
+def documents_partly_read(spark, sf_dir):
+    return R.partly_read(table(spark, sf_dir, "doctexts"))
+
+
+@query()
+def documents_sources(spark, sf_dir):
+    """With which messages each document came."""
+    rows = with_instant(table(spark, sf_dir, "emails"), table(spark, sf_dir, "mailboxes")).withColumn("thread", M.thread_key(F.col("subject")))
+    return R.document_sources(rows)
+
+
+@query()
+def documents_digest(spark, sf_dir):
+    """Every document file as its section of the documents digest."""
+    return R.documents_digest(table(spark, sf_dir, "doctexts"))
