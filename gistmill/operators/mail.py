@@ -20,11 +20,20 @@ DOCUMENT = r"(?i)\.(?:docx?|xlsx?|xlsm|pptx?|pdf|txt|md|csv|rtf|zip)$"
 NO_REPLY = r"(?i)^(?:no-?reply|do-?not-?reply|notifications?|mailer-daemon|postmaster)@"
 
 
+# What chat systems and machines put in front of a subject or into an address.
+RESPONSE_SUBJECT = r"(?i)^\s*(?:accepted|declined|tentative(?:ly accepted)?|new time proposed|zugesagt|abgelehnt|mit vorbehalt|accepté|refusé|aceptado|rechazado|aceita|zaakceptowano|принято)\s*:"
+RECEIPT_SUBJECT = r"(?i)^\s*(?:read|not read|delivered|undeliverable|delivery (?:status notification|failure|delayed)|gelesen|unzustellbar|zugestellt|lu|non remis|leído|no entregado|lida|não entregue|niedostarczalne|прочитано)\s*(?::|$)|(?i)^\s*(?:delivery status notification|mail delivery (?:failed|subsystem))"
+
+
 def noise_kind(item_class: Column, auto_reply: Column, subject: Column, sender: Column) -> Column:
-    """Why a message carries nothing, or NULL: the first that fits of response, receipt, automatic answer, notification."""
+    """Why a message carries nothing, or NULL: the first that fits of response, receipt, automatic answer, notification; chats are none of these."""
+    from gistmill.operators.cleaning import is_chat
+
+    bare = subjects.without_tags(subject)
     return (
-        F.when(item_class.rlike(r"^IPM\.Schedule\.Meeting\.Resp"), "meeting_response")
-        .when(item_class.startswith("REPORT"), "receipt")
+        F.when(is_chat(sender, subject), None)
+        .when(F.coalesce(item_class.rlike(r"^IPM\.Schedule\.Meeting\.Resp"), F.lit(False)) | bare.rlike(RESPONSE_SUBJECT), "meeting_response")
+        .when(F.coalesce(item_class.startswith("REPORT"), F.lit(False)) | bare.rlike(RECEIPT_SUBJECT), "receipt")
         .when(F.coalesce(auto_reply, F.lit(False)) | (subjects.outermost(subject) == "automatic"), "auto_reply")
         .when(sender.rlike(NO_REPLY), "notification")
     )
@@ -53,6 +62,18 @@ def numbered(rows: DataFrame, day: Column, order: list[Column], out: str = "numb
     return rows.join(sizes, "_day").withColumn(out, F.col("_before") + rank).drop("_day", "_before")
 
 
+#: A date that names its zone in the plain form.
+ZONED = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.][0-9]{1,6})?(?:Z|[+-][0-9]{2}:[0-9]{2})$"
+
+
+def sent_at(date_iso: Column, mtime: Column) -> Column:
+    """When a message was sent, in UTC without zone, where its date is plain and no stand-in (before 1971, after 2200); else the time of its file."""
+    year = F.substring(date_iso, 1, 4).try_cast("int")
+    micros = F.unix_micros(F.when(date_iso.rlike(ZONED) & year.between(1971, 2200), date_iso.try_cast("timestamp")))
+    start = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    return F.coalesce(start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / 1_000_000).cast("decimal(18,6)")), mtime)
+
+
 def attachments(emails: DataFrame) -> DataFrame:
     """One row per attachment: ``idx, position, file_name, kind, key`` with kind inline, link, email, photo, document or other."""
     rows = emails.select("idx", "path", "mtime", "subject", F.posexplode("attachments").alias("position", "a"))

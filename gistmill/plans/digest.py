@@ -54,6 +54,9 @@ def entries(emails: DataFrame, mailboxes: DataFrame, doctexts: DataFrame) -> Dat
     quotes = staged(T.quotes_of(messages, mailboxes), "digest-quotes")
     found = staged(T.matched(quotes, T.mail_index(messages)), "digest-matches")
     parts = T.conversation_parts(messages, quotes, found)
+    # documents are numbered by when they were sent
+    sent = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("utc_s").cast("decimal(18,6)"))
+    messages = messages.withColumn("mtime", F.coalesce(sent, "mtime"))
     noise = M.noise_kind(*[F.col(c) for c in ("item_class", "auto_reply", "subject", "sender_email")])
     kept = messages.where(noise.isNull() & ~F.col("is_ack"))
     capped = D.capped(kept, "idx", "text", ENTRY)

@@ -57,8 +57,10 @@ def subject_parts(spark, sf_dir):
     return rows.select("idx", subjects.bare(F.col("subject")).alias("clean_subject"), M.thread_key(F.col("subject")).alias("thread_key"), subjects.outermost(F.col("subject")).alias("outermost"))
 
 
-NOISE = f"""CASE WHEN regexp_matches(item_class, '^IPM\\.Schedule\\.Meeting\\.Resp') THEN 'meeting_response'
- WHEN starts_with(item_class, 'REPORT') THEN 'receipt'
+ANY_CASE = lambda pattern: pattern.replace("(?i)", "")
+NOISE = f"""CASE WHEN regexp_matches(coalesce(sender_email, ''), '^no-?reply@(?:email\\.)?teams\\.', 'i') AND regexp_matches(coalesce(subject, ''), '{ANY_CASE(C.CHAT_SUBJECT)}', 'i') THEN NULL
+ WHEN coalesce(regexp_matches(item_class, '^IPM\\.Schedule\\.Meeting\\.Resp'), false) OR regexp_matches({UNTAGGED}, '{ANY_CASE(M.RESPONSE_SUBJECT)}', 'i') THEN 'meeting_response'
+ WHEN coalesce(starts_with(item_class, 'REPORT'), false) OR regexp_matches({UNTAGGED}, '{ANY_CASE(M.RECEIPT_SUBJECT)}', 'i') THEN 'receipt'
  WHEN coalesce(auto_reply, false) OR ({OUTER}) = 'automatic' THEN 'auto_reply'
  WHEN regexp_matches(sender_email, '{RE2(M.NO_REPLY)}', 'i') THEN 'notification' END"""
 
@@ -69,18 +71,26 @@ def noise_counts(spark, sf_dir):
     return table(spark, sf_dir, "emails").groupBy(F.coalesce(kind, F.lit("kept")).alias("noise")).agg(F.count(F.lit(1)).alias("messages"))
 
 
+#: Mail with the time it was sent in place of the file's.
+SENT = f"(SELECT * REPLACE (CASE WHEN regexp_matches(coalesce(date_iso, ''), '{M.ZONED}') AND TRY_CAST(substring(date_iso, 1, 4) AS INT) BETWEEN 1971 AND 2200 THEN coalesce(CAST(TRY_CAST(date_iso AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP), mtime) ELSE mtime END AS mtime) FROM emails) AS emails"
+
+
+def _sent(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "emails").withColumn("mtime", M.sent_at(F.col("date_iso"), F.col("mtime")))
+
+
 @query(f"""SELECT {THREAD} AS thread_key, count(*) AS messages, min(mtime) AS first_at, max(mtime) AS last_at,
- count(DISTINCT lower(sender_email)) AS senders FROM emails GROUP BY 1""")
+ count(DISTINCT lower(sender_email)) AS senders FROM {SENT} GROUP BY 1""")
 def thread_stats(spark, sf_dir):
-    rows = table(spark, sf_dir, "emails").withColumn("thread_key", M.thread_key(F.col("subject")))
+    rows = _sent(spark, sf_dir).withColumn("thread_key", M.thread_key(F.col("subject")))
     return rows.groupBy("thread_key").agg(F.count(F.lit(1)).alias("messages"), F.min("mtime").alias("first_at"), F.max("mtime").alias("last_at"), F.countDistinct(F.lower("sender_email")).alias("senders"))
 
 
-@query(f"""WITH t AS (SELECT idx, {THREAD} AS thread_key, CAST(floor(epoch(mtime)) AS BIGINT) AS s FROM emails),
+@query(f"""WITH t AS (SELECT idx, {THREAD} AS thread_key, CAST(floor(epoch(mtime)) AS BIGINT) AS s FROM {SENT}),
  g AS (SELECT *, CASE WHEN s - lag(s) OVER w > {M.GAP} THEN 1 ELSE 0 END AS starts FROM t WINDOW w AS (PARTITION BY thread_key ORDER BY s, idx))
  SELECT idx, thread_key, CAST(sum(starts) OVER (PARTITION BY thread_key ORDER BY s, idx) + 1 AS BIGINT) AS part_no FROM g""")
 def thread_parts(spark, sf_dir):
-    rows = table(spark, sf_dir, "emails").select("idx", M.thread_key(F.col("subject")).alias("thread_key"), F.unix_seconds(F.col("mtime").cast("timestamp")).alias("s"))
+    rows = _sent(spark, sf_dir).select("idx", M.thread_key(F.col("subject")).alias("thread_key"), F.unix_seconds(F.to_timestamp(F.col("mtime"))).alias("s"))
     return M.with_gaps(rows, "thread_key", "s", "idx").select("idx", "thread_key", "part_no")
 
 
@@ -131,7 +141,7 @@ def first_names(spark, sf_dir):
     return found.where("email = other").select("first_name", "email")
 
 
-ATTACHED = f"""a AS (SELECT idx, path, mtime, subject, i - 1 AS position, attachments[i] AS t FROM emails, unnest(range(1, len(attachments) + 1)) AS u(i)),
+ATTACHED = f"""a AS (SELECT idx, path, mtime, subject, i - 1 AS position, attachments[i] AS t FROM {SENT}, unnest(range(1, len(attachments) + 1)) AS u(i)),
  att AS (SELECT idx, path, mtime, {THREAD} AS thread_key, CAST(position AS BIGINT) AS position, coalesce(t.file_name, '') AS file_name,
  CASE WHEN t.email IS NOT NULL THEN 'email' WHEN t.link THEN 'link' WHEN t.inline OR regexp_matches(coalesce(t.file_name, ''), '{RE2(M.INLINE)}', 'i') THEN 'inline'
  WHEN regexp_matches(coalesce(t.file_name, ''), '{RE2(M.PHOTO)}', 'i') THEN 'photo' WHEN regexp_matches(coalesce(t.file_name, ''), '{RE2(M.DOCUMENT)}', 'i') THEN 'document' ELSE 'other' END AS kind,
@@ -150,7 +160,7 @@ def attachments_as_above(spark, sf_dir):
     """Whether a document of the same name was already attached earlier in the thread."""
     from pyspark.sql import Window
 
-    rows = M.attachments(table(spark, sf_dir, "emails")).where("kind = 'document'")
+    rows = M.attachments(_sent(spark, sf_dir)).where("kind = 'document'")
     order = Window.partitionBy(M.thread_key(F.col("subject")), F.lower("file_name")).orderBy("mtime", "idx", "position")
     return rows.select("idx", F.col("position").cast("long").alias("position"), (F.row_number().over(order) > 1).alias("as_above"))
 
@@ -162,12 +172,12 @@ DOCS = f"""{ATTACHED}, shown AS (SELECT key, arg_min(file_name, (mtime, path, po
 
 @query(f"WITH {DOCS} SELECT * FROM docs")
 def documents_numbered(spark, sf_dir):
-    return M.collected_documents(table(spark, sf_dir, "emails"), table(spark, sf_dir, "doctexts"))
+    return M.collected_documents(_sent(spark, sf_dir), table(spark, sf_dir, "doctexts"))
 
 
 @query(f"WITH {DOCS} SELECT att.idx, att.position, docs.number FROM att JOIN docs USING (key)")
 def attachment_documents(spark, sf_dir):
-    emails, texts = table(spark, sf_dir, "emails"), table(spark, sf_dir, "doctexts")
+    emails, texts = _sent(spark, sf_dir), table(spark, sf_dir, "doctexts")
     return M.attachments(emails).join(M.collected_documents(emails, texts).select("key", "number"), "key").select("idx", F.col("position").cast("long").alias("position"), "number")
 
 
@@ -185,10 +195,13 @@ def best_copy(spark, sf_dir):
 def near_copies(spark, sf_dir):
     """Slots of copies with the same sender, beginning, thread and attachments, at most two minutes apart."""
     rows = with_instant(table(spark, sf_dir, "emails"), table(spark, sf_dir, "mailboxes"))
+    rows = rows.join(C.bodies_cleaned(rows), "idx")
+    first = Q.quoted(rows.select("idx", "body")).where("depth = 0").select("idx", F.concat_ws("|", "date_iso", F.lower("sender_email")).alias("quote"))
+    rows = rows.join(first, "idx", "left")
     people = F.array_join(F.array_sort(F.array_distinct(F.transform(F.concat("to_list", F.coalesce("cc_list", F.array().cast("array<struct<display:string,email:string>>"))), lambda p: F.lower(p["email"])))), ",")
     names = F.array_join(F.array_sort(F.transform(F.filter("attachments", lambda a: ~a["inline"]), lambda a: F.lower(a["file_name"]))), ",")
-    start = F.substring(F.regexp_replace(F.lower(F.coalesce("body", F.lit(""))), r"\s+", " "), 1, 200)
-    key = F.sha2(F.concat_ws("\u0001", F.lower("sender_email"), start, names, M.thread_key(F.col("subject")), F.coalesce("meeting.start_iso", F.lit("")), F.when(start == "", F.col("idx").cast("string"))), 256)
+    start = F.substring(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "), 1, 200)
+    key = F.sha2(F.concat_ws("\u0001", F.lower("sender_email"), start, names, M.thread_key(F.col("subject")), F.coalesce("meeting.start_iso", F.lit("")), F.coalesce("quote", F.lit("")), F.when(start == "", F.col("idx").cast("string"))), 256)
     from gistmill.operators.delivery import identifier
 
     return M.near_copies(rows.select(key.alias("key"), "idx", "utc_s", people.alias("people"), identifier(F.col("message_id")).alias("message_key")))
@@ -248,13 +261,13 @@ def focus_threads(spark, sf_dir):
     return rows.join(rows.where("hit").select("thread_key").distinct(), "thread_key", "left_semi").select("idx", "thread_key")
 
 
-@query(f"""SELECT idx, CAST(count(*) OVER (PARTITION BY {THREAD}, lower(sender_email) ORDER BY mtime, idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS BIGINT) AS seen FROM emails""")
+@query(f"""SELECT idx, CAST(count(*) OVER (PARTITION BY {THREAD}, lower(sender_email) ORDER BY mtime, idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS BIGINT) AS seen FROM {SENT}""")
 def seen_window(spark, sf_dir):
     """How many of its sender's last ten messages a message has before it in its thread."""
     from pyspark.sql import Window
 
     order = Window.partitionBy(M.thread_key(F.col("subject")), F.lower("sender_email")).orderBy("mtime", "idx").rowsBetween(-10, -1)
-    return table(spark, sf_dir, "emails").select("idx", F.count(F.lit(1)).over(order).alias("seen"))
+    return _sent(spark, sf_dir).select("idx", F.count(F.lit(1)).over(order).alias("seen"))
 
 
 ACK_LIST = "[" + ", ".join(f"'{w}'" for w in sorted(C.ACK_WORDS)) + "]"
