@@ -70,9 +70,9 @@ def _automaton(name: str) -> tuple[re.Pattern, dict[str, int]]:
 
 
 @lru_cache(maxsize=None)
-def _anything() -> re.Pattern:
-    """What every span of any set begins with: a lead byte's character and one of a byte that follows."""
-    tables = [_byte_table(name) for name in SETS]
+def _begins(*names: str) -> re.Pattern:
+    """What every span of these sets begins with: a lead byte's character and one of a byte that follows."""
+    tables = [_byte_table(name) for name in names]
     leads, tails = ("".join(re.escape(c) for c in sorted({c for t in tables for c, b in t.items() if low <= b <= high})) for low, high in ((0xC2, 0xF3), (0x80, 0xBF)))
     return re.compile(f"[{leads}][{tails}]")
 
@@ -140,9 +140,16 @@ def _rarity(text: str) -> float:
     return sum(ranks) / len(ranks) if ranks else 99.0
 
 
+# The characters without which a pattern above finds nothing.
+_BLOCKS = frozenset(map(chr, range(0x2500, 0x25A1)))
+_DOS = _BLOCKS | frozenset("αΓπΣσµτΦΘδ∞φε∩≡±≥≤⌠⌡÷≈°∙·√ⁿÆ£Çûùòôö")
+_C1, _POLISH, _LATIN2 = frozenset(map(chr, range(0x80, 0xA0))), frozenset("³¹¿œæŒ"), frozenset("±¶¼")
+
+
 def single_byte(line: str) -> tuple[str, str]:
     """(``line`` with one single-byte set put right, the kind), or the line and ``""``."""
-    if CYRILLIC.search(line):
+    there = set(line)
+    if max(there) >= "Ѐ" and CYRILLIC.search(line):
         turned, shouted = bool(CASE_TURNED.search(line)), "".join(UPPER.findall(line))
         if turned or len(shouted) >= 5:
             best = min(("koi8", "windows"), key=lambda kind: _rarity(_map(line, *SINGLE[kind])))
@@ -150,7 +157,7 @@ def single_byte(line: str) -> tuple[str, str]:
             if turned or _rarity(mapped) + 2.5 < _rarity(line):
                 return mapped, best
         return _written(line)
-    if C1_IN_WORD.search(line):
+    if not _C1.isdisjoint(there) and C1_IN_WORD.search(line):
         return _map(line, "cp1252", "cp850"), "dos as windows"
     for run in HIGH_RUN.findall(line):
         mapped = _map(run, *SINGLE["cyrillic"])
@@ -159,11 +166,11 @@ def single_byte(line: str) -> tuple[str, str]:
     written, kind = _written(line)
     if kind:
         return written, kind
-    if DOS_IN_WORD.search(line) or DOS_SIGN.search(line):
+    if not _DOS.isdisjoint(there) and (DOS_IN_WORD.search(line) or DOS_SIGN.search(line)):
         return _map(line, *SINGLE["dos"]), "dos"
-    if POLISH_IN_WORD.search(line):
+    if not _POLISH.isdisjoint(there) and POLISH_IN_WORD.search(line):
         return _map(line, *SINGLE["polish"]), "polish"
-    if LATIN2_IN_WORD.search(line):
+    if not _LATIN2.isdisjoint(there) and LATIN2_IN_WORD.search(line):
         return _map(line, *SINGLE["latin-2"]), "latin-2"
     return line, ""
 
@@ -237,9 +244,11 @@ def restore(text: str | None) -> tuple[str | None, bool]:
         if not _START.search(line):
             continue
         wrong |= "\ufffd" in line
-        for _ in range(3 if _anything().search(line) else 0):
-            options = [decode_spans(line, name) for name in SETS]
-            best, most = max(options, key=lambda x: x[1])
+        for _ in range(3):
+            if not _begins(*SETS).search(line):
+                break
+            options = [decode_spans(line, name) for name in SETS if _begins(name).search(line)]
+            best, most = max(options, key=lambda x: x[1], default=(line, 0))
             if not most:
                 break
             line, wrong = best, True
