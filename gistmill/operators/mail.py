@@ -186,3 +186,31 @@ def organisation(domain: Column) -> Column:
     """The label of a domain that names the organisation: country and generic labels are dropped from the right."""
     bare = F.regexp_replace(F.lower(domain), rf"(?:\.(?:{GENERIC}))?(?:\.[a-z]{{2}})?$", "")
     return F.regexp_extract(bare, r"([^.]+)$", 1)
+
+
+def meeting_label(start_iso: Column, end_iso: Column, place: Column, item_class: Column) -> Column:
+    """``meeting 25-03-13 14:00-15:00 @ place``, as written in the record; all-day ones and those over several days as such; NULL without a start."""
+    wall = lambda c: F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"), F.regexp_replace(F.substring(c, 1, 16), "T", " ").try_cast("timestamp_ntz"))
+    start, end = wall(start_iso), wall(end_iso)
+    day, minute = lambda c: F.date_format(c, "yy-MM-dd"), lambda c: F.date_format(c, "HH:mm")
+    midnight = (minute(start) == "00:00") & (minute(end) == "00:00")
+    last = end - F.expr("interval 1 day")
+    when = (
+        F.when(end.isNull() | (end <= start), F.concat(day(start), F.lit(" "), minute(start)))
+        .when(midnight, F.concat(day(start), F.when(day(last) == day(start), "").otherwise(F.concat(F.lit(" to "), day(last))), F.lit(" all day")))
+        .when(day(end) == day(start), F.concat(day(start), F.lit(" "), minute(start), F.lit("-"), minute(end)))
+        .otherwise(F.concat(day(start), F.lit(" "), minute(start), F.lit(" to "), day(end), F.lit(" "), minute(end)))
+    )
+    at = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(place, F.lit("")), r"\s+", " ")), r"^[ ;,]+|[ ;,]+$", "")
+    at = F.when(F.length(at) > 80, F.concat(F.rtrim(F.substring(at, 1, 79)), F.lit("…"))).otherwise(at)
+    cancelled = F.coalesce(F.lower(item_class).contains("canceled"), F.lit(False))
+    return F.concat(F.when(cancelled, "meeting cancelled ").otherwise("meeting "), when, F.when(at == "", "").otherwise(F.concat(F.lit(" @ "), at)))
+
+
+def copies_merged(emails: DataFrame) -> DataFrame:
+    """``message_key, idx, copies, paths``: of each message with further copies the best one, how many there are, and where the others were filed."""
+    keyed = emails.select(identifier(F.col("message_id")).alias("message_key"), "idx", "path").where("message_key is not null")
+    best = best_copies(emails).withColumnRenamed("idx", "best")
+    rows = keyed.join(best, "message_key")
+    found = rows.groupBy("message_key", "best").agg(F.count(F.lit(1)).alias("copies"), F.array_sort(F.collect_set(F.when(F.col("idx") != F.col("best"), F.col("path")))).alias("paths"))
+    return found.where("copies > 1").select("message_key", F.col("best").alias("idx"), "copies", F.array_join("paths", "; ").alias("paths"))

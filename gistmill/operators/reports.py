@@ -319,10 +319,10 @@ def _unnumbered(text: str) -> str:
 
 
 def word_changes(old: str, new: str) -> str:
-    """The new passage with what is gone in ``[-...-]`` and what is new in ``{+...+}``, or ``""`` where most of it changed."""
+    """The new passage with what is gone in ``[-...-]`` and what is new in ``{+...+}``, or ``""`` where half of it or more changed."""
     a, b = old.split(), new.split()
     pairs = aligned(a, b)
-    if len(pairs) * 2 < max(len(a), len(b)):
+    if len(pairs) * 2 <= max(len(a), len(b)):
         return ""
     out, i, j = [], 0, 0
     for x, y in [*pairs, (len(a), len(b))]:
@@ -350,6 +350,7 @@ def change_lines(old: list[str], new: list[str]) -> tuple[float, list[str]]:
         twice = Counter(map(first, come))
         bare = {_unnumbered(u) for u in gone}
         used: set[str] = set()
+        told_new: list[str] = []
         for u in come:
             key = first(u)
             if _unnumbered(u) in bare and u not in gone:
@@ -357,14 +358,14 @@ def change_lines(old: list[str], new: list[str]) -> tuple[float, list[str]]:
             elif key and twice[key] == 1 and len(by_first.get(key, [])) == 1:
                 before, after = by_first[key][0].split(" | "), u.split(" | ")
                 cells = [f"{b} -> {c}" if b != c else c for b, c in zip(before, after)] + after[len(before) :]
-                lines.append("~ " + " | ".join(cells))
+                told_new.append("~ " + " | ".join(cells))
                 used.add(by_first[key][0])
             elif len(gone) == len(come) and (told := word_changes(gone[come.index(u)], u)):
-                lines.append("~ " + told)
+                told_new.append("~ " + told)
                 used.add(gone[come.index(u)])
             else:
-                lines.append("+ " + u)
-        lines += ["- " + u for u in gone if u not in used]
+                told_new.append("+ " + u)
+        lines += ["- " + u for u in gone if u not in used] + told_new
         i, j = x + 1, y + 1
     return similarity(old, new, pairs), lines
 

@@ -59,8 +59,13 @@ def same_whole(a: Column, b: Column) -> Column:
     return same_start(a, b) & ((short >= OPENING) | (short >= long * 0.6))
 
 
-def mail_index(messages: DataFrame) -> DataFrame:
-    """``person, f_idx, f_s, f_letters, f_prefix``: one row for each key of each message's sender; the index that matching joins."""
+def mail_index(messages: DataFrame, also_filed: DataFrame | None = None) -> DataFrame:
+    """``person, f_idx, f_s, f_letters, f_prefix``: one row for each key of each message's sender; the index that matching joins.
+
+    ``also_filed``: further messages of the same columns that are filed but not shown, such as those outside a span of dates.
+    """
+    columns = ["idx", "sender_email", "sender_name", "utc_s", "text"]
+    messages = messages.select(columns) if also_filed is None else messages.select(columns).unionByName(also_filed.select(columns))
     rows = messages.select(F.explode(person_keys(F.col("sender_email"), F.col("sender_name"))).alias("person"), F.col("idx").alias("f_idx"), F.col("utc_s").alias("f_s"), letters(F.col("text")).alias("f_letters"))
     return rows.withColumn("f_prefix", F.substring("f_letters", 1, 80))
 
@@ -169,6 +174,11 @@ def inline_replies(quotes: DataFrame, found: DataFrame, messages: DataFrame) ->
     return pairs.withColumn("known", known).select("idx", "q_id", new.alias("replies")).where(F.size("replies") > 0)
 
 
+def aliases_of(records: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``path, alias`` of the sender of each record, for the documents digest."""
+    return records.select("path", F.lower("sender_email").alias("email")).join(aliases.select("email", "alias"), "email", "left").select("path", "alias")
+
+
 def identities(seen: DataFrame) -> DataFrame:
     """``name, email``: the address that a bare name means, by its folded words, else by the part before the at sign; none where two fit alike."""
     words = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}]+", " "), " "), lambda w: w != "")), "")

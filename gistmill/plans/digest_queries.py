@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill.functions import subjects
-from gistmill.functions.facts import fact_score, fact_score_sql
+from gistmill.functions.facts import MASKED, fact_score, fact_score_sql
 from gistmill.operators import cleaning as C
 from gistmill.operators import documents as D
 from gistmill.operators import mail as M
@@ -285,20 +285,31 @@ def acknowledgements(spark, sf_dir):
     return table(spark, sf_dir, "emails").select("idx", C.ack(F.col("body")).alias("ack"))
 
 
-@query("""SELECT idx, CASE WHEN meeting IS NULL THEN NULL WHEN item_class LIKE '%Canceled%' THEN 'cancelled ' ELSE '' END || substring(meeting.start_iso, 1, 16) ||
- CASE WHEN substring(meeting.start_iso, 1, 10) = substring(meeting.end_iso, 1, 10) THEN '-' || substring(meeting.end_iso, 12, 5) ELSE ' - ' || substring(meeting.end_iso, 1, 16) END ||
- CASE WHEN coalesce(meeting.place, '') = '' THEN '' ELSE ', ' || substring(meeting.place, 1, 80) END AS label FROM emails WHERE meeting IS NOT NULL""")
+WALL = "CASE WHEN regexp_matches({0}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}') THEN TRY_CAST(replace(substring({0}, 1, 16), 'T', ' ') || ':00' AS TIMESTAMP) END"
+DAY, MINUTE = "strftime({0}, '%y-%m-%d')", "strftime({0}, '%H:%M')"
+
+
+@query(f"""WITH m AS (SELECT idx, {WALL.format('meeting.start_iso')} AS s, {WALL.format('meeting.end_iso')} AS e, lower(coalesce(item_class, '')) LIKE '%canceled%' AS c,
+ regexp_replace(trim(regexp_replace(coalesce(meeting.place, ''), '\\s+', ' ', 'g')), '^[ ;,]+|[ ;,]+$', '', 'g') AS p FROM emails WHERE meeting IS NOT NULL),
+ w AS (SELECT *, CASE WHEN e IS NULL OR e <= s THEN {DAY.format('s')} || ' ' || {MINUTE.format('s')}
+ WHEN {MINUTE.format('s')} = '00:00' AND {MINUTE.format('e')} = '00:00' THEN {DAY.format('s')} || CASE WHEN (e - INTERVAL 1 DAY)::DATE = s::DATE THEN '' ELSE ' to ' || {DAY.format('e - INTERVAL 1 DAY')} END || ' all day'
+ WHEN e::DATE = s::DATE THEN {DAY.format('s')} || ' ' || {MINUTE.format('s')} || '-' || {MINUTE.format('e')}
+ ELSE {DAY.format('s')} || ' ' || {MINUTE.format('s')} || ' to ' || {DAY.format('e')} || ' ' || {MINUTE.format('e')} END AS w, CASE WHEN length(p) > 80 THEN rtrim(substring(p, 1, 79)) || '…' ELSE p END AS q FROM m)
+ SELECT idx, CASE WHEN c THEN 'meeting cancelled ' ELSE 'meeting ' END || w || CASE WHEN q = '' THEN '' ELSE ' @ ' || q END AS label FROM w""")
 def meeting_labels(spark, sf_dir):
-    start, end, place = F.col("meeting.start_iso"), F.col("meeting.end_iso"), F.coalesce("meeting.place", F.lit(""))
-    same_day = F.substring(start, 1, 10) == F.substring(end, 1, 10)
-    label = F.concat(
-        F.when(F.col("item_class").contains("Canceled"), "cancelled ").otherwise(""), F.substring(start, 1, 16),
-        F.when(same_day, F.concat(F.lit("-"), F.substring(end, 12, 5))).otherwise(F.concat(F.lit(" - "), F.substring(end, 1, 16))),
-        F.when(place == "", "").otherwise(F.concat(F.lit(", "), F.substring(place, 1, 80))),
-    )
+    label = M.meeting_label(F.col("meeting.start_iso"), F.col("meeting.end_iso"), F.col("meeting.place"), F.col("item_class"))
     return table(spark, sf_dir, "emails").where("meeting is not null").select("idx", label.alias("label"))
 
 
+@query(f"""WITH k AS (SELECT {MID} AS message_key, idx, path, CAST(coalesce(sender_email, '') <> '' AS INT) AS a, CAST(coalesce(date_iso, '') <> '' AS INT) AS d, coalesce(len(attachments), 0) AS n, coalesce(length(body), 0) AS l FROM emails),
+ u AS (SELECT * FROM k WHERE regexp_full_match(message_key, '[^@]+@[^@]+') AND NOT regexp_matches(message_key, '@(.*\\.)?(invalid|localhost)$')),
+ b AS (SELECT message_key, arg_max(idx, (a, d, n, l, -idx)) AS best, count(*) AS copies FROM u GROUP BY 1)
+ SELECT message_key, best AS idx, copies, coalesce(string_agg(path, '; ' ORDER BY path) FILTER (WHERE idx <> best), '') AS paths FROM u JOIN b USING (message_key) WHERE copies > 1 GROUP BY 1, 2, 3""")
+def copies_merged(spark, sf_dir):
+    """Where the further copies of a message were filed."""
+    return M.copies_merged(table(spark, sf_dir, "emails"))
+
+
 @query(f"SELECT doc_id, {fact_score_sql('text')} AS score FROM documents")
 def document_facts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fact_score(F.col("text")).alias("score"))
@@ -356,10 +367,22 @@ def headings_folded(spark, sf_dir):
     return D.folded_headings(_blocks(spark, sf_dir), 3)
 
 
-@query(f"""WITH {BLOCKS} SELECT doc_no, count(CASE WHEN regexp_matches(lower(text), '{D.STRONG}') OR len(regexp_extract_all(lower(text), '{D.WEAK}')) >= 2 THEN 1 END) AS boilerplate, count(*) AS all_blocks FROM b GROUP BY 1""")
+def _is(pattern: str, text: str = "text") -> str:
+    return f"regexp_matches({text}, '{_sql(ANY_CASE(pattern))}'{', {}'.format(chr(39) + 'i' + chr(39)) if pattern.startswith('(?i)') else ''})"
+
+
+COUNT = lambda patterns: " + ".join(f"CAST({_is(p)} AS INT)" for p in patterns)
+
+
+@query(f"""WITH {BLOCKS}, s AS (SELECT *, coalesce(last_value(CASE WHEN block_type = 'heading' THEN {_is(D.BOILER_HEAD)} END IGNORE NULLS) OVER (PARTITION BY doc_no ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS in_section,
+ block_no < 12 OR block_no > max(block_no) OVER (PARTITION BY doc_no) - 6 AS near FROM b),
+ c AS (SELECT *, regexp_matches(regexp_replace(text, '{MASKED}', '~', 'g'), '{_sql(D.HARD)}') AS hard, {_is(D.PARTY)} AND {_is(D.DUTY)} AND NOT {_is(D.ABOUT)} AS clause, {COUNT(D.STRONG)} AS strong, {COUNT(D.WEAK)} AS weak,
+ len(regexp_extract_all(text, '{_sql(D.CONTACT)}')) AS contact FROM s)
+ SELECT doc_no, count(CASE WHEN block_type IN ('para', 'item', 'text') AND (in_section AND NOT hard OR NOT clause AND (strong + weak >= 3 OR strong > 0 AND strong + weak >= 2 AND NOT hard OR strong > 0 AND near AND NOT hard AND length(text) < 600
+ OR contact >= 2 AND length(text) < 300 OR contact > 0 AND length(text) < 120 AND NOT hard)) THEN 1 END) AS boilerplate, count(*) AS all_blocks FROM c GROUP BY 1""")
 def boilerplate_blocks(spark, sf_dir):
-    rows = _blocks(spark, sf_dir)
-    return rows.groupBy("doc_no").agg(F.count_if(D.is_boilerplate(F.col("text"))).alias("boilerplate"), F.count(F.lit(1)).alias("all_blocks"))
+    rows = D.boilerplate(_blocks(spark, sf_dir))
+    return rows.groupBy("doc_no").agg(F.count_if("is_boilerplate").alias("boilerplate"), F.count(F.lit(1)).alias("all_blocks"))
 
 
 @query(f"""WITH {BLOCKS}, m AS (SELECT doc_no, md5(string_agg(text, chr(10) ORDER BY block_no)) AS mark FROM b GROUP BY 1), f AS (SELECT mark, min(doc_no) AS same_as FROM m GROUP BY 1)
@@ -656,6 +679,13 @@ def documents_sources(spark, sf_dir):
     return R.document_sources(rows)
 
 
+@query()
+def documents_parts(spark, sf_dir):
+    """Into which part of the documents digest each line of each document goes."""
+    lines = R.documents_digest(table(spark, sf_dir, "doctexts")).select(F.lit("documents").alias("project"), F.col("doc_no").cast("string").alias("thread"), F.col("doc_no").alias("first_s"), F.posexplode(F.split("text", "\n")).alias("entry_no", "line"))
+    return packed(lines.select("project", "thread", "first_s", F.col("entry_no").cast("long").alias("entry_no"), (F.length("line") + 1).alias("size")))
+
+
 @query()
 def documents_digest(spark, sf_dir):
     """Every document file as its section of the documents digest."""

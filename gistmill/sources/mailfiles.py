@@ -45,8 +45,19 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     return files.where(is_mail_file(F.col("path")))
 
 
+def _roman(n: int) -> str:
+    out = ""
+    for value, sign in ((10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        while n >= value:
+            out, n = out + sign, n - value
+    return out
+
+
 class _Text(HTMLParser):
-    """HTML as plain text: block tags break lines, cells are joined by bars, list items get marks, links keep their target."""
+    """HTML as plain text: block tags break lines, cells are joined by bars, list items get marks or numbers in their style, links keep their target.
+
+    Tables that only lay out a page (nested ones, or cells with blocks of their own) come as lines, not as rows of cells.
+    """
 
     BLOCKS = {"p", "div", "br", "tr", "table", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "hr", "section", "article", "pre"}
     SKIPPED = {"script", "style", "head", "title"}
@@ -54,43 +65,86 @@ class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.skip, self.lists, self.link = 0, [], ""
+        self.skip, self.lists, self.link, self.tables = 0, [], "", []
+
+    def _row(self) -> str:
+        """The finished row: cells between bars, or one below the other if one of them has lines of its own."""
+        cells = ["".join(c).strip() for c in self.tables[-1]["cells"]]
+        if any("\n" in c for c in cells):
+            return "\n".join(c for c in cells if c) + "\n"
+        while cells and not cells[-1]:
+            cells.pop()
+        return " | ".join(cells) + "\n"
+
+    def _put(self, text: str) -> None:
+        for table in reversed(self.tables):
+            if table["cells"]:
+                table["cells"][-1].append(text)
+                return
+        self.out.append(text)
+
+    def _end_row(self) -> None:
+        if self.tables and self.tables[-1]["cells"]:
+            row = self._row()
+            self.tables[-1]["cells"] = []
+            outer, self.tables = self.tables[-1], self.tables[:-1]
+            self._put(row)
+            self.tables.append(outer)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        known = dict(attrs)
         if tag in self.SKIPPED:
             self.skip += 1
-        elif tag in ("td", "th"):
-            if self.out and self.out[-1].strip() and not self.out[-1].endswith("\n"):
-                self.out.append(" | ")
+        elif tag == "table":
+            self._put("\n")
+            self.tables.append({"cells": []})
+        elif tag == "tr" and self.tables:
+            self._end_row()
+        elif tag in ("td", "th") and self.tables:
+            self.tables[-1]["cells"].append([])
         elif tag in self.BLOCKS:
-            self.out.append("\n")
+            self._put("\n")
         if tag in ("ul", "ol"):
-            self.lists.append([tag, 0])
+            start = known.get("start") or "1"
+            self.lists.append([tag, int(start) - 1 if start.isdigit() else 0, known.get("type") or "1"])
         elif tag == "li":
             if self.lists and self.lists[-1][0] == "ol":
                 self.lists[-1][1] += 1
-                self.out.append(f"{self.lists[-1][1]}. ")
+                _, n, style = self.lists[-1]
+                letter = chr(96 + min(n, 26))
+                self._put({"a": letter, "A": letter.upper(), "i": _roman(n), "I": _roman(n).upper()}.get(style, str(n)) + ". ")
             else:
-                self.out.append("• ")
+                self._put("• ")
         elif tag == "a":
-            self.link = dict(attrs).get("href") or ""
+            self.link = known.get("href") or ""
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIPPED:
             self.skip = max(0, self.skip - 1)
+        elif tag in ("tr", "table") and self.tables:
+            self._end_row()
+            if tag == "table":
+                self.tables.pop()
+                self._put("\n")
         elif tag in ("ul", "ol") and self.lists:
             self.lists.pop()
-            self.out.append("\n")
+            self._put("\n")
         elif tag == "a" and self.link:
-            if self.link.startswith(("http:", "https:")) and self.link not in "".join(self.out[-2:]):
-                self.out.append(f" <{self.link}>")
+            if self.link.startswith(("http:", "https:")):
+                self._put(f" <{self.link}>")
             self.link = ""
         elif tag in self.BLOCKS - {"br", "hr", "li"}:
-            self.out.append("\n")
+            self._put("\n")
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.out.append(re.sub(r"\s+", " ", data))
+        if not self.skip and data:
+            self._put(re.sub(r"\s+", " ", data))
+
+    def close(self) -> None:
+        super().close()
+        while self.tables:
+            self._end_row()
+            self.tables.pop()
 
 
 def html_to_text(html: str) -> str:
@@ -98,9 +152,9 @@ def html_to_text(html: str) -> str:
     reader = _Text()
     try:
         reader.feed(html)
-        reader.close()
     except Exception:  # what stands before the damage counts
         pass
+    reader.close()
     lines = [re.sub(r" {2,}", " ", x).strip() for x in "".join(reader.out).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
@@ -169,6 +223,8 @@ def record(content: bytes) -> dict:
         if part.get_content_type() == "multipart/report":
             kind = str(part.get_param("report-type") or "").lower()
             item_class = "REPORT.IPM.Note.IPNRN" if kind == "disposition-notification" else "REPORT.IPM.Note.NDR"
+    html_part = message.get_body(preferencelist=("html",))
+    html = str(html_part.get_payload(decode=True) or b"") if html_part is not None and not html_part.is_multipart() else ""
     for part in message.iter_attachments():
         name = _clean(part.get_filename())
         if part.get_content_type() == "message/rfc822":
@@ -178,7 +234,8 @@ def record(content: bytes) -> dict:
             attachments.append({"file_name": name or "message.eml", "size": len(inner.as_bytes()), "inline": False, "link": False, "sha1": None, "doc_size": None, "email": nested})
             continue
         data = part.get_payload(decode=True) or b""
-        inline = part.get_content_disposition() == "inline" or bool(part["Content-ID"]) and part.get_content_maintype() == "image"
+        shown = _clean(part["Content-ID"]).strip("<> ")
+        inline = bool(shown) and f"cid:{shown}" in html or part.get_content_disposition() == "inline" or bool(shown) and part.get_content_maintype() == "image"
         document = bool(re.search(r"(?i)\.(?:docx?|xlsx?|pptx?|pdf|txt|csv|md|rtf|zip)$", name))
         attachments.append({"file_name": name, "size": len(data), "inline": inline, "link": False, "sha1": hashlib.sha1(data).hexdigest() if document else None, "doc_size": len(data) if document else None, "email": None})
     auto = _clean(message["Auto-Submitted"]).lower() not in ("", "no") or _clean(message["X-Auto-Response-Suppress"]) != "" and item_class == "IPM.Note" and _clean(message["Subject"]).lower().startswith(("automatic", "auto"))

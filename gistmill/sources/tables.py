@@ -34,11 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (as tests do) a temporary folder is set; on a cluster that is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gistmill-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -46,9 +48,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes ``df`` as parquet into the shared folder and reads it back; this cuts its lineage."""
+    """Writes ``df`` as parquet into the shared folder and reads it back; this cuts its lineage. :func:`clear_staged` deletes what was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gistmill-{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    context = spark.sparkContext
+    if not hasattr(context, "_gistmill_staged"):
+        context._gistmill_staged = []
+    context._gistmill_staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Deletes what :func:`staged` has written in this session, once its results have been used; how many folders went."""
+    context = spark.sparkContext
+    paths, context._gistmill_staged = getattr(context, "_gistmill_staged", []), []
+    for path in paths:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)

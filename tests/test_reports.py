@@ -10,7 +10,7 @@ def test_alignment_and_changes():
     new = ["2 Scope", "The wall is 4 m high.", "Same here.", "HP7 | 6.2 | Hold", "All new."]
     assert R.aligned(old, new) == [(2, 2)]
     near, lines = R.change_lines(old, new)
-    assert lines == ["~ The wall is [-3-] {+4+} m high.", "~ HP7 | 6.1 -> 6.2 | Hold", "+ All new.", "- Gone now."] and 0.5 < near < 1
+    assert lines == ["~ The wall is [-3-] {+4+} m high.", "- Gone now.", "~ HP7 | 6.1 -> 6.2 | Hold", "+ All new."] and 0.5 < near < 1
     assert R.change_lines(old, old) == (1.0, []) and R.change_lines([], []) == (1.0, []) and R.change_lines([], ["a"])[1] == ["+ a"]
     register = [f"item {k} | {k} | open" for k in range(1_500)]
     changed = [f"item {k} | {k + 1} | closed" for k in range(1_500)]
@@ -71,3 +71,16 @@ def test_capped_texts_pull_what_they_refer_to():
     assert "This brings RFI 12" in out and "The concrete costs" in out and len(out) <= 162
     assert "The concrete" not in D.cap_text(text, 160, seen=("The concrete costs $ 4,000 now. This brings RFI 12 and RFI 13 to 25 mm.",))
     assert len(D.cap_text("word. " * 200_000, 500)) <= 502
+
+
+def test_caps_with_replies():
+    out = D.cap_with_replies("The opening is here. " * 30, "yes " * 100, 300)
+    assert out.endswith("]") and "[inline replies: yes" in out and len(out) < 340
+    assert D.cap_with_replies("short", "", 300) == "short"
+
+
+def test_boilerplate_by_section(spark):
+    rows = [("heading", "Limitations"), ("para", "The words here say nothing of use."), ("para", "The depth is 25 mm here."), ("heading", "3 Works"), ("para", "The Contractor shall indemnify third parties without written consent. Copyright and liability."), ("para", "Copyright of this report is ours, all rights reserved; confidential.")]
+    rows += [("para", f"Body text {k} about the works.") for k in range(12)] + [("para", "Acme Pty, www.acme.example, tel: 02 9999 9999, info@acme.example")]
+    frame = spark.createDataFrame([(1, k, kind, t, 1, None) for k, (kind, t) in enumerate(rows)], "doc_no long, block_no long, block_type string, text string, level int, n_rows int")
+    assert [r.block_no for r in D.boilerplate(frame).where("is_boilerplate").orderBy("block_no").collect()] == [1, 5, 18]

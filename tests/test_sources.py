@@ -156,3 +156,13 @@ def test_loose_documents_are_read_once(spark, tmp_path):
     files = docfiles.scan_documents(spark, str(tmp_path), skip_folder="out")
     assert sorted((r.path.rpartition("/")[2], r.is_mail) for r in files.select("path", "is_mail").collect()) == [("a.txt", False), ("b.txt", False), ("g.eml", True)]
     assert [r.name for r in docfiles.read_once(files.where("not is_mail")).collect()] == ["a.txt"]
+
+
+def test_html():
+    text = mailfiles.html_to_text
+    assert text("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td></td></tr></table>") == "a | b\nc"
+    layout = "<table><tr><td><p>Hello</p><table><tr><td>1</td><td>2</td></tr></table></td><td>side</td></tr></table>"
+    assert [x for x in text(layout).split("\n") if x] == ["Hello", "1 | 2", "side"]
+    assert text('<ol type="a" start="2"><li>x<li>y</ol><ol type="I"><li>z</ol><ul><li>u</ul>').split("\n")[0] == "b. x" and "I. z" in text('<ol type="I"><li>z</ol>')
+    assert text("<p>see <a href='https://x.org/a'>plan</a></p><script>no</script><td>loose") == "see plan <https://x.org/a>\nloose"
+    assert text("<table><tr><td>open") == "open" and text("") == ""
