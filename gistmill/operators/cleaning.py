@@ -39,6 +39,7 @@ def normalise_text(text: str | None) -> str:
     return CONTROL.sub("", text)
 
 
+@lru_cache(maxsize=65_536)
 def fold_letters(text: str | None) -> str:
     """Lower-case letters without accents; nothing else."""
     return "".join(c for c in unicodedata.normalize("NFKD", text or "").lower() if c.isalpha())
@@ -279,8 +280,10 @@ class _Block:
 
     def name(self, line: str) -> bool:
         """The sender's name, first name or initials alone."""
+        if len(line) > 40 or not self.names:
+            return False
         plain = fold_letters(line)
-        return bool(plain) and len(line) <= 40 and (plain in self.names or len(self.words) > 1 and {fold_letters(w) for w in WORD.findall(line)} <= self.words | {""} and plain != "")
+        return bool(plain) and (plain in self.names or len(self.words) > 1 and {fold_letters(w) for w in WORD.findall(line)} <= self.words | {""} and plain != "")
 
     def sign_off(self, line: str) -> str | None:
         """The name behind a sign-off, ``""`` without one, None for other lines."""
@@ -466,12 +469,13 @@ def clean_text(text: str | None, sender: str = "") -> str:
             kept.append("")
         elif not (SENT_FROM.match(s) and len(s.split()) <= 8 or s.startswith(">") and s.lstrip("> \t")[:1] not in tuple("0123456789=.<")):
             kept.append(line)
-    kept = strip_signature(remove_join_blocks(kept), sender)
-    filled = [k for k, x in enumerate(kept) if x.strip()]
-    block = _Block(kept, sender)
-    if filled and bare_greeting(block.lines[filled[0]]) and all(block.name(block.lines[k]) or SIGN_OFF_ONLY.match(block.lines[k]) for k in filled[1:]):
+    block = _Block(remove_join_blocks(kept), sender)
+    kept = block.stripped()
+    lines = [x.strip() for x in kept]
+    filled = [k for k, x in enumerate(lines) if x]
+    if filled and bare_greeting(lines[filled[0]]) and all(block.name(lines[k]) or SIGN_OFF_ONLY.match(lines[k]) for k in filled[1:]):
         return ""
-    if len(filled) > 1 and _only_greets(block.lines[filled[0]]) and block.lines[filled[0]][-1] not in ",!:;.-":
+    if len(filled) > 1 and _only_greets(lines[filled[0]]) and lines[filled[0]][-1] not in ",!:;.-":
         kept[filled[0]] = kept[filled[0]].rstrip() + ","  # so that the greeting ends with its line
     out = re.sub(r"\s+([,.;:!?])(?=\s|$)", r"\1", join_lines(kept))
     out = re.sub(r"\s{2,}", " ", re.sub(r"\(\s*\)|<\s*>", "", out)).strip(" |")

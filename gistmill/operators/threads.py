@@ -20,6 +20,7 @@ from gistmill.operators.delivery import keep_one
 from gistmill.operators.instants import with_instant
 from gistmill.operators.mail import GAP, thread_key
 from gistmill.operators.quotes import quoted
+from gistmill.sources.tables import spread
 
 DAY = 86_400
 #: Seconds that two clocks may differ, letters that are compared, hours that time zones may lie apart.
@@ -105,7 +106,8 @@ def writer_hours(quotes: DataFrame, found: DataFrame) -> DataFrame:
 def prepared(emails: DataFrame, mailboxes: DataFrame) -> DataFrame:
     """Each message once, with its instant, its cleaned text and its thread; texts are cleaned before copies are told apart."""
     rows = with_instant(keep_one(emails), mailboxes)
-    return rows.join(bodies_cleaned(rows), "idx").withColumn("thread", thread_key(F.col("subject")))
+    cleaned = bodies_cleaned(spread(emails.select("idx", "body", "sender_name"))).dropDuplicates(["idx"])
+    return rows.join(cleaned, "idx").withColumn("thread", thread_key(F.col("subject")))
 
 
 def quotes_of(messages: DataFrame, mailboxes: DataFrame) -> DataFrame:

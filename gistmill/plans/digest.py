@@ -53,7 +53,7 @@ def entries(emails: DataFrame, mailboxes: DataFrame, doctexts: DataFrame) -> Dat
     messages = staged(T.prepared(emails, mailboxes), "digest-messages")
     quotes = staged(T.quotes_of(messages, mailboxes), "digest-quotes")
     found = staged(T.matched(quotes, T.mail_index(messages)), "digest-matches")
-    parts = T.conversation_parts(messages, quotes, found)
+    parts = staged(T.conversation_parts(messages, quotes, found), "digest-conversations")
     # documents are numbered by when they were sent
     sent = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("utc_s").cast("decimal(18,6)"))
     messages = messages.withColumn("mtime", F.coalesce(sent, "mtime"))
@@ -76,7 +76,7 @@ def entries(emails: DataFrame, mailboxes: DataFrame, doctexts: DataFrame) -> Dat
     rows = rank_in(rows, ["project", "thread"], "utc_s", "idx", "entry_no").join(firsts, ["project", "thread"])
     date = F.when(F.col("_first_of_day") & F.col("utc_s").isNotNull(), F.concat(F.date_format(F.timestamp_seconds("utc_s"), "yy-MM-dd"), F.lit(" "))).otherwise("")
     line = F.concat(date, F.when(F.col("display") == "", "unknown").otherwise(F.col("display")), F.lit(": "), F.col("said"), F.when(F.coalesce("files", F.lit("")) == "", "").otherwise(F.concat(F.lit(" {"), F.col("files"), F.lit("}"))))
-    return rows.select("project", "thread", "first_s", "entry_no", "idx", "utc_s", "email", "display", "organisation", "subject", line.alias("line"))
+    return staged(rows.select("project", "thread", "first_s", "entry_no", "idx", "utc_s", "email", "display", "organisation", "subject", line.alias("line")), "digest-entries")
 
 
 def _span(low: Column, high: Column) -> Column:

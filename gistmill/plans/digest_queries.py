@@ -20,7 +20,7 @@ from gistmill.operators import threads as T
 from gistmill.operators.instants import with_instant
 from gistmill.plans import digest as G
 from gistmill.plans.packing import packed
-from gistmill.sources.tables import staged, table
+from gistmill.sources.tables import spread, staged, table
 from gistmill.streaming.streams import deduplicated_stream, session_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -425,7 +425,7 @@ def texts_capped(spark, sf_dir):
 @query()
 def bodies_cleaned(spark, sf_dir):
     """What the sender of each mail wrote, as one line, and the history behind it."""
-    return C.bodies_cleaned(table(spark, sf_dir, "emails"))
+    return C.bodies_cleaned(spread(table(spark, sf_dir, "emails").select("idx", "body", "sender_name")))
 
 
 def _messages(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -478,7 +478,7 @@ def identities_resolved(spark, sf_dir):
 
 
 def _entries(spark, sf_dir) -> DataFrame:
-    return staged(G.entries(table(spark, sf_dir, "emails"), table(spark, sf_dir, "mailboxes"), table(spark, sf_dir, "doctexts")), "query-entries")
+    return G.entries(table(spark, sf_dir, "emails"), table(spark, sf_dir, "mailboxes"), table(spark, sf_dir, "doctexts"))
 
 
 @query()
