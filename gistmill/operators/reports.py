@@ -10,12 +10,12 @@ from functools import reduce
 from operator import add
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions.facts import MASKED, fact_score, fact_score_sql
 from gistmill.operators import documents as D
-from gistmill.operators.cleaning import fold_for_match, keyword_list, keyword_pattern
+from gistmill.operators.cleaning import keyword_list, keyword_pattern
 from gistmill.sources.tables import ship
 
 # What counts in reports besides the facts of mail (name, pattern for Java and RE2, weight, whether it is hard).

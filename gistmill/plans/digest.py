@@ -95,14 +95,15 @@ def digest_text(rows: DataFrame, limit: int = PART) -> DataFrame:
     placed = staged(rows.join(packed(rows, limit), ["project", "thread", "entry_no"]), "digest-parts")
     heads = placed.groupBy("project", "thread").agg(F.min_by("subject", "entry_no").alias("title"), F.count(F.lit(1)).alias("n"), F.min("utc_s").alias("low"), F.max("utc_s").alias("high"), F.min("part").alias("opens"))
     title = F.concat(F.lit("## "), F.coalesce("title", F.lit("(no subject)")), F.when(F.col("part") > F.col("opens"), " (continued)").otherwise(""), F.lit(" - "), F.col("n").cast("string"), F.when(F.col("n") > 1, " emails, ").otherwise(" email, "), _span(F.col("low"), F.col("high")))
-    blocks = placed.groupBy("project", "part", "thread", "first_s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_no", "line"))), lambda e: e["line"]), "\n").alias("lines"))
-    blocks = blocks.join(heads, ["project", "thread"]).select("project", "part", "first_s", "thread", F.concat(title, F.lit("\n"), F.col("lines")).alias("block"))
-    body = blocks.groupBy("project", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_s", "thread", "block"))), lambda b: b["block"]), "\n\n").alias("body"), F.count(F.lit(1)).alias("threads"))
-    counts = placed.groupBy("project", "part").agg(F.count(F.lit(1)).alias("emails"), F.min("utc_s").alias("low"), F.max("utc_s").alias("high"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_no", "line"))), lambda e: e["line"]), "\n")
+    blocks = placed.groupBy("project", "part", "thread", "first_s").agg(lines.alias("lines"), F.count(F.lit(1)).alias("of_part"), F.min("utc_s").alias("from_s"), F.max("utc_s").alias("to_s"))
+    blocks = blocks.join(heads, ["project", "thread"]).select("project", "part", "first_s", "thread", "of_part", "from_s", "to_s", F.concat(title, F.lit("\n"), F.col("lines")).alias("block"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_s", "thread", "block"))), lambda b: b["block"]), "\n\n")
+    body = blocks.groupBy("project", "part").agg(whole.alias("body"), F.count(F.lit(1)).alias("threads"), F.sum("of_part").alias("emails"), F.min("from_s").alias("low"), F.max("to_s").alias("high"))
+    body = body.withColumn("parts", F.max("part").over(Window.partitionBy("project")))  # as many rows as a project has parts
     people = placed.where("display != ''").groupBy("project", "part", "organisation").agg(F.array_join(F.array_sort(F.collect_set("display")), ", ").alias("names"))
     legend = people.groupBy("project", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("organisation", "names"))), lambda p: F.concat(F.when(p["organisation"] == "", "others").otherwise(p["organisation"]), F.lit(": "), p["names"])), "\n").alias("legend"))
-    totals = placed.groupBy("project").agg(F.max("part").alias("parts"))
     marks = F.array_join(F.filter(F.array(*[F.when(F.col("body").contains(mark), told) for mark, told in MARKERS.items()]), lambda m: m.isNotNull()), "\n")
     head = F.concat(F.lit("# "), F.col("project"), F.when(F.col("parts") > 1, F.concat(F.lit(" - part "), F.col("part").cast("string"), F.lit(" of "), F.col("parts").cast("string"))).otherwise(""), F.lit("\n"), F.col("emails").cast("string"), F.lit(" emails, "), F.col("threads").cast("string"), F.lit(" conversations, "), _span(F.col("low"), F.col("high")))
-    rows = body.join(counts, ["project", "part"]).join(totals, "project").join(legend, ["project", "part"], "left").withColumn("marks", marks)
+    rows = body.join(legend, ["project", "part"], "left").withColumn("marks", marks)
     return rows.select("project", "part", "parts", F.concat_ws("\n\n", head, F.nullif(F.coalesce("legend", F.lit("")), F.lit("")), F.nullif("marks", F.lit("")), "body").alias("text"))
