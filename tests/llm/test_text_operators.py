@@ -192,6 +192,29 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {(r.a, r.b) for r in similar_sets(small, 0.8).collect()} == brute
 
 
+def test_near_duplicates_do_not_send_each_sequence(spark):
+    """The n-grams of a document travel packed, not as a row each: else the time grows beyond the limits on large tables."""
+    random.seed(8)
+    words = [f"w{k}" for k in range(2000)]
+    texts = [[random.choice(words) for _ in range(80)] for _ in range(60)]
+    texts += [[*t[:40], f"new{k}", *t[40:]] for k, t in enumerate(texts)] + texts[:20]
+    # standard passages, and documents that share half of their words
+    texts = [t + words[:40] for t in texts] + [[*t[:40], *(random.choice(words) for _ in range(40)), *words[:40]] for t in texts[:60]]
+    frame = spark.createDataFrame([(i, None, [(" ".join(t),)]) for i, t in enumerate(texts)], "doc_no long, title string, blocks array<struct<text:string>>")
+    sets = [set(zip(t, t[1:], t[2:])) for t in texts]
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    context = spark.sparkContext
+
+    def sent():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = sent()
+    assert {tuple(r) for r in near_duplicate_pairs(frame).collect()} == want and len(want) > 60
+    assert sum(records for stage, records in sent().items() if stage not in before) < sum(map(len, sets)) / 2
+
+
 def test_variants_of_names(spark):
     rows = [
         (1, "Stefanie Hesosen", "stefanie.hesosen@acme.example"), (2, "HESOSEN Stefanie", "stefanie.hesosen@acme.example"), (3, "", "STEFANIE.HESOSEN@ACME.EXAMPLE"),
