@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm.tokens import words_of
-from gistmill.sources.tables import staged
+from gistmill.sources.tables import drop_staged, staged
 
 #: Sets in one tree, and probes that walk it in one task. More go into further trees, and to further copies of a tree.
 BLOCK = 2_000
@@ -390,11 +390,12 @@ def _paths(ordered: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _similar(blocks: DataFrame, chosen: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, overlap`` of all pairs of chosen sets (``block, places``) that reach ``threshold``; a < b."""
+    """``a, b, overlap`` of all pairs of chosen sets (``block, places``) that reach ``threshold``; a < b. The staged ``blocks`` are deleted when they have been read."""
     total = blocks.select(F.sum(F.octet_length("grams") / 8)).first()[0] or 0
     parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_GRAMS))
     steps = staged(_steps(blocks, parts), "grams-steps")
     ordered = staged(_ordered(blocks, steps, chosen), "grams-ordered")
+    drop_staged(blocks)
     odd = _sketches(ordered)
     side = lambda name: odd.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("odd").alias(f"odd_{name}"))
     differ = sum((F.bit_count(F.col("odd_x")[k].bitwiseXOR(F.col("odd_y")[k])) for k in range(SKETCH // 64)), F.lit(0))

@@ -74,6 +74,19 @@ def clear_staged(spark: SparkSession) -> int:
     context = spark.sparkContext
     paths, context._gistmill_staged = getattr(context, "_gistmill_staged", []), []
     for path in paths:
-        where = context._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
     return len(paths)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Deletes what :func:`staged` has written for ``df``, once nothing that is still to run reads it."""
+    names = {file.rsplit("/", 2)[-2] for file in df.inputFiles()}
+    paths = df.sparkSession.sparkContext._gistmill_staged
+    for path in [p for p in paths if p.rsplit("/", 1)[-1] in names]:
+        _delete(df.sparkSession, path)
+        paths.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
